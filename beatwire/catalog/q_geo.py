@@ -1,0 +1,95 @@
+"""Places of articles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from beatwire.catalog.registry import query
+from beatwire.catalog.views import ARTICLES_SQL, articles
+from beatwire.dims import MAP_CENTER, gazetteer, gazetteer_table
+from beatwire.operators.geo import extract_location, geocode_articles, geocode_lookup
+from beatwire.operators.select import map_points
+
+_W = r"[\p{L}\p{N}_]"
+_NOT_W = r"[^\p{L}\p{N}_]"
+
+
+def _pattern(name: str) -> str:
+    """RE2 has no look-around. A name ending in a combining mark, which is no
+    word character, needs a word character behind it to end at a boundary."""
+    end = f"($|{_NOT_W})" if name[-1].isalnum() else _W
+    return f"(^|{_NOT_W}){name}{end}"
+
+
+GAZ_SQL = "gaz(name, lat, lon, rank, pattern) AS (VALUES " + ", ".join(
+    f"('{p.name}', {p.lat!r}::DOUBLE, {p.lon!r}::DOUBLE, {p.rank}, '{_pattern(p.name)}')"
+    for p in gazetteer()) + ")"
+
+
+def _location_sql(col: str, name: str) -> str:
+    return (f"{name} AS (SELECT a.doc_id, arg_min(g.name, 1000 * (1000 - length(g.name)) + g.rank) "
+            f"AS location FROM articles a JOIN gaz g ON contains(lower(a.{col}), g.name) "
+            f"AND regexp_matches(lower(a.{col}), g.pattern) GROUP BY 1)")
+
+
+@query("extract_location", f"WITH {ARTICLES_SQL}, {GAZ_SQL}, {_location_sql('text', 'loc')} "
+       "SELECT a.doc_id, l.location FROM articles a LEFT JOIN loc l USING (doc_id)")
+def locations(spark, sf_dir):
+    return articles(spark, sf_dir).select(
+        "doc_id", extract_location(F.col("text"), gazetteer()).alias("location"))
+
+
+_PLACES = ["Mumbai", "NAVI MUMBAI", "Atlantis", "", "kota", None, "Hubli-Dharwad"]
+
+
+@query("geocode_lookup", f"""WITH {GAZ_SQL}, named AS (SELECT doc_id,
+  ['Mumbai', 'NAVI MUMBAI', 'Atlantis', '', 'kota', NULL, 'Hubli-Dharwad'][doc_id % 7 + 1]
+  AS location FROM documents)
+SELECT n.doc_id, n.location, g.lat, g.lon FROM named n LEFT JOIN gaz g
+ON lower(n.location) = g.name""")
+def lookup(spark, sf_dir):
+    names = F.array(*[F.lit(p) for p in _PLACES])
+    df = articles(spark, sf_dir).select("doc_id", F.element_at(
+        names, (F.col("doc_id") % len(_PLACES) + 1).cast("int")).alias("location"))
+    return geocode_lookup(df, gazetteer_table(spark))
+
+
+GEOCODED_SQL = f"""{ARTICLES_SQL}, {GAZ_SQL}, {_location_sql('title', 'by_title')},
+{_location_sql('text', 'by_text')},
+placed AS (SELECT a.*, coalesce(t.location, x.location) AS location FROM articles a
+  LEFT JOIN by_title t USING (doc_id) LEFT JOIN by_text x USING (doc_id)),
+geocoded AS (SELECT p.*, g.lat, g.lon FROM placed p LEFT JOIN gaz g ON p.location = g.name)"""
+
+
+def geocoded(spark, sf_dir):
+    return geocode_articles(articles(spark, sf_dir), gazetteer_table(spark), gazetteer())
+
+
+@query("geocode_articles", f"WITH {GEOCODED_SQL} SELECT doc_id, location, lat, lon FROM geocoded")
+def geocode(spark, sf_dir):
+    return geocoded(spark, sf_dir).select("doc_id", "location", "lat", "lon")
+
+
+@query("map_points", f"WITH {GEOCODED_SQL} SELECT title, source, location, lat, lon "
+       "FROM geocoded WHERE lat IS NOT NULL AND lon IS NOT NULL")
+def points(spark, sf_dir):
+    return map_points(geocoded(spark, sf_dir))
+
+
+@query("map_points_or_center", f"""WITH {GEOCODED_SQL},
+few AS (SELECT title, source, location, lat, lon FROM geocoded
+  WHERE lat IS NOT NULL AND location = 'atlantis'),
+some AS (SELECT title, source, location, lat, lon FROM geocoded WHERE lat IS NOT NULL),
+center AS (SELECT NULL AS title, NULL AS source, NULL AS location,
+  {MAP_CENTER[0]}::DOUBLE AS lat, {MAP_CENTER[1]}::DOUBLE AS lon)
+SELECT 'none' AS kind, * FROM few UNION ALL
+SELECT 'none', * FROM center WHERE NOT EXISTS (SELECT 1 FROM few) UNION ALL
+SELECT 'all', * FROM some UNION ALL
+SELECT 'all', * FROM center WHERE NOT EXISTS (SELECT 1 FROM some)""")
+def points_or_center(spark, sf_dir):
+    """Articles of an unknown place give the centre, all articles their points."""
+    df = geocoded(spark, sf_dir)
+    none = map_points(df.where("location = 'atlantis'"), center=True)
+    every = map_points(df, center=True)
+    return none.withColumn("kind", F.lit("none")).unionByName(
+        every.withColumn("kind", F.lit("all")))
