@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from beatwire.catalog.registry import query
 from beatwire.catalog.views import ARTICLES_SQL, CLAIMS_SQL, LABELLED_SQL, articles, claims
-from beatwire.catalog.views import clean_sql, keywords_sql, labelled
+from beatwire.catalog.views import clean_sql, closing_phrase, headline_phrase, keywords_sql, labelled
 from beatwire.dims import GROUPS, INDIC_LANGS, TAX11
 from beatwire.functions.labels import active_labels, display_name, label_groups, label_key
 from beatwire.functions.text import clean_text, detect_language, extract_keywords
@@ -60,10 +60,8 @@ def clean_texts(spark, sf_dir):
 def clean_nonempty(spark, sf_dir):
     """Closing phrases, a fifth of which clean to nothing."""
     df = articles(spark, sf_dir)
-    from beatwire.catalog.views import CLOSINGS, HEADLINES, _choice
-    closing = _choice(CLOSINGS, F.floor(F.col("doc_id") / len(HEADLINES)) % len(CLOSINGS))
     return sel.drop_empty_clean(
-        df.select("doc_id", clean_text(closing).alias("clean_text")))
+        df.select("doc_id", clean_text(closing_phrase()).alias("clean_text")))
 
 
 def _detect_sql(col: str) -> str:
@@ -94,10 +92,8 @@ _HEAD_CLEAN = ("SELECT doc_id, clean_text AS t FROM "
        f"SELECT doc_id, {_detect_sql('t')} AS lang FROM cleaned")
 def detect_languages(spark, sf_dir):
     """Language of the cleaned headline phrase of every article."""
-    from beatwire.catalog.views import HEADLINES, _choice
-    head = _choice(HEADLINES, F.col("doc_id") % len(HEADLINES))
     return articles(spark, sf_dir).select(
-        "doc_id", clean_text(head).alias("t")).select(
+        "doc_id", clean_text(headline_phrase()).alias("t")).select(
             "doc_id", detect_language(F.col("t")).alias("lang"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from beatwire.catalog.registry import query, table
-from beatwire.catalog.views import ARTICLES_SQL, articles, clean_sql
+from beatwire.catalog.views import ARTICLES_SQL, articles, clean_sql, headline_phrase
 from beatwire.dims import FILLER, TAX6, TAX11, VOCAB6, phrase_vocab
 from beatwire.functions.text import WS, clean_text
 from beatwire.operators.classify import (
@@ -68,9 +68,7 @@ flagged AS ({_flags_sql('scored', 't', TAX11)})
 SELECT doc_id, {', '.join(TAX11)} FROM flagged""")
 def threshold_labels(spark, sf_dir):
     """Eleven categories on headline phrases, some of them too short to label."""
-    from beatwire.catalog.views import HEADLINES, _choice
-    head = _choice(HEADLINES, F.col("doc_id") % len(HEADLINES))
-    df = articles(spark, sf_dir).select("doc_id", clean_text(head).alias("t"))
+    df = articles(spark, sf_dir).select("doc_id", clean_text(headline_phrase()).alias("t"))
     return classify(df, lexicon_scorer(_PHRASES, hits_for_one=2), TAX11, "t").select(
         "doc_id", *TAX11)
 

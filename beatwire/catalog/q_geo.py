@@ -27,9 +27,12 @@ GAZ_SQL = "gaz(name, lat, lon, rank, pattern) AS (VALUES " + ", ".join(
 
 
 def _location_sql(col: str, name: str) -> str:
-    return (f"{name} AS (SELECT a.doc_id, arg_min(g.name, 1000 * (1000 - length(g.name)) + g.rank) "
-            f"AS location FROM articles a JOIN gaz g ON contains(lower(a.{col}), g.name) "
-            f"AND regexp_matches(lower(a.{col}), g.pattern) GROUP BY 1)")
+    """Names contained in the text first, then the boundaries of those few pairs."""
+    return f"""{name}_near AS MATERIALIZED (
+  SELECT a.doc_id, a.t, g.name, g.rank, g.pattern
+  FROM (SELECT doc_id, lower({col}) AS t FROM articles) a JOIN gaz g ON contains(a.t, g.name)),
+{name} AS (SELECT doc_id, arg_min(name, 1000 * (1000 - length(name)) + rank) AS location
+  FROM {name}_near WHERE regexp_matches(t, pattern) GROUP BY 1)"""
 
 
 @query("extract_location", f"WITH {ARTICLES_SQL}, {GAZ_SQL}, {_location_sql('text', 'loc')} "
@@ -79,13 +82,13 @@ def points(spark, sf_dir):
 @query("map_points_or_center", f"""WITH {GEOCODED_SQL},
 few AS (SELECT title, source, location, lat, lon FROM geocoded
   WHERE lat IS NOT NULL AND location = 'atlantis'),
-some AS (SELECT title, source, location, lat, lon FROM geocoded WHERE lat IS NOT NULL),
+located AS (SELECT title, source, location, lat, lon FROM geocoded WHERE lat IS NOT NULL),
 center AS (SELECT NULL AS title, NULL AS source, NULL AS location,
   {MAP_CENTER[0]}::DOUBLE AS lat, {MAP_CENTER[1]}::DOUBLE AS lon)
 SELECT 'none' AS kind, * FROM few UNION ALL
 SELECT 'none', * FROM center WHERE NOT EXISTS (SELECT 1 FROM few) UNION ALL
-SELECT 'all', * FROM some UNION ALL
-SELECT 'all', * FROM center WHERE NOT EXISTS (SELECT 1 FROM some)""")
+SELECT 'all', * FROM located UNION ALL
+SELECT 'all', * FROM center WHERE NOT EXISTS (SELECT 1 FROM located)""")
 def points_or_center(spark, sf_dir):
     """Articles of an unknown place give the centre, all articles their points."""
     df = geocoded(spark, sf_dir)

@@ -1 +1,192 @@
-"""stub"""
+"""Feeds and pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from beatwire.catalog.registry import query
+from beatwire.catalog.views import ARTICLES_SQL, LISTING_SQL, articles, listing_pages, pages
+from beatwire.functions.dates import feed_date
+from beatwire.functions.links import ENTITIES, HIDDEN_PATTERN, resolve_link
+from beatwire.functions.text import WS
+from beatwire.sources import pages as pg
+from beatwire.sources.feeds import entries_to_articles, entry_text, parse_items
+
+# --- feeds -----------------------------------------------------------------------
+
+INGESTED = "2024-12-31 12:00:00"
+_PUB = "doc_id % 9 <> 0"
+_UPD = "doc_id % 2 = 0"
+
+
+def feed_times(df):
+    """Publication times in India, update times in UTC, some of both missing."""
+    hour = F.lpad((F.col("doc_id") % 24).cast("string"), 2, "0")
+    day = F.to_date("date")
+    pub = F.concat(F.date_format(day, "EEE, dd MMM yyyy "), hour, F.lit(":15:00 +0530"))
+    upd = F.concat(F.col("date"), F.lit("T"), hour, F.lit(":15:00+00:00"))
+    return df.withColumns({"pubDate": F.when(F.expr(_PUB), pub),
+                           "updated": F.when(F.expr(_UPD), upd)})
+
+
+_DAY = (f"CASE WHEN {_PUB} THEN strftime(CAST(date AS TIMESTAMP) + "
+        "to_minutes(CAST(60 * (doc_id % 24) + 15 - 330 AS BIGINT)), '%Y-%m-%d') "
+        f"WHEN {_UPD} THEN date ELSE '{INGESTED[:10]}' END")
+
+
+@query("feed_date", f"WITH {ARTICLES_SQL} SELECT doc_id, {_DAY} AS day FROM articles")
+def feed_dates(spark, sf_dir):
+    df = feed_times(articles(spark, sf_dir))
+    return df.select("doc_id", feed_date(
+        F.col("pubDate"), F.col("updated"), F.lit(INGESTED).cast("timestamp")).alias("day"))
+
+
+def feed_items(spark, sf_dir):
+    """Every article as the ``item`` element of a feed; some without a link."""
+    def element(name, c):
+        safe = F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")),
+                                   F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+        return F.when(c.isNotNull(), F.concat(F.lit(f"<{name}>"), safe, F.lit(f"</{name}>")))
+
+    df = feed_times(articles(spark, sf_dir))
+    parts = [element("title", F.col("title")), element("description", F.col("text")),
+             element("link", F.col("url")), element("pubDate", F.col("pubDate")),
+             element("updated", F.col("updated"))]
+    return df.select("doc_id", "source", F.concat(
+        F.lit("<item>"), F.concat_ws("", *parts), F.lit("</item>")).alias("xml"))
+
+
+def _strip(col: str) -> str:
+    return f"regexp_replace({col}, '^[{WS}]+|[{WS}]+$', '', 'g')"
+
+
+@query("rss_entries", f"""WITH {ARTICLES_SQL}
+SELECT doc_id, {_strip('title')} AS title,
+  md5({_strip(f"{_strip('title')} || '. ' || {_strip('text')}")}) AS text_md5,
+  {_DAY} AS date, coalesce(url, '') AS url, source FROM articles""")
+def rss_entries(spark, sf_dir):
+    """Items parsed from XML and turned into articles."""
+    items = parse_items(feed_items(spark, sf_dir), "xml")
+    rows = entries_to_articles(items, F.col("source"), F.lit(INGESTED).cast("timestamp"))
+    return rows.select("doc_id", "title", F.md5("text").alias("text_md5"), "date", "url", "source")
+
+
+_BARE_TEXT = _strip("title || '. ' || text")
+
+
+@query("rss_text", f"WITH {ARTICLES_SQL} SELECT doc_id, md5({_BARE_TEXT}) AS text_md5 FROM articles")
+def rss_text(spark, sf_dir):
+    return articles(spark, sf_dir).select(
+        "doc_id", F.md5(entry_text(F.col("title"), F.col("text"))).alias("text_md5"))
+
+
+# --- pages -----------------------------------------------------------------------
+
+_BODY = f"regexp_replace(html, '{HIDDEN_PATTERN}', '', 'g')"
+
+
+def _decoded(col: str) -> str:
+    for name, char in ENTITIES:
+        char = char.replace("'", "''")
+        col = f"replace({col}, '&{name};', '{char}')"
+    return col
+
+
+def _plain(col: str) -> str:
+    return _strip(_decoded(f"regexp_replace({col}, '<[^>]*>', '', 'g')"))
+
+
+def _joined(col: str) -> str:
+    return _strip(_decoded(f"regexp_replace({col}, '[{WS}]*<[^>]*>[{WS}]*', '', 'g')"))
+
+
+_ROOT = "regexp_extract(url, '^[A-Za-z]+://[^/?#]+')"
+_HREF = _decoded("""regexp_extract({0}, '(?i)href="([^"]*)"', 1)""")
+
+
+@query("html_article", f"""WITH bodies AS (SELECT page_id, url, {_BODY} AS body FROM pages),
+parts AS (SELECT page_id, url, body, list_filter(list_transform(
+    string_split_regex(body, '{pg.PARAGRAPH_START}')[2:],
+    lambda p: {_plain(f"string_split_regex(p, '{pg.PARAGRAPH_END}')[1]")}),
+  lambda t: length(t) > 30) AS ps FROM bodies)
+SELECT page_id, url, CASE WHEN regexp_matches(body, '(?i)<h1')
+    THEN {_plain(f"regexp_extract(body, '{pg.H1}', 1)")} ELSE 'Unknown Title' END AS title,
+  md5(array_to_string(ps, ' ')) AS text_md5 FROM parts WHERE len(ps) > 0""")
+def html_article(spark, sf_dir):
+    return pg.html_article(pages(spark, sf_dir)).select(
+        "page_id", "url", "title", F.md5("text").alias("text_md5"))
+
+
+MIN_HEAD, MIN_LINK = 8, 6
+
+
+@query("html_headlines", f"""WITH {LISTING_SQL},
+bodies AS (SELECT page_id, url, {_BODY} AS body FROM listing),
+raw AS (SELECT page_id, url, 0 AS kind, regexp_extract_all(body, CASE page_id % 3
+    WHEN 0 THEN '(?s)<h3>.*?</h3>' ELSE '(?s)<a [^>]*><h2>.*?</h2></a>' END) AS l FROM bodies
+  UNION ALL SELECT page_id, url, 1, regexp_extract_all(body, '(?s)<a .*?</a>') FROM bodies),
+each AS (SELECT page_id, url, kind, unnest(l) AS e, generate_subscripts(l, 1) - 1 AS ord FROM raw),
+cut AS (SELECT page_id, url, kind, CAST(ord AS INT) AS ord, {_joined('e')} AS headline,
+  {_HREF.format('e')} AS href FROM each),
+good AS (SELECT * FROM cut WHERE length(headline) >= CASE kind WHEN 0 THEN {MIN_HEAD}
+  ELSE {MIN_LINK} END AND NOT contains(lower(href), 'javascript')),
+heads AS (SELECT page_id, count(*) AS n FROM good WHERE kind = 0 GROUP BY 1)
+SELECT g.page_id, g.kind, g.ord, g.headline, {_ROOT.replace('url', 'g.url')} || href AS link
+FROM good g LEFT JOIN heads h USING (page_id) WHERE kind = 0 OR coalesce(h.n, 0) < 2""")
+def html_headlines(spark, sf_dir):
+    """Lower thresholds than for news sites: the menus of these pages are terse."""
+    return pg.html_headlines(
+        listing_pages(spark, sf_dir), min_head=MIN_HEAD, min_link=MIN_LINK).select(
+            "page_id", "kind", "ord", "headline", "link")
+
+
+@query("html_anchors", f"""WITH {LISTING_SQL},
+bodies AS (SELECT page_id, url, regexp_extract_all({_BODY}, '(?s)<a .*?</a>') AS l FROM listing),
+each AS (SELECT page_id, url, unnest(l) AS e, generate_subscripts(l, 1) - 1 AS ord FROM bodies),
+cut AS (SELECT page_id, CAST(ord AS INT) AS ord, {_plain('e')} AS title,
+  {_ROOT} || {_HREF.format('e')} AS link FROM each)
+SELECT * FROM cut WHERE length(title) >= {MIN_LINK}""")
+def html_anchors(spark, sf_dir):
+    return pg.html_anchors(listing_pages(spark, sf_dir), min_len=MIN_LINK).drop("url")
+
+
+@query("resolve_links", f"""WITH hrefs AS (SELECT page_id, url, CASE page_id % 4
+    WHEN 0 THEN '/news/' || page_id WHEN 1 THEN 'news/' || page_id
+    WHEN 2 THEN 'https://other.example.org/' || page_id ELSE 'httpd/' || page_id END AS href FROM pages)
+SELECT page_id, CASE WHEN starts_with(href, 'http') THEN href ELSE {_ROOT} ||
+  CASE WHEN starts_with(href, '/') THEN '' ELSE '/' END || href END AS prefix_link,
+  CASE page_id % 4 WHEN 0 THEN {_ROOT} || href WHEN 2 THEN href ELSE NULL END AS rfc_link FROM hrefs""")
+def resolve_links(spark, sf_dir):
+    """Both rules; the RFC join is shown for rooted and absolute links."""
+    i = F.col("page_id")
+    href = (F.when(i % 4 == 0, F.concat(F.lit("/news/"), i.cast("string")))
+            .when(i % 4 == 1, F.concat(F.lit("news/"), i.cast("string")))
+            .when(i % 4 == 2, F.concat(F.lit("https://other.example.org/"), i.cast("string")))
+            .otherwise(F.concat(F.lit("httpd/"), i.cast("string"))))
+    df = pages(spark, sf_dir).select("page_id", "url", href.alias("href"))
+    return df.select(
+        "page_id", resolve_link(F.col("url"), F.col("href")).alias("prefix_link"),
+        resolve_link(F.col("url"), F.col("href"), "rfc").alias("rfc")).select(
+            "page_id", "prefix_link", F.when(i % 2 == 0, F.col("rfc")).alias("rfc_link"))
+
+
+@query("link_census", f"""WITH {LISTING_SQL},
+bodies AS (SELECT page_id, regexp_extract(url, '://([^/?#]+)', 1) AS site, {_BODY} AS body FROM listing),
+raw AS (SELECT page_id, site, 'heading' AS kind,
+    regexp_extract_all(body, '(?is)<h[1-4]\\b[^>]*>.*?</h[1-4]>') AS l FROM bodies
+  UNION ALL SELECT page_id, site, 'link', regexp_extract_all(body, '(?s)<a .*?</a>') FROM bodies),
+each AS (SELECT page_id, site, kind, unnest(l) AS e, generate_subscripts(l, 1) AS ord FROM raw),
+cut AS (SELECT *, CASE kind WHEN 'heading' THEN {_joined("regexp_extract(e, '(?s)<a .*?</a>')")}
+  ELSE {_joined('e')} END AS text FROM each),
+good AS (SELECT * FROM cut WHERE length(text) >= CASE kind WHEN 'heading' THEN 1 ELSE {MIN_LINK} END),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY site, kind ORDER BY page_id, ord) AS rn FROM good),
+per AS (SELECT site, count(*) FILTER (kind = 'heading') AS n_headings,
+  count(*) FILTER (kind = 'link') AS n_links,
+  string_agg(text, ' | ' ORDER BY rn) FILTER (kind = 'heading' AND rn <= 5) AS heading_samples,
+  string_agg(text, ' | ' ORDER BY rn) FILTER (kind = 'link' AND rn <= 5) AS link_samples
+  FROM ranked GROUP BY 1)
+SELECT site, coalesce(n_headings, 0) AS n_headings, coalesce(n_links, 0) AS n_links,
+  coalesce(heading_samples, '') AS heading_samples, coalesce(link_samples, '') AS link_samples
+FROM (SELECT DISTINCT site FROM bodies) LEFT JOIN per USING (site)""")
+def link_census(spark, sf_dir):
+    return pg.link_census(listing_pages(spark, sf_dir), min_link=MIN_LINK)

@@ -1 +1,73 @@
-"""stub"""
+"""Streaming queries, run over what has landed and read back from their sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from beatwire.catalog.q_articles import ALERT_SQL, CRITICAL_SQL
+from beatwire.catalog.q_merge import BATCHES_SQL, batches
+from beatwire.catalog.registry import query, table
+from beatwire.catalog.views import ARTICLES_SQL, LABELLED_SQL, as_articles, as_labelled
+from beatwire.session import work_dir
+from beatwire.streaming import streams as st
+
+
+def _landed(spark, sf_dir, name):
+    """A table as a stream; the pattern fits a file as well as a folder of files."""
+    return st.stream_table(spark, f"{sf_dir}/{name}.parquet*", table(spark, sf_dir, name).schema)
+
+
+def _appended(spark, sdf, purpose):
+    """Run a stream over everything landed and read what it appended."""
+    root = work_dir(spark, purpose)
+    st.start_append(sdf, f"{root}/rows", f"{root}/checkpoint", once=True).awaitTermination()
+    return spark.read.schema(sdf.schema).parquet(f"{root}/rows")
+
+
+def _timed(df):
+    return df.withColumn("ts", F.to_timestamp("date"))
+
+
+@query("stream_ingest", f"WITH {ARTICLES_SQL} SELECT doc_id, title, date, url, source FROM articles")
+def stream_ingest(spark, sf_dir):
+    sdf = as_articles(_landed(spark, sf_dir, "documents"))
+    return _appended(spark, sdf.select("doc_id", "title", "date", "url", "source"), "ingest")
+
+
+@query("stream_dedupe", f"WITH {ARTICLES_SQL} SELECT DISTINCT url FROM articles")
+def stream_dedupe(spark, sf_dir):
+    sdf = _timed(as_articles(_landed(spark, sf_dir, "documents")).select("url", "date"))
+    return _appended(spark, st.stream_dedupe(sdf), "dedupe").select("url")
+
+
+@query("stream_alerts", f"WITH {LABELLED_SQL} SELECT doc_id, {ALERT_SQL} AS message FROM labelled "
+       f"WHERE {CRITICAL_SQL}")
+def stream_alerts(spark, sf_dir):
+    sdf = as_labelled(as_articles(_landed(spark, sf_dir, "documents")))
+    return _appended(spark, st.stream_alerts(sdf).select("doc_id", "message"), "alerts")
+
+
+@query("stream_trend", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n "
+       "FROM events GROUP BY 1, 2")
+def stream_trend(spark, sf_dir):
+    sdf = _landed(spark, sf_dir, "events").select(
+        F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    root = work_dir(spark, "trend")
+    counts = st.stream_trend(sdf, "event_type").select(
+        F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    st.start_updates(counts, f"{root}/rows", f"{root}/checkpoint", once=True).awaitTermination()
+    return st.latest_updates(spark, f"{root}/rows", ["day", "event_type"], "n")
+
+
+@query("stream_merge", f"WITH {BATCHES_SQL} SELECT doc_id, title, date, url, source "
+       "FROM merged ORDER BY batch_rank, ord LIMIT 500")
+def stream_merge(spark, sf_dir):
+    """The old batch lands and is merged, then the new one; the table as it then stands."""
+    root = work_dir(spark, "merge")
+    new, old = batches(spark, sf_dir)
+    for batch in (old, new):
+        batch.write.mode("append").parquet(f"{root}/landing")
+        sdf = st.stream_table(spark, f"{root}/landing", batch.schema)
+        st.start_merge(sdf, f"{root}/table", f"{root}/checkpoint", once=True).awaitTermination()
+    return st.current_version(spark, f"{root}/table").select(
+        "doc_id", "title", "date", "url", "source")

@@ -50,13 +50,22 @@ def _choice(items: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(i) for i in items]), (index + 1).cast("int"))
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as articles: ord, title, text, date, date_raw, url, source, outlet, lang."""
-    docs = table(spark, sf_dir, "documents")
+def headline_phrase() -> Column:
+    return _choice(HEADLINES, F.col("doc_id") % len(HEADLINES))
+
+
+def closing_phrase() -> Column:
+    return _choice(CLOSINGS, F.floor(F.col("doc_id") / len(HEADLINES)) % len(CLOSINGS))
+
+
+def as_articles(docs: DataFrame) -> DataFrame:
+    """documents, at rest or streaming, as articles.
+
+    Columns: doc_id, ord, title, text, date, date_raw, url, source, outlet, lang.
+    """
     i = F.col("doc_id")
-    headline = _choice(HEADLINES, i % len(HEADLINES))
-    closing = _choice(CLOSINGS, F.floor(i / len(HEADLINES)) % len(CLOSINGS))
-    title = F.trim(F.concat_ws(" ", headline, F.element_at(F.split("text", "\n"), 1)))
+    first_line = F.substring_index("text", "\n", 1)
+    title = F.trim(F.concat_ws(" ", headline_phrase(), first_line))
     raw = (i * 37) % 730
     off = F.when(raw.between(GAP_FROM, GAP_TO), raw + GAP_SHIFT).otherwise(raw)
     day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), off.cast("int")),
@@ -65,7 +74,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     outlets = [o[0] for o in OUTLETS] + ["Local Desk"]
     return docs.select(
         "doc_id", i.alias("ord"), title.alias("title"),
-        F.concat(title, F.lit(". "), F.col("text"), closing).alias("text"),
+        F.concat(title, F.lit(". "), F.col("text"), closing_phrase()).alias("text"),
         day.alias("date"),
         F.when(i % 50 == 13, "n/a").otherwise(day).alias("date_raw"),
         F.when(i % 10 != 7, F.concat(F.lit("http://example.com/news/"),
@@ -75,6 +84,10 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lang")
 
 
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_articles(table(spark, sf_dir, "documents"))
+
+
 ARTICLES_SQL = f"""articles0 AS (
   SELECT *, {_quoted(HEADLINES)}[doc_id % {len(HEADLINES)} + 1] AS headline,
          {_quoted(CLOSINGS)}[(doc_id // {len(HEADLINES)}) % {len(CLOSINGS)} + 1] AS closing,
@@ -103,9 +116,8 @@ articles AS (
 FLAG_STEPS = {c: 3 + 2 * n for n, c in enumerate(TAX11)}
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_labelled(df: DataFrame) -> DataFrame:
     """articles with TAX11 flags; ``murder`` on every third, ``rape`` on every fifth, ..."""
-    df = articles(spark, sf_dir)
     flags = {c: F.when(F.col("doc_id") % step == 1, 1).otherwise(0)
              for c, step in FLAG_STEPS.items() if c != "non_crime"}
     df = df.withColumns(flags)
@@ -113,6 +125,10 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("non_crime", none.cast("int"))
 
 
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_labelled(articles(spark, sf_dir))
+
+
 _FLAGS_SQL = ", ".join(
     f"CASE WHEN doc_id % {step} = 1 THEN 1 ELSE 0 END AS {c}"
     for c, step in FLAG_STEPS.items() if c != "non_crime")

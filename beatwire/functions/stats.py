@@ -15,7 +15,9 @@ def pearson(x: Column, y: Column) -> Column:
     ANSI mode, so the quotient is formed by ``try_divide``.
     """
     r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-    return F.when(F.count(F.lit(1)) > 1, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
+    # Rounding may leave r a hair outside [-1, 1]; greatest and least skip nulls.
+    bounded = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r))
+    return F.when((F.count(F.lit(1)) > 1) & r.isNotNull(), bounded)
 
 
 def pearson_p(r: Column, n: Column) -> Column:
