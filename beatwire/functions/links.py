@@ -8,6 +8,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from beatwire.functions.text import WS, strip_space
 
@@ -83,7 +84,7 @@ def site_host(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _urljoin(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for base, href in batches:
         yield pd.Series([urljoin(b or "", h or "") for b, h in zip(base, href)],

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from beatwire.functions.text import WS
+from beatwire.session import written
 
 
 def multilabel_metrics(df: DataFrame, categories: Sequence[str], truth: str = "",
@@ -42,27 +46,37 @@ def multilabel_metrics(df: DataFrame, categories: Sequence[str], truth: str = ""
 
 
 def fit_svm(df: DataFrame, categories: Sequence[str], text_col: str = "clean_text",
-            features: int = 1 << 18, max_iter: int = 20) -> PipelineModel:
+            features: int = 1 << 16, max_iter: int = 20) -> PipelineModel:
     """TF-IDF features and one linear SVM per category.
 
-    The feature stages are fitted once and shared. Their output is kept for
-    the SVMs, which read it ``max_iter`` times each, and spills to disk.
+    The rows are written once to the shared folder, so that no pass repeats
+    the work behind them, and their features are kept in memory or on disk. The
+    SVMs are fitted side by side: a pass is short and would leave most of a
+    cluster idle. Each pass sends one number per feature from every partition
+    up a tree, so ``features`` should fit the vocabulary.
     """
+    spark = df.sparkSession
     prepare = Pipeline(stages=[
         RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=f"[{WS}]+"),
         HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=features),
         IDF(inputCol="_counts", outputCol="_features"),
-    ]).fit(df)
-    ready = prepare.transform(df).select("_features", *categories).persist()
+    ])
+    rows = written(df.select(text_col, *categories), "svm-texts")
+    prepared = prepare.fit(rows)
+    ready = prepared.transform(rows).select("_features", *categories).persist(
+        StorageLevel.MEMORY_AND_DISK)
+
+    def fit(category: str):
+        return LinearSVC(
+            featuresCol="_features", labelCol=category, predictionCol=f"p_{category}",
+            rawPredictionCol=f"_raw_{category}", maxIter=max_iter, regParam=0.01).fit(ready)
+
     try:
-        svms = [
-            LinearSVC(featuresCol="_features", labelCol=c, predictionCol=f"p_{c}",
-                      rawPredictionCol=f"_raw_{c}", maxIter=max_iter, regParam=0.01)
-            .fit(ready)
-            for c in categories]
+        with ThreadPool(len(categories)) as pool:
+            svms = pool.map(inheritable_thread_target(spark)(fit), categories)
     finally:
         ready.unpersist()
-    return PipelineModel(stages=[*prepare.stages, *svms])
+    return PipelineModel(stages=[*prepared.stages, *svms])
 
 
 def predict_svm(model: PipelineModel, df: DataFrame, categories: Sequence[str]) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from beatwire.functions.text import extract_keywords, words
 from beatwire.operators.merge import first_per
+from beatwire.session import written
 
 TOP_HITS = 5
 HOT_DF = 1000
@@ -49,10 +50,8 @@ def claim_keywords(claims: DataFrame) -> DataFrame:
 
 
 def _grams(c: Column) -> Column:
-    """Distinct runs of three characters of a word."""
-    starts = F.sequence(F.lit(1), F.length(c) - (GRAM - 1))
-    return F.when(F.length(c) >= GRAM, F.array_distinct(
-        F.transform(starts, lambda i: F.substr(c, i, F.lit(GRAM)))))
+    """Distinct runs of three characters of a word, overlapping ones included."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
 
 
 def corpus_words(corpus: DataFrame) -> DataFrame:
@@ -111,7 +110,8 @@ def search_corpus(claims: DataFrame, corpus: DataFrame, k: int = TOP_HITS,
     Equal scores are ranked by ``doc_id``; articles without a keyword are no hits.
     """
     wanted = claim_keywords(claims)
-    postings = keyword_postings(claims, corpus)
+    # Read four times below; the corpus itself is read for it alone.
+    postings = written(keyword_postings(claims, corpus), "postings")
     spread = postings.groupBy("kw").agg(F.count(F.lit(1)).alias("n_docs"))
     marked = wanted.join(spread, "kw").withColumn("hot", F.col("n_docs") > hot_df)
     hot_words = spread.where(F.col("n_docs") > hot_df).select("kw")
