@@ -65,7 +65,7 @@ geocoded AS (SELECT p.*, g.lat, g.lon FROM placed p LEFT JOIN gaz g ON p.locatio
 
 
 def geocoded(spark, sf_dir):
-    return geocode_articles(articles(spark, sf_dir), gazetteer_table(spark), gazetteer())
+    return geocode_articles(articles(spark, sf_dir), gazetteer())
 
 
 @query("geocode_articles", f"WITH {GEOCODED_SQL} SELECT doc_id, location, lat, lon FROM geocoded")

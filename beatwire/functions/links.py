@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from beatwire.functions.text import WS, strip_space
+from beatwire.functions.text import WS, bind, strip_space
 
 # Named character references of the HTML standard that occur in
 # running news text. ``amp`` is last so that an escaped reference stays escaped.
@@ -32,22 +32,27 @@ def _from_code_point(n: Column) -> Column:
 
 
 def _numeric_references(c: Column, pattern: str, prefix: str, base: int) -> Column:
-    codes = F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)))
-    return F.aggregate(codes, c, lambda text, n: F.replace(
-        text, F.concat(F.lit(prefix), n, F.lit(";")),
-        _from_code_point(F.conv(n, base, 10).cast("bigint"))))
+    def replaced(text: Column) -> Column:
+        codes = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+        return F.aggregate(codes, text, lambda acc, n: F.replace(
+            acc, F.concat(F.lit(prefix), n, F.lit(";")),
+            _from_code_point(F.conv(n, base, 10).cast("bigint"))))
 
+    return bind(c, replaced)
 
-def decode_entities(c: Column) -> Column:
-    """Named and numeric character references to characters, inside the JVM."""
+
+def _decoded(c: Column) -> Column:
     out = c
     for name, char in ENTITIES[:-1]:
         out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    numeric = _numeric_references(out, r"&#([0-9]{1,6});", "&#", 10)
-    numeric = _numeric_references(numeric, r"&#x([0-9A-Fa-f]{1,5});", "&#x", 16)
-    out = F.when(F.contains(out, F.lit("&#")), numeric).otherwise(out)
-    out = F.replace(out, F.lit("&amp;"), F.lit("&"))
-    return F.when(F.contains(c, F.lit("&")), out).otherwise(c)
+    out = _numeric_references(out, r"&#([0-9]{1,6});", "&#", 10)
+    out = bind(out, lambda t: _numeric_references(t, r"&#x([0-9A-Fa-f]{1,5});", "&#x", 16))
+    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+
+
+def decode_entities(c: Column) -> Column:
+    """Named and numeric character references to characters, inside the JVM."""
+    return bind(c, lambda t: F.when(F.contains(t, F.lit("&")), _decoded(t)).otherwise(t))
 
 
 def visible(html: Column) -> Column:

@@ -6,7 +6,7 @@ and name Unicode white space explicitly, because ``\\s`` is ASCII in both.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,6 +47,15 @@ def non_word_filter(scripts: Sequence[str] = PARITY_SCRIPTS) -> str:
     return f"[^a-z0-9{WS}{kept}]"
 
 
+def bind(c: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(c)`` with ``c`` computed once, however often ``fn`` mentions it.
+
+    The optimizer copies an expression into every place that uses it when a
+    filter moves below the projection; a lambda variable stays one value.
+    """
+    return F.get(F.transform(F.array(c), fn), F.lit(0))
+
+
 def collapse(c: Column) -> Column:
     """Runs of white space become one space; none at either end."""
     return F.trim(F.regexp_replace(c, f"[{WS}]+", " "))
@@ -97,28 +106,31 @@ def match_count(keywords: Column, text: Column, title: Column) -> Column:
         lambda k: F.contains(text, F.lower(k)) | F.contains(title, F.lower(k))))
 
 
+def _language_of(text: Column) -> Column:
+    tokens = F.filter(words(text), lambda w: w != "")
+    marathi = F.size(F.filter(tokens, lambda w: w.isin(MARATHI_WORDS)))
+    hindi = F.size(F.filter(tokens, lambda w: w.isin(HINDI_WORDS)))
+    # The largest count wins; the order of the list decides between equals.
+    letters = F.array(*[
+        F.struct(F.regexp_count(text, F.lit(f"[{r}]")).alias("n"), F.lit(-i).alias("order"),
+                 F.lit(s).alias("script"))
+        for i, (s, r) in enumerate(SCRIPT_RANGES.items())])
+    lang = F.create_map(*[F.lit(v) for kv in SCRIPT_LANG.items() for v in kv])
+    latin = F.regexp_count(text, F.lit("[a-z]"))
+    by_script = bind(F.array_max(letters), lambda top: F.when(latin > top["n"], "en").when(
+        top["script"] == "devanagari", F.when(marathi > hindi, "mr").otherwise("hi")
+    ).otherwise(F.try_element_at(lang, top["script"])))
+    indic = F.rlike(text, F.lit(r"[\x{0900}-\x{0D7F}]"))
+    return F.when(~indic, "en").when(F.size(tokens) < 5, "en").otherwise(by_script)
+
+
 def detect_language(c: Column) -> Column:
     """Language from the dominant script; Marathi and Hindi by function words.
 
     Fewer than five words, or no Indian script, means ``en``. A text without
     any Indian character is settled by one search.
     """
-    text = F.coalesce(c, F.lit(""))
-    tokens = F.filter(words(text), lambda w: w != "")
-    count = {s: F.regexp_count(text, F.lit(f"[{r}]")) for s, r in SCRIPT_RANGES.items()}
-    top = F.greatest(*count.values())
-    latin = F.regexp_count(text, F.lit("[a-z]"))
-    marathi = F.size(F.filter(tokens, lambda w: w.isin(MARATHI_WORDS)))
-    hindi = F.size(F.filter(tokens, lambda w: w.isin(HINDI_WORDS)))
-    by_script = F.when(
-        count["devanagari"] == top, F.when(marathi > hindi, "mr").otherwise("hi"))
-    for script, lang in SCRIPT_LANG.items():
-        by_script = by_script.when(count[script] == top, lang)
-    indic = F.rlike(text, F.lit(r"[\x{0900}-\x{0D7F}]"))
-    return (F.when(~indic, "en")
-            .when(F.size(tokens) < 5, "en")
-            .when(latin > top, "en")
-            .otherwise(by_script))
+    return bind(F.coalesce(c, F.lit("")), _language_of)
 
 
 def title_case(c: Column) -> Column:

@@ -76,9 +76,10 @@ def threshold_labels(scored: DataFrame, categories: Sequence[str], text_col: str
     A text shorter than ``min_len``, or one the scorer gave no scores for,
     keeps all flags at 0, the fallback's too.
     """
-    usable = F.coalesce(
+    scored = scored.withColumn("_usable", F.coalesce(
         (F.length(strip_space(F.col(text_col))) >= min_len) & F.col("scores").isNotNull(),
-        F.lit(False))
+        F.lit(False)))
+    usable = F.col("_usable")
     raw = {c: F.coalesce(F.get("scores", F.lit(i)) > threshold, F.lit(False))
            for i, c in enumerate(categories)}
     flags = {c: (usable & raw[c]).cast("int") for c in categories}
@@ -88,7 +89,7 @@ def threshold_labels(scored: DataFrame, categories: Sequence[str], text_col: str
             if c != FALLBACK_LABEL:
                 crime = crime | raw[c]
         flags[FALLBACK_LABEL] = (usable & (raw[FALLBACK_LABEL] | ~crime)).cast("int")
-    return scored.withColumns(flags)
+    return scored.withColumns(flags).drop("_usable")
 
 
 def classify(df: DataFrame, scorer: Scorer, categories: Sequence[str],

@@ -57,8 +57,9 @@ def _grams(c: Column) -> Column:
 def corpus_words(corpus: DataFrame) -> DataFrame:
     """Distinct lower-case words of each article: (doc_id, word)."""
     both = F.lower(F.concat_ws(" ", "title", "text"))
-    listed = F.filter(F.array_distinct(words(both)), lambda w: F.length(w) >= GRAM)
-    return corpus.select("doc_id", F.explode(listed).alias("word"))
+    listed = F.array_distinct(words(both))
+    return (corpus.select("doc_id", F.explode(listed).alias("word"))
+            .where(F.length("word") >= GRAM))
 
 
 def word_matches(vocabulary: DataFrame, keywords: DataFrame) -> DataFrame:
