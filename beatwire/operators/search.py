@@ -171,7 +171,7 @@ def keyword_overlap(claim: Column, article: Column, max_keywords: int | None = 1
     theirs = extract_keywords(F.lower(F.coalesce(article, F.lit(""))), max_keywords)
     shared = F.size(F.array_intersect(ours, theirs)).cast("double")
     share = F.try_divide(shared, F.size(ours)) * F.lit(100.0)
-    return F.coalesce(F.least(F.lit(100.0), share), F.lit(0.0))
+    return F.least(F.lit(100.0), F.coalesce(share, F.lit(0.0)))
 
 
 def claim_similarity(claims: DataFrame, hits: DataFrame,

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from beatwire.functions.dates import parse_date
 from beatwire.schemas import ARTICLE, baseline_schema
+from beatwire.session import written
 
 CSV_OPTIONS = {"header": True, "multiLine": True, "escape": '"', "mode": "PERMISSIVE"}
 CORRUPT = "_corrupt_record"
@@ -41,10 +42,14 @@ def read_articles(spark: SparkSession, path: str, fmt: str = "parquet",
 
 def read_articles_checked(spark: SparkSession, path: str,
                           schema: T.StructType = ARTICLE) -> tuple[DataFrame, DataFrame]:
-    """CSV articles and, beside them, the raw lines that did not parse."""
+    """CSV articles and, beside them, the raw lines that did not parse.
+
+    The parsed file is kept as a table, so both answers come from one reading.
+    """
     wide = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
     rows = (spark.read.schema(wide).options(**CSV_OPTIONS)
             .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
+    rows = written(rows, "checked-csv")
     return (rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT),
             rows.where(F.col(CORRUPT).isNotNull()).select(CORRUPT))
 
