@@ -5,16 +5,19 @@ title or text. Keywords hold no white space, so each occurrence lies within
 one word of the article; the search therefore runs on the distinct words of
 the corpus and reaches articles through their words.
 
-Keywords found in more than ``hot_df`` articles are "hot". Pairs of claim and
-article are only formed through the other keywords, so a claim meets at most
-10 * hot_df articles. What hot keywords alone can contribute is settled on
-classes of articles that hold the same hot keywords, and once per distinct set
-of hot keywords among the claims. Both steps are exact.
+The best articles of a claim are found without pairing it with every article
+that holds one of its frequent keywords. The articles with the smallest ids,
+the "head", are scored first. A later article loses every tie against them, so
+it must beat the k-th best score of the head, and it cannot do so by keywords
+whose weights add up to no more than that score. Those, the most frequent
+ones, are skipped; articles beyond the head are reached through the remaining
+keywords only and then scored in full. The result is exact.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from beatwire.functions.text import extract_keywords, words
@@ -22,7 +25,7 @@ from beatwire.operators.merge import first_per
 from beatwire.session import written
 
 TOP_HITS = 5
-HOT_DF = 1000
+HEAD = 10_000
 GRAM = 3  # keywords have three characters or more
 
 STATUS_FIXED = {
@@ -105,55 +108,52 @@ def _weighed(pairs: Column, present: Column) -> Column:
 
 
 def search_corpus(claims: DataFrame, corpus: DataFrame, k: int = TOP_HITS,
-                  hot_df: int = HOT_DF) -> DataFrame:
+                  head: int = HEAD) -> DataFrame:
     """The ``k`` articles with most keywords of each claim: claim_id, rank, doc_id, score.
 
-    Equal scores are ranked by ``doc_id``; articles without a keyword are no hits.
+    Equal scores are ranked by ``doc_id``; articles without a keyword are no
+    hits. A claim meets at most ``head`` articles to begin with; a larger head
+    leaves fewer keywords to follow through the rest of the corpus.
     """
+    best = [F.desc("score"), F.asc("doc_id")]
     wanted = claim_keywords(claims)
-    # Read four times below; the corpus itself is read for it alone.
+    # Read several times below; the corpus itself is read for it alone.
     postings = written(keyword_postings(claims, corpus), "postings")
+    edge = (postings.select("doc_id").distinct().orderBy("doc_id").limit(head)
+            .agg(F.max("doc_id").alias("edge")).scalar())
+
+    first = (wanted.join(postings.where(F.col("doc_id") <= edge), "kw")
+             .groupBy("claim_id", "doc_id").agg(F.sum("weight").alias("score")))
+    first = first_per(first, ["claim_id"], best, k)
+    bar = first.groupBy("claim_id").agg(
+        F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(F.lit(0)).alias("bar"))
+
+    # At most ten rows per claim, most frequent keyword first.
+    common_first = W.partitionBy("claim_id").orderBy(F.desc("n_docs"), F.asc("kw"))
     spread = postings.groupBy("kw").agg(F.count(F.lit(1)).alias("n_docs"))
-    marked = wanted.join(spread, "kw").withColumn("hot", F.col("n_docs") > hot_df)
-    hot_words = spread.where(F.col("n_docs") > hot_df).select("kw")
-
-    # Hot keywords: of each claim as one sorted list, of each article as one class.
-    claim_hot = marked.where("hot").groupBy("claim_id").agg(
-        F.array_sort(F.collect_list(F.struct("kw", "weight"))).alias("hot_kws"))
-    doc_hot = (postings.join(hot_words, "kw", "left_semi").groupBy("doc_id")
-               .agg(F.array_sort(F.collect_list("kw")).alias("holds")))
-
-    # Through a keyword that is not hot: exact score of every such pair.
-    rare = (marked.where(~F.col("hot")).select("claim_id", "kw", "weight")
-            .join(postings, "kw")
-            .groupBy("claim_id", "doc_id").agg(F.sum("weight").alias("rare_score")))
-    by_rare = (rare.join(claim_hot, "claim_id", "left").join(doc_hot, "doc_id", "left")
-               .select("claim_id", "doc_id",
-                       (F.col("rare_score") + F.when(
-                           F.col("hot_kws").isNotNull() & F.col("holds").isNotNull(),
-                           _weighed(F.col("hot_kws"), F.col("holds"))).otherwise(F.lit(0))
-                        ).alias("score")))
-
-    # Through hot keywords only: articles of a class score alike, so its first k
-    # stand for it, and claims with the same hot keywords share their answer.
-    classes = first_per(doc_hot, ["holds"], [F.asc("doc_id")], k)
-    lists = claim_hot.select("hot_kws").distinct()
-    meets = (lists.select("hot_kws", F.inline("hot_kws").alias("kw", "weight"))
-             .join(classes.select("holds").distinct()
-                   .select("holds", F.explode("holds").alias("kw")), "kw")
-             .groupBy("hot_kws", "holds").agg(F.sum("weight").alias("score")))
-    best = first_per(meets.join(classes, "holds").select("hot_kws", "doc_id", "score"),
-                     ["hot_kws"], [F.desc("score"), F.asc("doc_id")], k)
-    by_hot = claim_hot.join(best, "hot_kws").select("claim_id", "doc_id", "score")
-
-    scored = (by_rare.unionByName(by_hot).groupBy("claim_id", "doc_id")
-              .agg(F.max("score").alias("score")))
-    top = first_per(scored, ["claim_id"], [F.desc("score"), F.asc("doc_id")], k)
-    return (top.groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct(
-                (-F.col("score")).alias("neg"), "doc_id"))).alias("hits"))
+    ranked = (wanted.join(spread, "kw").join(bar, "claim_id", "left")
+              .withColumn("upto", F.sum("weight").over(common_first))
+              .withColumn("followed", F.col("upto") > F.coalesce("bar", F.lit(0))))
+    skipped = ranked.where(~F.col("followed"))
+    of_claim = skipped.groupBy("claim_id").agg(
+        F.collect_list(F.struct("kw", "weight")).alias("skipped"))
+
+    rest = postings.where(F.col("doc_id") > edge)
+    reached = (ranked.where("followed").select("claim_id", "kw", "weight").join(rest, "kw")
+               .groupBy("claim_id", "doc_id").agg(F.sum("weight").alias("followed_score")))
+    of_doc = (rest.join(skipped.select("kw").distinct(), "kw", "left_semi")
+              .groupBy("doc_id").agg(F.collect_list("kw").alias("holds")))
+    extra = F.when(F.col("skipped").isNotNull() & F.col("holds").isNotNull(),
+                   _weighed(F.col("skipped"), F.col("holds"))).otherwise(F.lit(0))
+    later = (reached.join(of_claim, "claim_id", "left").join(of_doc, "doc_id", "left")
+             .select("claim_id", "doc_id", (F.col("followed_score") + extra).alias("score")))
+
+    top = first_per(first.unionByName(later), ["claim_id"], best, k)
+    hits = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("lost"), "doc_id")))
+    return (top.groupBy("claim_id").agg(hits.alias("hits"))
             .select("claim_id", F.posexplode("hits").alias("pos", "hit"))
             .select("claim_id", (F.col("pos") + 1).alias("rank"), "hit.doc_id",
-                    (-F.col("hit.neg")).alias("score")))
+                    (-F.col("hit.lost")).alias("score")))
 
 
 def hit_articles(hits: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -44,11 +44,11 @@ def corpus(spark):
             spark.createDataFrame(docs, "doc_id long, title string, text string"))
 
 
-@pytest.mark.parametrize("hot_df", [0, 25, 70, 10_000])
-def test_search_equals_brute_force(corpus, hot_df):
+@pytest.mark.parametrize("head", [1, 6, 40, 10_000])
+def test_search_equals_brute_force(corpus, head):
     claims, docs, cdf, ddf = corpus
     got = sorted((r.claim_id, r["rank"], r.doc_id, r.score)
-                 for r in se.search_corpus(cdf, ddf, hot_df=hot_df).collect())
+                 for r in se.search_corpus(cdf, ddf, head=head).collect())
     assert got == brute_force(claims, docs, se.TOP_HITS)
 
 
