@@ -16,6 +16,12 @@ from pyspark.sql import functions as F
 WS = (r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
       r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
 
+# Java tests a class of ranges range by range, but a class of single characters
+# by one bit. Looking for those first makes searches in mostly plain text
+# several times faster and changes no match.
+PLAIN = "abcdefghijklmnopqrstuvwxyz0123456789"
+SPACES = rf"(?![{PLAIN}{PLAIN[:26].upper()}])[{WS}]+"
+
 URL_PATTERN = rf"(http|www)[^{WS}]+"
 TAG_PATTERN = r"<[^>\n]*>"
 
@@ -58,7 +64,7 @@ def bind(c: Column, fn: Callable[[Column], Column]) -> Column:
 
 def collapse(c: Column) -> Column:
     """Runs of white space become one space; none at either end."""
-    return F.trim(F.regexp_replace(c, f"[{WS}]+", " "))
+    return F.trim(F.regexp_replace(c, SPACES, " "))
 
 
 def strip_space(c: Column) -> Column:
@@ -68,7 +74,7 @@ def strip_space(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """White-space separated words; may hold an empty first or last element."""
-    return F.split(c, f"[{WS}]+")
+    return F.split(c, SPACES)
 
 
 def clean_text(c: Column, scripts: Sequence[str] = PARITY_SCRIPTS) -> Column:
@@ -80,7 +86,7 @@ def clean_text(c: Column, scripts: Sequence[str] = PARITY_SCRIPTS) -> Column:
     c = F.lower(F.coalesce(c, F.lit("")))
     c = F.regexp_replace(c, URL_PATTERN, "")
     c = F.regexp_replace(c, TAG_PATTERN, "")
-    c = F.regexp_replace(c, non_word_filter(scripts), "")
+    c = F.regexp_replace(c, f"(?![{PLAIN} ]){non_word_filter(scripts)}", "")
     return collapse(c)
 
 
