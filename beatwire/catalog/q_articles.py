@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from beatwire.catalog.registry import query
-from beatwire.catalog.views import ARTICLES_SQL, CLAIMS_SQL, LABELLED_SQL, articles, claims
-from beatwire.catalog.views import clean_sql, closing_phrase, headline_phrase, keywords_sql, labelled
-from beatwire.dims import GROUPS, INDIC_LANGS, TAX11
+from beatwire.catalog.views import (
+    ARTICLES_SQL, CLAIMS_SQL, LABELLED_SQL, articles, claims, clean_sql, closing_phrase,
+    headline_phrase, keywords_sql, labelled,
+)
+from beatwire.dims import GROUPS, INDIC_LANGS, OUTLETS, TAX11, outlet_table
 from beatwire.functions.labels import active_labels, display_name, label_groups, label_key
-from beatwire.functions.text import clean_text, detect_language, extract_keywords
-from beatwire.functions.text import HINDI_WORDS, MARATHI_WORDS, SCRIPT_LANG, SCRIPT_RANGES, WS
+from beatwire.functions.text import (
+    HINDI_WORDS, MARATHI_WORDS, SCRIPT_LANG, SCRIPT_RANGES, WS, clean_text, detect_language,
+    extract_keywords,
+)
 from beatwire.operators import select as sel
 from beatwire.operators import trend as tr
+from beatwire.schemas import ARTICLE
 from beatwire.session import work_dir
 from beatwire.sources.outlets import attach_source
-from beatwire.dims import outlet_table, OUTLETS
 from beatwire.sources.tables import read_articles, write_articles
-from beatwire.schemas import ARTICLE
 
 
 @query("scan_articles", f"WITH {ARTICLES_SQL} SELECT doc_id, title, date, url, source, "

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from beatwire.catalog.registry import query
-from beatwire.catalog.views import ARTICLES_SQL, articles
+from beatwire.catalog.views import ARTICLES_SQL, articles, headline_phrase
 from beatwire.operators import merge as mg
 
 CAP = 15
@@ -13,7 +13,7 @@ CAP = 15
 
 def _group_cols(spark, sf_dir):
     """articles with the position of their feed, ``src7`` being feed 7."""
-    return articles(spark, sf_dir).select("doc_id", "ord", "url", "source", "title").withColumn(
+    return articles(spark, sf_dir).select("doc_id", "ord", "url", "source", "date").withColumn(
         "feed_rank", F.substring("source", 4, 9).cast("int"))
 
 
@@ -31,15 +31,17 @@ def cap_then_dedupe(spark, sf_dir):
 
 
 @query("site_dedupe_then_cap", f"""WITH {_FEEDS},
-named AS (SELECT *, left(title, 12) AS headline FROM feeds),
+named AS (SELECT f.*, concat_ws(' ', a.headline, strftime(CAST(f.date AS DATE), '%m/%Y'))
+  AS headline FROM feeds f JOIN articles0 a USING (doc_id)),
 single AS (SELECT *, row_number() OVER (PARTITION BY source, headline ORDER BY ord) AS hn
   FROM named),
 kept AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ord) AS rn
   FROM single WHERE hn = 1)
 SELECT doc_id, headline, source FROM kept WHERE rn <= {CAP}""")
 def dedupe_then_cap(spark, sf_dir):
-    """De-duplicated by the opening of the headline, which repeats within a source."""
-    df = _group_cols(spark, sf_dir).withColumn("headline", F.left("title", F.lit(12)))
+    """De-duplicated by phrase and month, which repeat within a source."""
+    df = _group_cols(spark, sf_dir).withColumn("headline", F.concat_ws(
+        " ", headline_phrase(), F.date_format(F.to_date("date"), "MM/yyyy")))
     return mg.cap_dedupe(df, "source", "headline", CAP, "feed_rank", "ord",
                          "dedupe_first").select("doc_id", "headline", "source")
 

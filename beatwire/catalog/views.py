@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from beatwire.catalog.registry import table
 from beatwire.dims import OUTLETS, TAX11
+from beatwire.functions.text import (
+    KEYWORD_STRIP, TAG_PATTERN, URL_PATTERN, WS, non_word_filter,
+)
 
 # One phrase per headline, by doc_id % 12.
 HEADLINES = [
@@ -171,7 +174,6 @@ LISTING_SQL = r"""listing AS (
 
 # Text rules repeated in SQL.
 def clean_sql(col: str) -> str:
-    from beatwire.functions.text import TAG_PATTERN, URL_PATTERN, WS, non_word_filter
     return (f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace("
             f"lower(coalesce({col}, '')), '{URL_PATTERN}', '', 'g'), "
             f"'{TAG_PATTERN}', '', 'g'), '{non_word_filter()}', '', 'g'), "
@@ -180,7 +182,6 @@ def clean_sql(col: str) -> str:
 
 def keywords_sql(source: str, key: str, col: str, name: str, limit: int = 10) -> str:
     """CTEs that end in ``name`` (key, kws): the first distinct keywords as a list."""
-    from beatwire.functions.text import KEYWORD_STRIP, WS
     strip = KEYWORD_STRIP.replace("'", "''")
     return f"""{name}_split AS (
   SELECT {key}, string_split_regex(regexp_replace(coalesce({col}, ''), '{strip}', '', 'g'),

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from beatwire.dims import GROUPS, TAX6, TAX11, VOCAB6, phrase_vocab
 from beatwire.functions.labels import (
-    active_labels, display_name, flagged, key_of, label_groups, label_key,
+    active_labels, display_name, key_of, label_groups, label_key,
 )
 from beatwire.operators.classify import (
     classify, lexicon_scorer, model_scorer, predict_labels, scores_long, threshold_labels,
@@ -96,4 +96,3 @@ def test_names(value):
     assert value(display_name, "crime_against_children") == ["Crime Against Children"]
     assert value(label_key, "Fraud Cheating") == ["fraud_cheating"]
     assert key_of("Fraud Cheating") == "fraud_cheating"
-    assert flagged is not None
