@@ -292,4 +292,5 @@ def outlet_table(spark: SparkSession) -> DataFrame:
         home=[o[1] for o in OUTLETS],
         kind=[o[2] for o in OUTLETS],
         language=pa.array([o[3] for o in OUTLETS], pa.string()),
+        rank=list(range(len(OUTLETS))),
     )

@@ -93,4 +93,4 @@ def geocode_articles(df: DataFrame, places: Sequence[Place],
     """
     place = F.coalesce(place_of(F.col("title"), places, mode),
                        place_of(F.col("text"), places, mode))
-    return df.select("*", F.inline(F.array(place)))
+    return df.drop("location", "lat", "lon").select("*", F.inline(F.array(place)))
