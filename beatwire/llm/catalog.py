@@ -3,7 +3,7 @@
 from beatwire.llm.registry import ORACLES, QUERIES
 
 from beatwire.llm import (  # noqa: F401  (registration on import)
-    q_byte_bpe, q_exact_dedup, q_quality,
+    q_byte_bpe, q_exact_dedup, q_minhash, q_quality,
 )
 
 __all__ = ["ORACLES", "QUERIES"]
