@@ -1,0 +1,99 @@
+import re
+from html import unescape
+from pathlib import Path
+
+import pytest
+
+from beatwire.llm.catalog import QUERIES
+from beatwire.llm.html_text import best_run, extract_text, learn, main_text
+
+WORDS = "The quick brown fox jumps over the lazy dog and then some more words follow here."
+PAGE = ("<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body>"
+        "<nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></nav>"
+        "%s<footer>&copy; x</footer></body></html>")
+WEIGHTS = learn([PAGE % f"<article><h1>Head</h1><p>{WORDS}</p><p>{WORDS}</p></article>"] * 5)
+
+
+def text(body):
+    return main_text(PAGE % body, WEIGHTS)
+
+
+def test_best_run_by_trying_all():
+    scores = [-1, 2, 3, -4, 5, -1, 5, -9, 4]
+    start, end = best_run(scores)
+    assert sum(scores[start:end]) == max(sum(scores[i:j]) for i in range(9) for j in range(i, 10))
+    assert best_run([-1, -2]) == (0, 0)
+
+
+@pytest.mark.parametrize("body,want", [
+    (f"<article><h1>Head</h1><p>{WORDS}</p></article>", f"Head {WORDS}"),
+    (f"<article><p>a &amp;&eacute;&#X41;&nbsp;&lt;b&gt; &am</p><p>{WORDS}</article>",
+     f"a &éA <b> &am {WORDS}"),
+    (f"<article><p title='a>b'>one<b>two</b> three<br>four<p>{WORDS}</article>",
+     f"onetwo three four {WORDS}"),
+    (f"<article><p>{WORDS}</p><aside>no</aside><div class='ad'>no</div><form>no<input></form>"
+     f"<script>var t='</p>';</script><!-- <p>no</p> --><p>{WORDS}</p>"
+     f"<section id='comments'><p>{WORDS}</p></section></article>", f"{WORDS} {WORDS}"),
+    (f"<header><p>Site name</p></header><div class='cookie-notice'><p>{WORDS}</p></div>"
+     f"<main><article><header><h1>Head</h1></header><p>{WORDS}</p></article></main>"
+     f"<div class='sidebar'><p>{WORDS}</p></div>", f"Head {WORDS}"),
+    (f"<div><div><p>{WORDS}</p><p>{WORDS}</p></div></div><section class='comments'><p>{WORDS}</p>"
+     "</section>", f"{WORDS} {WORDS}"),
+    (f"<article><p>{WORDS}\n\n  {WORDS}</p>\t<ul><li>one</li><li>two</li></ul><p>{WORDS}</p></article>",
+     f"{WORDS} {WORDS} one two {WORDS}"),
+])
+def test_pages(body, want):
+    assert text(body) == want
+
+
+def test_broken_pages():
+    assert main_text(f"<article><p>{WORDS}", WEIGHTS) == WORDS
+    assert main_text(f"<article><p>{WORDS}</p><p class=\"x", WEIGHTS) == WORDS
+    assert main_text(f"<nav><a>x</a><article><p>{WORDS}</article>", WEIGHTS) == WORDS
+    assert main_text("plain words only", WEIGHTS) == "plain words only"
+    assert main_text("<" * 50_000, WEIGHTS).count("<") <= 50_000
+    assert main_text("<a \"" * 20_000, WEIGHTS) == ""
+
+
+def test_operator_cases(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(1, "u", PAGE % f"<article><p>{WORDS}</p></article>"), (2, None, None), (3, "u", ""),
+            (None, "u", "<p>é 🙂</p>"), (1, "u", PAGE % f"<article><p>{WORDS}</p></article>"),
+            (5, "u", f"<article><p>{long}</p></article>")]
+    pages = spark.createDataFrame([(*r, "clash") for r in rows],
+                                  "page_id long, url string, html string, text string")
+    got = extract_text(pages).collect()
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == sorted(
+        [(1, WORDS, len(WORDS))] * 2 + [(2, "", 0), (3, "", 0), (0, "é 🙂", 3), (5, long, len(long))])
+    assert {r.page_id: r.url for r in got}[2] is None
+    assert extract_text(pages.limit(0)).collect() == []
+
+
+def marked_text(html):
+    """What the page itself marks as its article."""
+    inner = re.search(r"<article>(.*?)(</article>|\Z)", html, re.S)[1]
+    return " ".join(unescape(re.sub(r"<(?!/?b>)[^>]*>", " ", inner).replace("<b>", "")
+                             .replace("</b>", "")).split())
+
+
+def test_query_against_marked_articles(spark):
+    tables = Path("/root/testdata/sf0.01")
+    if not tables.exists():
+        pytest.skip("no test tables")
+    html = {r.page_id: r.html for r in spark.read.parquet(f"{tables}/pages.parquet").collect()}
+    rows = QUERIES["op1_html_text"](spark, str(tables)).collect()
+    assert len(rows) == len(html)
+    for r in rows:
+        assert r.text == marked_text(html[r.page_id]) and r.n_chars == len(r.text)
+
+
+def test_article_found_without_its_mark(spark):
+    """The scan finds the article where nothing marks it."""
+    tables = Path("/root/testdata/sf0.01")
+    if not tables.exists():
+        pytest.skip("no test tables")
+    pages = [r.html for r in spark.read.parquet(f"{tables}/pages.parquet").collect()]
+    weights = learn(pages[:100])
+    plain = [re.sub(r"</?article>", "", h) for h in pages[100:]]
+    right = sum(main_text(p, weights) == marked_text(h) for p, h in zip(plain, pages[100:]))
+    assert right >= 0.98 * len(plain)
