@@ -10,12 +10,12 @@ named by its smallest id; all further work is on classes.
    equal; six standard deviations below 0.75) and are then confirmed on the
    full sets.
 3. Confirmed links give components. A bucket whose members all lie in one
-   component is done. In the others members outside the bucket's largest
-   component are paired with the members of other components. Where that would
-   be many pairs, further rounds pair them with another member of the largest
-   component first. Pairs whose distances to the bucket's smallest member
-   differ by more than 0.25 are left out by the triangle inequality of the
-   Jaccard distance, which is exact.
+   component is done. Members of the others are searched for further links by
+   an exact join: shingles are ordered by how many of these sets have them,
+   rarest first; two similar sets share a shingle in a short prefix of either,
+   at a place that still leaves enough shingles to share. Shingles of one set
+   only join with nothing, so a text with many words of its own drops out, and
+   members of a shingle's largest component are not paired with each other.
 
 Hot groups: classes are built by (set, salt) before they are built by set, and
 results go back to the rows by (set, salt). Buckets are aggregated before the
@@ -53,9 +53,6 @@ SCREEN = 0.55
 THRESHOLD = (75, 100)  # intersection over union, in whole numbers
 BROADCAST_IDS = 1_000_000  # ids (8 MB) that are broadcast; beyond, the join shuffles
 REMEMBERED = 300_000  # word hashes a worker keeps; emptied when full
-STAR_ROUNDS = 4
-PAIRS_A_ROW = 4
-
 LOWER = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
 _WORD_HASH: dict[bytes, int] = {}
 
@@ -161,6 +158,11 @@ def _common(a: pd.Series, b: pd.Series) -> pd.Series:
                                          assume_unique=True)) for x, y in zip(a, b)], dtype="int64")
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _set_array(texts: pd.Series) -> pd.Series:
+    return pd.Series([shingle_set(t).view(np.int64) for t in texts], dtype=object)
+
+
 @F.pandas_udf(T.BinaryType())
 def _set_bytes(texts: pd.Series) -> pd.Series:
     return pd.Series([shingle_set(t).tobytes() for t in texts], dtype=object)
@@ -186,79 +188,99 @@ class _Verifier:
                        .select("id", _set_bytes("text").alias("set")).distinct(), "sets")
         a, b = (sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
         both = (near.join(b, "b").join(a, "a")
-                .select("a", "b", (F.length("set_a") / 8).alias("n_a"),
-                        (F.length("set_b") / 8).alias("n_b"),
+                .select("a", "b", (F.length("set_a") / 8).cast("long").alias("n_a"),
+                        (F.length("set_b") / 8).cast("long").alias("n_b"),
                         _common("set_a", "set_b").alias("c")))
-        # an id with several texts is linked if any of them is
-        return written(both.groupBy("a", "b").agg(F.max(F.struct(
-            (F.col("c") / (F.col("n_a") + F.col("n_b") - F.col("c"))).alias("j"),
-            (THRESHOLD[1] * F.col("c") >= THRESHOLD[0]
-             * (F.col("n_a") + F.col("n_b") - F.col("c"))).alias("link"))).alias("v"))
-            .select("a", "b", "v.*"), "similarities")
+        union = F.col("n_a") + F.col("n_b") - F.col("c")
+        return written(both.select(
+            "a", "b", (F.col("c") / union).alias("j"),
+            (THRESHOLD[1] * F.col("c") >= THRESHOLD[0] * union).alias("link")), "similarities")
+
 
+def _prefixes(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(x, id, component, n, at): shingles of the prefix that a similar set must share.
 
-def _ordered(x: str, y: str) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    ``at`` counts the rarer shingles of the set, those of no other set included.
+    """
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    sets = written(texts.join(wanted, "id").select("id", "component", _set_array("text").alias("s"))
+                   .distinct().withColumn("n", F.size("s")), "open-sets")
+    items = sets.select("id", "component", "n", F.explode("s").alias("x"))
+    shared = items.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
+    # at most one set's shingles in a row
+    rare = (items.join(shared, "x").groupBy("id", "component", "n")
+            .agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("rare")))
+    share, whole = THRESHOLD
+    length = F.col("n") - F.ceil(F.col("n") * share / whole).cast("int") + 1
+    own = F.col("n") - F.size("rare")
+    return (rare.withColumn("own", own).where(length > own)
+            .select("id", "component", "n", "own",
+                    F.posexplode(F.slice("rare", F.lit(1), length - own)).alias("k", "r"))
+            .select(F.col("r.x").alias("x"), "id", "component", "n",
+                    (F.col("k") + F.col("own")).alias("at")))
+
+
+def _missing_pairs(prefixes: DataFrame) -> DataFrame:
+    """(a, b) of sets in different components that may reach the threshold.
+
+    A pair need share more than ``share / (share + whole)`` of both sizes, and
+    can share at most what follows its first common shingle in either order.
+    """
+    heads = (prefixes.groupBy("x", "component").agg(F.count("*").alias("c")).groupBy("x")
+             .agg(F.max_by("component", F.struct("c", "component")).alias("major"),
+                  F.count("*").alias("parts")).where("parts > 1").select("x", "major"))
+    mixed = prefixes.join(heads, "x")
+    share, whole = THRESHOLD
+    return (mixed.where("component <> major").alias("p").join(mixed.alias("q"), "x")
+            .where(f"p.component <> q.component and (q.component = q.major or p.id < q.id) "
+                   f"and {whole} * least(p.n, q.n) >= {share} * greatest(p.n, q.n) "
+                   f"and {share + whole} * least(p.n - p.at, q.n - q.at) >= {share} * (p.n + q.n)")
+            .select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"))
+            .distinct())
+
+
+def _open_members(buckets: DataFrame, comps: DataFrame) -> DataFrame:
+    """(id, component) of the members of buckets of more than one component."""
+    named = (buckets.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+             .withColumn("component", F.coalesce("component", "rep")))
+    # of two members both were compared: one of them is the hub
+    mixed = (named.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"),
+                                      F.count("*").alias("n"))
+             .where("c1 <> c2 and n > 2").select("key"))
+    return named.join(mixed, "key", "left_semi").select(F.col("rep").alias("id"),
+                                                        "component").distinct()
 
 
-def find_links(docs: DataFrame, reps: DataFrame, doc_id: str = "doc_id",
-               text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) that connect all classes of similarity 0.75 or more, and components.
+def link_classes(docs: DataFrame, reps: DataFrame, doc_id: str = "doc_id",
+                 text: str = "text") -> DataFrame:
+    """(node, component) of all classes that have a link.
 
-    ``reps`` has (rep, sig, keys). The links span the components of the graph
-    of all such pairs; pairs inside a component that is found already are not
-    all looked at.
+    ``reps`` has (rep, sig, keys). Pairs inside a component that is found
+    already are not all looked at.
     """
     verifier = _Verifier(docs, reps, doc_id, text)
     bands = reps.select("rep", F.explode("keys").alias("key"))
     shared = (bands.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"))
               .where("hub < last").select("key", "hub"))
     buckets = written(bands.join(shared, "key"), "buckets")
-    tested = verifier.similarities(
-        buckets.where("rep > hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-        .distinct())
-    n_rows = buckets.count()
-
-    round_no = 0
-    while True:
-        round_no += 1
-        links = tested.where("link").select("a", "b")
-        comps = written(connected_components(links), "components")
-        named = (buckets.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-                 .withColumn("component", F.coalesce("component", "rep")))
-        sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
-        heads = (sizes.groupBy("key")
-                 .agg(F.max_by("component", F.struct("n", "component")).alias("major"),
-                      F.sum("n").alias("total"), F.max("n").alias("largest"))
-                 .where("total > largest and total > 2"))
-        open_rows = written(named.join(heads, "key"), "open-buckets")
-        cost = open_rows.agg(F.sum(F.when(F.col("component") != F.col("major"),
-                                          F.col("total")))).first()[0] or 0
-        if cost == 0:
-            return links, comps
-        minor = open_rows.where("component <> major and rep <> hub")
-        star = round_no <= STAR_ROUNDS and cost > PAIRS_A_ROW * n_rows
-        if star:
-            centre = (open_rows.where("component = major").groupBy("key")
-                      .agg(F.min_by("rep", F.xxhash64("rep", F.lit(round_no))).alias("centre")))
-            pairs = (minor.join(centre, "key").where("rep <> centre")
-                     .select(*_ordered("rep", "centre")))
-        else:
-            known = tested.select(F.col("a").alias("hub"), F.col("b").alias("rep"), "j")
-            far = open_rows.join(known, ["hub", "rep"], "left").where("rep <> hub")
-            left = far.where("component <> major").alias("x")
-            right = far.alias("y")
-            pairs = (left.join(right, "key")
-                     .where("x.component <> y.component and "
-                            "(y.component = y.major or x.rep < y.rep) and "
-                            "coalesce(abs(x.j - y.j) <= 0.25 + 1e-9, true)")
-                     .select(*_ordered("x.rep", "y.rep")))
-        fresh = pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        found = verifier.similarities(fresh)
-        tested = written(tested.unionByName(found), "tested")
-        if not star:
-            links = tested.where("link").select("a", "b")
-            return links, written(connected_components(links), "components")
+    stars = (buckets.where("rep > hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+             .distinct())
+    comps = written(connected_components(verifier.similarities(stars).where("link")), "components")
+    members = written(_open_members(buckets, comps), "open-members")
+    more = verifier.similarities(_missing_pairs(_prefixes(docs, members, doc_id, text)))
+    more = more.where("link")
+    if more.isEmpty():
+        return comps
+    # the components are the nodes of the second round
+    named = members.withColumnRenamed("component", "c")
+    a, b = (named.select(F.col("id").alias(x), F.col("c").alias(f"c_{x}")) for x in "ab")
+    joined = connected_components(more.join(a, "a").join(b, "b")
+                                  .select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+    alone = joined.select("node", F.col("node").alias("component"))
+    return (comps.unionByName(alone).distinct()
+            .join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")),
+                  "component", "left")
+            .select("node", F.coalesce("to", "component").alias("component")))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -269,7 +291,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                                ["same", "doc_id"])
                    .dropDuplicates(["same", "doc_id"])
                    .select(F.col("doc_id").alias("rep"), "sig", "keys"), "representatives")
-    _, comps = find_links(docs, reps, doc_id, text)
+    comps = link_classes(docs, reps, doc_id, text)
     named = (classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
              .withColumn("component", F.coalesce("component", "rep")))
     places = named.select("same", F.explode("salts").alias("salt"), "component")

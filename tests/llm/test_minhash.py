@@ -76,9 +76,17 @@ def test_components_against_brute_force(docs_of, seed):
     assert result(near_duplicates(docs_of(*rows))) == sorted(brute(rows))
 
 
-def test_star_rounds_change_nothing(docs_of, monkeypatch):
-    monkeypatch.setattr(minhash, "PAIRS_A_ROW", 0)
-    rows = near_rows(3, groups=4)
+def test_links_that_no_hub_shows(docs_of):
+    """Members of a bucket that are like each other and not like its smallest member."""
+    rnd = random.Random(8)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    base = [word() for _ in range(60)]
+    rows = [(1, " ".join(base))]
+    for g in range(30):
+        other = base[:48] + [word() for _ in range(12)]  # 44 of 68 shingles in common
+        rows.append((10 + 10 * g, " ".join(other)))
+        other[rnd.randrange(50, 60)] = word()
+        rows.append((11 + 10 * g, " ".join(other)))
     assert result(near_duplicates(docs_of(*rows))) == sorted(brute(rows))
 
 
