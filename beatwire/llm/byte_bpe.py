@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -150,6 +150,20 @@ def digester(model: bytes, pattern: str):
     return digest
 
 
+def coder(model: bytes, pattern: str):
+    """Ids and the digest of what they decode to; one pass over the text."""
+    @F.pandas_udf("ids array<int>, decoded_sha256 string")
+    def code(texts: pd.Series) -> pd.DataFrame:
+        codec = loaded(model, pattern)
+        rows = []
+        for text in texts:
+            ids = codec.encode(text)
+            rows.append((np.array(ids, np.int32), hashlib.sha256(codec.decode(ids)).hexdigest()))
+        return pd.DataFrame(rows, columns=["ids", "decoded_sha256"])
+
+    return code
+
+
 def encode_docs(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id",
                 text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids) of every document."""
@@ -170,3 +184,12 @@ def digest_docs(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "d
     digest = digester(make_model(read_ranks(vocabulary)), pattern)
     return (docs.select(F.col(doc_id).alias("doc_id"), digest(F.col(text)).alias("d"))
             .select("doc_id", "d.*"))
+
+
+def code_docs(docs: DataFrame, vocabulary: str, pattern: str, keep: Sequence[str] = ("doc_id",),
+              text: str = "text") -> DataFrame:
+    """(*keep, n_tokens, ids, decoded_sha256) of every row."""
+    code = coder(make_model(read_ranks(vocabulary)), pattern)
+    kept = F.struct(*keep).alias("kept")
+    return docs.select(kept, code(F.col(text)).alias("c")).select(
+        "kept.*", F.size("c.ids").cast("long").alias("n_tokens"), "c.ids", "c.decoded_sha256")
