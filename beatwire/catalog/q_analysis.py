@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from beatwire.catalog.q_classify import CLASSIFIED_SQL, classified
+from beatwire.catalog.q_articles import LANGS_SQL, ROUTE_SQL, route_language
 from beatwire.catalog.registry import query, table
 from beatwire.catalog.views import ARTICLES_SQL, articles
 from beatwire.dims import TAX6
 from beatwire.operators import correlate as co
 from beatwire.operators import trend as tr
-from beatwire.operators.select import route_language
 from beatwire.operators.split import split_exact, split_sizes
 from beatwire.session import work_dir
-from beatwire.sources.synthetic import mock_baseline
 from beatwire.sources.tables import read_baseline
 
 # --- trends -------------------------------------------------------------------
@@ -139,13 +138,17 @@ def align_months(spark, sf_dir):
 
 
 def _positional_sql(trend: str) -> str:
-    """Statistics cut to the common months, or raw when there are none; paired by place."""
+    """Statistics cut to the common months, or raw when there are none; paired by place.
+
+    The file of raw rows begins with the newest day.
+    """
     return f"""lim AS (SELECT greatest(t0, b0) AS lo, least(t1, b1) AS hi FROM
   (SELECT min(month_end) AS t0, max(month_end) AS t1 FROM {trend}),
   (SELECT min(month_end) AS b0, max(month_end) AS b1 FROM base)),
-off AS (SELECT month_end, c1, c2, c3 FROM base, lim WHERE month_end BETWEEN lo AND hi
-  UNION ALL SELECT d, c1, c2, c3 FROM daily, lim WHERE lo > hi),
-offn AS (SELECT row_number() OVER (ORDER BY month_end) AS pos, c1, c2, c3 FROM off),
+off AS (SELECT date_diff('day', DATE '1970-01-01', month_end) AS place, c1, c2, c3
+    FROM base, lim WHERE month_end BETWEEN lo AND hi
+  UNION ALL SELECT -date_diff('day', DATE '1970-01-01', d), c1, c2, c3 FROM daily, lim WHERE lo > hi),
+offn AS (SELECT row_number() OVER (ORDER BY place) AS pos, c1, c2, c3 FROM off),
 tn AS (SELECT row_number() OVER (ORDER BY month_end) AS pos, c1, c2, c3 FROM {trend}),
 {_long_sql('tn', 'pos', 'tl', 'predicted')}, {_long_sql('offn', 'pos', 'bl', 'official')}
 SELECT pos, category, predicted, official FROM tl JOIN bl USING (pos, category)"""
@@ -162,9 +165,10 @@ def _article_trend(spark, sf_dir):
 news AS (SELECT month_end, theft AS c1, accident AS c2, non_crime AS c3 FROM m), {BASELINE_SQL},
 {_positional_sql('news')}""")
 def align_positional(spark, sf_dir):
-    """No common month: the first raw statistics rows, by place."""
-    return co.align_months(_article_trend(spark, sf_dir), orders_baseline(spark, sf_dir),
-                           "positional")
+    """No common month: the first rows of a statistics file that begins with the newest day."""
+    official = orders_baseline(spark, sf_dir).withColumn("row_number", -F.unix_date("date"))
+    return co.align_months(_article_trend(spark, sf_dir), official, "positional",
+                           position="row_number")
 
 
 @query("align_positional_overlap", f"WITH {SHIPMENTS_SQL}, {BASELINE_SQL}, "
@@ -226,20 +230,6 @@ def month_coverage(spark, sf_dir):
     return _text_date(_text_date(df, "overlap_start"), "overlap_end")
 
 
-def _u(*key: str) -> str:
-    return f"('0x' || substr(md5('42:' || {' || chr(58) || '.join(key)}), 1, 8))::BIGINT"
-
-
-@query("mock_baseline", f"WITH {SHIPMENTS_SQL}, k AS (SELECT *, "
-       "strftime(month_end, '%Y-%m-%d') AS mo FROM trend) SELECT mo AS month_end, " + ", ".join(
-           f"round(greatest(0.0::DOUBLE, {c} * (0.8::DOUBLE + 0.4::DOUBLE * "
-           f"({_u('mo', repr(c), repr('scale'))} / 4294967296.0::DOUBLE)) + "
-           f"({_u('mo', repr(c), repr('shift'))} % 5 - 2)), 6) AS {c}" for c in CATS) + " FROM k")
-def mock(spark, sf_dir):
-    df = mock_baseline(shipments(spark, sf_dir), CATS)
-    return _text_date(df, "month_end").select("month_end", *[F.round(c, 6).alias(c) for c in CATS])
-
-
 # --- split -----------------------------------------------------------------------
 
 _SPLIT_SQL = """placed AS (SELECT *, row_number() OVER (
@@ -253,8 +243,9 @@ def train_test_split(spark, sf_dir):
     return split_exact(articles(spark, sf_dir).select("doc_id"), "doc_id")
 
 
-@query("split_sizes", f"WITH {ARTICLES_SQL}, {_SPLIT_SQL} "
-       "SELECT 'general' AS route, part, count(*) AS n FROM parts GROUP BY 1, 2")
+@query("split_sizes", f"WITH {LANGS_SQL}, {_SPLIT_SQL}, "
+       f"routed AS (SELECT doc_id, {ROUTE_SQL} AS route FROM langs) "
+       "SELECT route, part, count(*) AS n FROM parts JOIN routed USING (doc_id) GROUP BY 1, 2")
 def sizes(spark, sf_dir):
-    return split_sizes(route_language(split_exact(
-        articles(spark, sf_dir).select("doc_id", "lang"), "doc_id")))
+    """Parts of either route, by the language of the title."""
+    return split_sizes(split_exact(route_language(spark, sf_dir), "doc_id"))

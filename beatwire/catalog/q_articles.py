@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from beatwire.catalog.registry import query
 from beatwire.catalog.views import (
-    ARTICLES_SQL, CLAIMS_SQL, LABELLED_SQL, articles, claims, clean_sql, closing_phrase,
-    headline_phrase, keywords_sql, labelled,
+    ARTICLES_SQL, CLAIMS_SQL, LABELLED_SQL, articles, claims, clean_sql, keywords_sql,
+    labelled,
 )
 from beatwire.dims import GROUPS, INDIC_LANGS, OUTLETS, TAX11, outlet_table
 from beatwire.functions.labels import active_labels, display_name, label_groups, label_key
@@ -58,13 +58,12 @@ def clean_texts(spark, sf_dir):
         "doc_id", clean_text(F.col("text")).alias("clean_text"))
 
 
-@query("clean_nonempty", f"WITH {ARTICLES_SQL} SELECT doc_id, {clean_sql('closing')} AS clean_text "
-       f"FROM articles1 WHERE length({clean_sql('closing')}) > 0")
+@query("clean_nonempty", f"WITH {ARTICLES_SQL}, cleaned AS (SELECT doc_id, "
+       f"{clean_sql('text')} AS clean_text FROM articles) "
+       "SELECT doc_id, clean_text FROM cleaned WHERE length(clean_text) > 0")
 def clean_nonempty(spark, sf_dir):
-    """Closing phrases, a fifth of which clean to nothing."""
-    df = articles(spark, sf_dir)
-    return sel.drop_empty_clean(
-        df.select("doc_id", clean_text(closing_phrase()).alias("clean_text")))
+    return sel.drop_empty_clean(articles(spark, sf_dir).select(
+        "doc_id", clean_text(F.col("text")).alias("clean_text")))
 
 
 def _detect_sql(col: str) -> str:
@@ -81,27 +80,28 @@ def _detect_sql(col: str) -> str:
     other = " ".join(f"WHEN {count(SCRIPT_RANGES[s])} = {top} THEN '{lang}'"
                      for s, lang in SCRIPT_LANG.items())
     return (f"CASE WHEN NOT regexp_matches({col}, '[\\x{{0900}}-\\x{{0D7F}}]') THEN 'en' "
-            f"WHEN {tokens} < 5 THEN 'en' WHEN {count('a-z')} > {top} THEN 'en' "
+            f"WHEN {tokens} < 5 THEN 'en' WHEN {count('a-z')} > {top} OR {top} = 0 THEN 'en' "
             f"WHEN {count(SCRIPT_RANGES['devanagari'])} = {top} THEN "
             f"CASE WHEN {hits(MARATHI_WORDS)} > {hits(HINDI_WORDS)} THEN 'mr' ELSE 'hi' END "
             f"{other} END")
 
 
-_HEAD_CLEAN = ("SELECT doc_id, clean_text AS t FROM "
-               f"(SELECT doc_id, {clean_sql('headline')} AS clean_text FROM articles1)")
+LANGS_SQL = (f"{ARTICLES_SQL}, cleaned AS (SELECT doc_id, {clean_sql('title')} AS title, "
+          f"{clean_sql('text')} AS text FROM articles), "
+          f"langs AS (SELECT doc_id, {_detect_sql('title')} AS lang, "
+          f"{_detect_sql('text')} AS text_lang FROM cleaned)")
 
 
-@query("detect_language", f"WITH {ARTICLES_SQL}, cleaned AS ({_HEAD_CLEAN}) "
-       f"SELECT doc_id, {_detect_sql('t')} AS lang FROM cleaned")
+@query("detect_language", f"WITH {LANGS_SQL} SELECT doc_id, lang, text_lang FROM langs")
 def detect_languages(spark, sf_dir):
-    """Language of the cleaned headline phrase of every article."""
-    return articles(spark, sf_dir).select(
-        "doc_id", clean_text(headline_phrase()).alias("t")).select(
-            "doc_id", detect_language(F.col("t")).alias("lang"))
+    """Language of the cleaned title and of the cleaned text of every article."""
+    cleaned = articles(spark, sf_dir).select(
+        "doc_id", clean_text(F.col("title")).alias("title"), clean_text(F.col("text")).alias("text"))
+    return cleaned.select("doc_id", detect_language(F.col("title")).alias("lang"),
+                          detect_language(F.col("text")).alias("text_lang"))
 
 
-@query("language_counts", f"WITH {ARTICLES_SQL}, cleaned AS ({_HEAD_CLEAN}) "
-       f"SELECT {_detect_sql('t')} AS lang, count(*) AS n FROM cleaned GROUP BY 1")
+@query("language_counts", f"WITH {LANGS_SQL} SELECT lang, count(*) AS n FROM langs GROUP BY 1")
 def language_counts(spark, sf_dir):
     return tr.language_counts(detect_languages(spark, sf_dir))
 
@@ -139,21 +139,18 @@ def claims_valid(spark, sf_dir):
         rejected.withColumn("accepted", F.lit(False)))
 
 
-_ROUTE = ("CASE WHEN lang IN (" + ", ".join(f"'{c}'" for c in INDIC_LANGS)
+ROUTE_SQL = ("CASE WHEN lang IN (" + ", ".join(f"'{c}'" for c in INDIC_LANGS)
           + ") THEN 'indic' ELSE 'general' END")
 
 
-@query("route_language", f"WITH {ARTICLES_SQL}, cleaned AS ({_HEAD_CLEAN}), "
-       f"langs AS (SELECT doc_id, {_detect_sql('t')} AS lang FROM cleaned) "
-       f"SELECT doc_id, lang, {_ROUTE} AS route FROM langs")
+@query("route_language", f"WITH {LANGS_SQL} SELECT doc_id, lang, {ROUTE_SQL} AS route FROM langs")
 def route_language(spark, sf_dir):
-    return sel.route_language(detect_languages(spark, sf_dir))
+    """Routes by the language of the title."""
+    return sel.route_language(detect_languages(spark, sf_dir).drop("text_lang"))
 
 
-@query("route_fallback", f"WITH {ARTICLES_SQL}, cleaned AS ({_HEAD_CLEAN}), "
-       f"langs AS (SELECT doc_id, {_detect_sql('t')} AS lang FROM cleaned), "
-       f"routed AS (SELECT doc_id, lang, {_ROUTE} AS route FROM langs), "
-       "small AS (SELECT * FROM routed WHERE lang = 'bn') "
+@query("route_fallback", f"WITH {LANGS_SQL}, "
+       f"routed AS (SELECT doc_id, lang, {ROUTE_SQL} AS route FROM langs) "
        "SELECT doc_id, 'indic' AS wanted FROM routed WHERE route = 'indic' "
        "OR (SELECT count(*) FROM routed WHERE route = 'indic') < 10 "
        "UNION ALL SELECT doc_id, 'none' AS wanted FROM routed "

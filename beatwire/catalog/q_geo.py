@@ -42,19 +42,12 @@ def locations(spark, sf_dir):
         "doc_id", extract_location(F.col("text"), gazetteer()).alias("location"))
 
 
-_PLACES = ["Mumbai", "NAVI MUMBAI", "Atlantis", "", "kota", None, "Hubli-Dharwad"]
-
-
-@query("geocode_lookup", f"""WITH {GAZ_SQL}, named AS (SELECT doc_id,
-  ['Mumbai', 'NAVI MUMBAI', 'Atlantis', '', 'kota', NULL, 'Hubli-Dharwad'][doc_id % 7 + 1]
-  AS location FROM documents)
-SELECT n.doc_id, n.location, g.lat, g.lon FROM named n LEFT JOIN gaz g
-ON lower(n.location) = g.name""")
+@query("geocode_lookup", f"WITH {ARTICLES_SQL}, {GAZ_SQL}, {_location_sql('text', 'loc')} "
+       "SELECT a.doc_id, l.location, g.lat, g.lon FROM articles a LEFT JOIN loc l USING (doc_id) "
+       "LEFT JOIN gaz g ON lower(l.location) = g.name")
 def lookup(spark, sf_dir):
-    names = F.array(*[F.lit(p) for p in _PLACES])
-    df = articles(spark, sf_dir).select("doc_id", F.element_at(
-        names, (F.col("doc_id") % len(_PLACES) + 1).cast("int")).alias("location"))
-    return geocode_lookup(df, gazetteer_table(spark))
+    """Coordinates of the place that the text names."""
+    return geocode_lookup(locations(spark, sf_dir), gazetteer_table(spark))
 
 
 GEOCODED_SQL = f"""{ARTICLES_SQL}, {GAZ_SQL}, {_location_sql('title', 'by_title')},

@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 from beatwire.catalog.registry import query
 from beatwire.catalog.views import ARTICLES_SQL, LISTING_SQL, articles, listing_pages, pages
 from beatwire.functions.dates import feed_date
-from beatwire.functions.links import ENTITIES, HIDDEN_PATTERN, resolve_link
+from beatwire.functions.links import ANY_TAG, HIDDEN_PATTERN, attribute, resolve_link, visible
 from beatwire.functions.text import WS
 from beatwire.sources import pages as pg
-from beatwire.sources.feeds import entries_to_articles, entry_text, parse_items
+from beatwire.session import work_dir
+from beatwire.sources.feeds import entries_to_articles, entry_text, parse_items, read_feeds
 
 # --- feeds -----------------------------------------------------------------------
 
 INGESTED = "2024-12-31 12:00:00"
 _PUB = "doc_id % 9 <> 0"
 _UPD = "doc_id % 2 = 0"
+_CUT = "doc_id % 31 = 0"
 
 
 def feed_times(df):
@@ -41,36 +43,84 @@ def feed_dates(spark, sf_dir):
         F.col("pubDate"), F.col("updated"), F.lit(INGESTED).cast("timestamp")).alias("day"))
 
 
-def feed_items(spark, sf_dir):
-    """Every article as the ``item`` element of a feed; some without a link."""
-    def element(name, c):
-        safe = F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")),
-                                   F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-        return F.when(c.isNotNull(), F.concat(F.lit(f"<{name}>"), safe, F.lit(f"</{name}>")))
+def _escaped(c):
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")),
+                               F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def _element(name, c):
+    return F.when(c.isNotNull(), F.concat(F.lit(f"<{name}>"), _escaped(c), F.lit(f"</{name}>")))
+
 
+def feed_items(spark, sf_dir):
+    """Every article as the ``item`` element of a feed; some without a link, some cut off."""
     df = feed_times(articles(spark, sf_dir))
-    parts = [element("title", F.col("title")), element("description", F.col("text")),
-             element("link", F.col("url")), element("pubDate", F.col("pubDate")),
-             element("updated", F.col("updated"))]
+    parts = [_element("title", F.col("title")), _element("description", F.col("text")),
+             _element("link", F.col("url")), _element("pubDate", F.col("pubDate")),
+             _element("updated", F.col("updated"))]
+    end = F.when(F.expr(_CUT), F.lit("")).otherwise(F.lit("</item>"))
     return df.select("doc_id", "source", F.concat(
-        F.lit("<item>"), F.concat_ws("", *parts), F.lit("</item>")).alias("xml"))
+        F.lit("<item>"), F.concat_ws("", *parts), end).alias("xml"))
+
+
+ENTRIES_A_FEED = 1_000  # ids; some fifty entries of one source
+
+
+def atom_feeds(spark, sf_dir):
+    """(source, part, value): Atom feeds of some fifty articles, linked by attribute."""
+    df = articles(spark, sf_dir)
+    link = F.when(F.col("url").isNotNull(), F.concat(
+        F.lit('<link rel="self" href="http://example.com/feed"/><link href="'), F.col("url"),
+        F.lit('"/>')))
+    parts = [_element("title", F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.col("title"))),
+             _element("summary", F.col("text")), link,
+             _element("published", F.concat(F.col("date"), F.lit("T10:00:00Z")))]
+    entry = F.concat(F.lit("<entry>"), F.concat_ws("", *parts), F.lit("</entry>"))
+    part = F.floor(F.col("doc_id") / ENTRIES_A_FEED)
+    return df.groupBy("source", part.alias("part")).agg(F.concat(
+        F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'),
+        F.array_join(F.collect_list(entry), ""), F.lit("</feed>")).alias("value"))
 
 
 def _strip(col: str) -> str:
     return f"regexp_replace({col}, '^[{WS}]+|[{WS}]+$', '', 'g')"
 
 
+_TITLED = "doc_id || ' ' || title"
+
+
 @query("rss_entries", f"""WITH {ARTICLES_SQL}
 SELECT doc_id, {_strip('title')} AS title,
   md5({_strip(f"{_strip('title')} || '. ' || {_strip('text')}")}) AS text_md5,
-  {_DAY} AS date, coalesce(url, '') AS url, source FROM articles""")
+  {_DAY} AS date, coalesce(url, '') AS url, source FROM articles WHERE NOT ({_CUT})""")
 def rss_entries(spark, sf_dir):
     """Items parsed from XML and turned into articles."""
-    items = parse_items(feed_items(spark, sf_dir), "xml")
+    items, _ = parse_items(feed_items(spark, sf_dir), "xml")
     rows = entries_to_articles(items, F.col("source"), F.lit(INGESTED).cast("timestamp"))
     return rows.select("doc_id", "title", F.md5("text").alias("text_md5"), "date", "url", "source")
 
 
+@query("rss_broken", f"SELECT doc_id, source FROM documents WHERE {_CUT}")
+def rss_broken(spark, sf_dir):
+    """Items that are no XML, set aside."""
+    return parse_items(feed_items(spark, sf_dir), "xml")[1].select("doc_id", "source")
+
+
+@query("atom_entries", f"""WITH {ARTICLES_SQL}
+SELECT {_strip("doc_id || ' ' || title")} AS title,
+  md5({_strip(f"{_strip(_TITLED)} || '. ' || {_strip('text')}")}) AS text_md5, date,
+  coalesce(url, 'http://example.com/feed') AS url, source FROM articles""")
+def atom_entries(spark, sf_dir):
+    """Feed files of every source, landed as XML and read back."""
+    path = work_dir(spark, "atom")
+    atom_feeds(spark, sf_dir).write.partitionBy("source", "part").text(path)
+    items, _ = read_feeds(spark, path, "atom")
+    rows = entries_to_articles(items, F.col("source"), F.lit(INGESTED).cast("timestamp"))
+    return rows.select("title", F.md5("text").alias("text_md5"), "date",
+                       F.when(F.col("url") == "", "http://example.com/feed")
+                       .otherwise(F.col("url")).alias("url"), "source")
+
+
 _BARE_TEXT = _strip("title || '. ' || text")
 
 
@@ -85,32 +135,42 @@ def rss_text(spark, sf_dir):
 _BODY = f"regexp_replace(html, '{HIDDEN_PATTERN}', '', 'g')"
 
 
+# The references that occur in the pages; ``amp`` comes last.
+_REFERENCES = {"copy": "©", "middot": "·", "lt": "<", "gt": ">", "quot": '"', "nbsp": "\u00a0",
+               "amp": "&"}
+
+
 def _decoded(col: str) -> str:
-    for name, char in ENTITIES:
-        char = char.replace("'", "''")
+    for name, char in _REFERENCES.items():
         col = f"replace({col}, '&{name};', '{char}')"
     return col
 
 
+_TAG_SQL = ANY_TAG.replace("'", "''")
+
+
 def _plain(col: str) -> str:
-    return _strip(_decoded(f"regexp_replace({col}, '<[^>]*>', '', 'g')"))
+    return _strip(_decoded(f"regexp_replace({col}, '{_TAG_SQL}', '', 'g')"))
 
 
 def _joined(col: str) -> str:
-    return _strip(_decoded(f"regexp_replace({col}, '[{WS}]*<[^>]*>[{WS}]*', '', 'g')"))
+    return _strip(_decoded(f"regexp_replace({col}, '[{WS}]*{_TAG_SQL}[{WS}]*', '', 'g')"))
 
 
 _ROOT = "regexp_extract(url, '^[A-Za-z]+://[^/?#]+')"
 _HREF = _decoded("""regexp_extract({0}, '(?i)href="([^"]*)"', 1)""")
 
 
+_P_SQL, _H1_SQL = (x.replace("'", "''") for x in (pg.PARAGRAPH_START, pg.H1))
+
+
 @query("html_article", f"""WITH bodies AS (SELECT page_id, url, {_BODY} AS body FROM pages),
 parts AS (SELECT page_id, url, body, list_filter(list_transform(
-    string_split_regex(body, '{pg.PARAGRAPH_START}')[2:],
+    string_split_regex(body, '{_P_SQL}')[2:],
     lambda p: {_plain(f"string_split_regex(p, '{pg.PARAGRAPH_END}')[1]")}),
   lambda t: length(t) > 30) AS ps FROM bodies)
 SELECT page_id, url, CASE WHEN regexp_matches(body, '(?i)<h1')
-    THEN {_plain(f"regexp_extract(body, '{pg.H1}', 1)")} ELSE 'Unknown Title' END AS title,
+    THEN {_plain(f"regexp_extract(body, '{_H1_SQL}', 1)")} ELSE 'Unknown Title' END AS title,
   md5(array_to_string(ps, ' ')) AS text_md5 FROM parts WHERE len(ps) > 0""")
 def html_article(spark, sf_dir):
     return pg.html_article(pages(spark, sf_dir)).select(
@@ -150,24 +210,55 @@ def html_anchors(spark, sf_dir):
     return pg.html_anchors(listing_pages(spark, sf_dir), min_len=MIN_LINK).drop("url")
 
 
-@query("resolve_links", f"""WITH hrefs AS (SELECT page_id, url, CASE page_id % 4
-    WHEN 0 THEN '/news/' || page_id WHEN 1 THEN 'news/' || page_id
-    WHEN 2 THEN 'https://other.example.org/' || page_id ELSE 'httpd/' || page_id END AS href FROM pages)
-SELECT page_id, CASE WHEN starts_with(href, 'http') THEN href ELSE {_ROOT} ||
+_SHAPES = ["absolute", "host", "rooted", "relative", "query", "fragment", "up", "here"]
+
+
+def _shape_sql(href: str) -> str:
+    word = f"replace({href}, '/', '')"
+    return (f"CASE ord % {len(_SHAPES)} WHEN 0 THEN 'https://other.example.org' || {href} "
+            f"WHEN 1 THEN '//other.example.org' || {href} WHEN 2 THEN {href} WHEN 3 THEN {word} "
+            f"WHEN 4 THEN '?q=' || {word} WHEN 5 THEN '#' || {word} "
+            f"WHEN 6 THEN '../' || {word} ELSE './x/../' || {word} END")
+
+
+def _page_links(spark, sf_dir):
+    """(page_id, url, ord, href): the links of every page, written in eight ways."""
+    body = visible(F.col("html"))
+    tags = F.regexp_extract_all(body, F.lit(r"(?is)<a\b[^>]*>"), F.lit(0))
+    links = pages(spark, sf_dir).select("page_id", "url", F.posexplode(tags).alias("ord", "tag"))
+    href, word = F.col("h"), F.replace("h", F.lit("/"), F.lit(""))
+    shapes = [F.concat(F.lit("https://other.example.org"), href),
+              F.concat(F.lit("//other.example.org"), href), href, word,
+              F.concat(F.lit("?q="), word), F.concat(F.lit("#"), word),
+              F.concat(F.lit("../"), word), F.concat(F.lit("./x/../"), word)]
+    return links.withColumn("h", attribute(F.col("tag"), "href")).select(
+        "page_id", "url", "ord", F.get(F.array(*shapes), F.col("ord") % len(_SHAPES)).alias("href"))
+
+
+_PATH = "regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1)"
+_FOLDER = f"regexp_extract({_PATH}, '^(.*/)', 1)"
+_UP = f"regexp_extract({_PATH}, '^(.*/)[^/]*/[^/]*$', 1)"
+_W = "replace(h, '/', '')"
+
+
+@query("resolve_links", f"""WITH bodies AS (SELECT page_id, url, regexp_extract_all({_BODY},
+    '(?is)<a\\b[^>]*>') AS l FROM pages),
+each AS (SELECT page_id, url, unnest(l) AS tag, generate_subscripts(l, 1) - 1 AS ord FROM bodies),
+cut AS (SELECT page_id, url, CAST(ord AS INT) AS ord, {_HREF.format('tag')} AS h FROM each),
+hrefs AS (SELECT *, {_shape_sql('h')} AS href FROM cut)
+SELECT page_id, ord, href, CASE WHEN starts_with(href, 'http') THEN href ELSE {_ROOT} ||
   CASE WHEN starts_with(href, '/') THEN '' ELSE '/' END || href END AS prefix_link,
-  CASE page_id % 4 WHEN 0 THEN {_ROOT} || href WHEN 2 THEN href ELSE NULL END AS rfc_link FROM hrefs""")
+  CASE ord % {len(_SHAPES)} WHEN 0 THEN href
+    WHEN 1 THEN regexp_extract(url, '^[A-Za-z]+:') || href WHEN 2 THEN {_ROOT} || h
+    WHEN 3 THEN {_ROOT} || {_FOLDER} || {_W} WHEN 4 THEN {_ROOT} || {_PATH} || href
+    WHEN 5 THEN regexp_extract(url, '^[^#]*') || href
+    WHEN 6 THEN {_ROOT} || {_UP} || {_W} ELSE {_ROOT} || {_FOLDER} || {_W} END AS rfc_link
+FROM hrefs""")
 def resolve_links(spark, sf_dir):
-    """Both rules; the RFC join is shown for rooted and absolute links."""
-    i = F.col("page_id")
-    href = (F.when(i % 4 == 0, F.concat(F.lit("/news/"), i.cast("string")))
-            .when(i % 4 == 1, F.concat(F.lit("news/"), i.cast("string")))
-            .when(i % 4 == 2, F.concat(F.lit("https://other.example.org/"), i.cast("string")))
-            .otherwise(F.concat(F.lit("httpd/"), i.cast("string"))))
-    df = pages(spark, sf_dir).select("page_id", "url", href.alias("href"))
-    return df.select(
-        "page_id", resolve_link(F.col("url"), F.col("href")).alias("prefix_link"),
-        resolve_link(F.col("url"), F.col("href"), "rfc").alias("rfc")).select(
-            "page_id", "prefix_link", F.when(i % 2 == 0, F.col("rfc")).alias("rfc_link"))
+    """Both rules on the links of every page."""
+    return _page_links(spark, sf_dir).select(
+        "page_id", "ord", "href", resolve_link(F.col("url"), F.col("href")).alias("prefix_link"),
+        resolve_link(F.col("url"), F.col("href"), "rfc").alias("rfc_link"))
 
 
 @query("link_census", f"""WITH {LISTING_SQL},

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from beatwire.catalog.registry import query
-from beatwire.catalog.views import ARTICLES_SQL, articles, headline_phrase
+from beatwire.catalog.views import ARTICLES_SQL, articles
 from beatwire.operators import merge as mg
 
 CAP = 15
@@ -13,7 +13,7 @@ CAP = 15
 
 def _group_cols(spark, sf_dir):
     """articles with the position of their feed, ``src7`` being feed 7."""
-    return articles(spark, sf_dir).select("doc_id", "ord", "url", "source", "date").withColumn(
+    return articles(spark, sf_dir).select("doc_id", "ord", "title", "url", "source").withColumn(
         "feed_rank", F.substring("source", 4, 9).cast("int"))
 
 
@@ -31,19 +31,15 @@ def cap_then_dedupe(spark, sf_dir):
 
 
 @query("site_dedupe_then_cap", f"""WITH {_FEEDS},
-named AS (SELECT f.*, concat_ws(' ', a.headline, strftime(CAST(f.date AS DATE), '%m/%Y'))
-  AS headline FROM feeds f JOIN articles0 a USING (doc_id)),
-single AS (SELECT *, row_number() OVER (PARTITION BY source, headline ORDER BY ord) AS hn
-  FROM named),
+single AS (SELECT *, row_number() OVER (PARTITION BY source, title ORDER BY ord) AS hn
+  FROM feeds),
 kept AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ord) AS rn
   FROM single WHERE hn = 1)
-SELECT doc_id, headline, source FROM kept WHERE rn <= {CAP}""")
+SELECT doc_id, title, source FROM kept WHERE rn <= {CAP}""")
 def dedupe_then_cap(spark, sf_dir):
-    """De-duplicated by phrase and month, which repeat within a source."""
-    df = _group_cols(spark, sf_dir).withColumn("headline", F.concat_ws(
-        " ", headline_phrase(), F.date_format(F.to_date("date"), "MM/yyyy")))
-    return mg.cap_dedupe(df, "source", "headline", CAP, "feed_rank", "ord",
-                         "dedupe_first").select("doc_id", "headline", "source")
+    """One article per title of a source, then the cap."""
+    return mg.cap_dedupe(_group_cols(spark, sf_dir), "source", "title", CAP, "feed_rank", "ord",
+                         "dedupe_first").select("doc_id", "title", "source")
 
 
 @query("source_dedupe_then_cap", f"""WITH {_FEEDS},
@@ -60,15 +56,19 @@ def batches(spark, sf_dir):
     """A new batch, the articles with an odd id, and an old one, the rest.
 
     A repeated address belongs to two neighbouring ids, so to both batches.
+    ``ord`` is the place in the feed: it repeats over feeds and some rows have none.
     """
-    df = articles(spark, sf_dir).select("doc_id", "ord", "title", "date", "url", "source")
+    df = articles(spark, sf_dir).select("doc_id", "title", "date", "url", "source").withColumn(
+        "ord", F.when(F.col("doc_id") % 23 != 0, F.floor(F.col("doc_id") / 20)))
     late = F.col("doc_id") % 2 == 1
     return df.where(late), df.where(~late)
 
 
-BATCHES_SQL = f"""{ARTICLES_SQL}, rowsx AS (SELECT *,
+PLACE_SQL = "batch_rank, ord NULLS LAST, date, doc_id"
+BATCHES_SQL = f"""{ARTICLES_SQL}, rowsx AS (SELECT * REPLACE (
+  CASE WHEN doc_id % 23 <> 0 THEN doc_id // 20 END AS ord),
   CASE WHEN doc_id % 2 = 1 THEN 0 ELSE 1 END AS batch_rank FROM articles),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY batch_rank, ord) AS rn
+ranked AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY {PLACE_SQL}) AS rn
   FROM rowsx),
 merged AS (SELECT doc_id, title, date, url, source, batch_rank, ord FROM ranked WHERE rn = 1)"""
 
@@ -91,7 +91,7 @@ def merge_batch(spark, sf_dir):
 
 
 @query("merge_cap", f"WITH {BATCHES_SQL} SELECT doc_id, title, date, url, source, batch_rank "
-       "FROM merged ORDER BY batch_rank, ord LIMIT 500")
+       f"FROM merged ORDER BY {PLACE_SQL} LIMIT 500")
 def merge_cap(spark, sf_dir):
     """The merged table as it is kept: the first 500 rows."""
     new, old = batches(spark, sf_dir)

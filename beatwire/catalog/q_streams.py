@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from beatwire.catalog.q_articles import ALERT_SQL, CRITICAL_SQL
-from beatwire.catalog.q_merge import BATCHES_SQL, batches
+from beatwire.catalog.q_merge import BATCHES_SQL, PLACE_SQL, batches
 from beatwire.catalog.registry import query, table
-from beatwire.catalog.views import ARTICLES_SQL, LABELLED_SQL, as_articles, as_labelled
+from beatwire.catalog.views import (
+    ARTICLES_SQL, LABELLED_SQL, PHRASES, articles, as_articles, as_labelled,
+)
+from beatwire.dims import TAX11
+from beatwire.operators.classify import lexicon_scorer
+from beatwire.plans.refresh import start_alerts
 from beatwire.session import work_dir
 from beatwire.streaming import streams as st
 
@@ -34,10 +39,15 @@ def stream_ingest(spark, sf_dir):
     return _appended(spark, sdf.select("doc_id", "title", "date", "url", "source"), "ingest")
 
 
-@query("stream_dedupe", f"WITH {ARTICLES_SQL} SELECT DISTINCT url FROM articles")
+@query("stream_dedupe", f"""WITH {ARTICLES_SQL} SELECT url, NULL AS title FROM articles
+WHERE url IS NOT NULL GROUP BY url UNION ALL SELECT NULL, title FROM
+(SELECT DISTINCT title, text FROM articles WHERE url IS NULL)""")
 def stream_dedupe(spark, sf_dir):
-    sdf = _timed(as_articles(_landed(spark, sf_dir, "documents")).select("url", "date"))
-    return _appended(spark, st.stream_dedupe(sdf), "dedupe").select("url")
+    """One arrival per address; without an address, per title and text."""
+    sdf = _timed(as_articles(_landed(spark, sf_dir, "documents")).select(
+        "url", "title", "text", "date"))
+    return _appended(spark, st.stream_dedupe(sdf), "dedupe").select(
+        "url", F.when(F.col("url").isNull(), F.col("title")).alias("title"))
 
 
 @query("stream_alerts", f"WITH {LABELLED_SQL} SELECT doc_id, {ALERT_SQL} AS message FROM labelled "
@@ -60,7 +70,7 @@ def stream_trend(spark, sf_dir):
 
 
 @query("stream_merge", f"WITH {BATCHES_SQL} SELECT doc_id, title, date, url, source "
-       "FROM merged ORDER BY batch_rank, ord LIMIT 500")
+       f"FROM merged ORDER BY {PLACE_SQL} LIMIT 500")
 def stream_merge(spark, sf_dir):
     """The old batch lands and is merged, then the new one; the table as it then stands."""
     root = work_dir(spark, "merge")
@@ -71,3 +81,21 @@ def stream_merge(spark, sf_dir):
         st.start_merge(sdf, f"{root}/table", f"{root}/checkpoint", once=True).awaitTermination()
     return st.current_version(spark, f"{root}/table").select(
         "doc_id", "title", "date", "url", "source")
+
+
+@query("refresh_alerts", f"WITH {LABELLED_SQL} SELECT DISTINCT url, "
+       f"CASE WHEN url IS NULL THEN {ALERT_SQL} END AS message FROM labelled WHERE {CRITICAL_SQL}")
+def refresh_alerts(spark, sf_dir):
+    """Alerts of two landings, classified from the text; none without an address is lost."""
+    root = work_dir(spark, "refresh-alerts")
+    df = articles(spark, sf_dir).select("doc_id", "title", "text", "url", "date").withColumn(
+        "ts", F.to_timestamp("date"))
+    late = F.col("doc_id") % 2 == 1
+    for batch in (df.where(~late), df.where(late)):
+        batch.write.mode("append").parquet(f"{root}/landing")
+        sdf = st.stream_table(spark, f"{root}/landing", batch.schema)
+        start_alerts(sdf, f"{root}/rows", f"{root}/checkpoint", TAX11,
+                     lexicon_scorer(PHRASES, hits_for_one=2), delay="1000 days",
+                     once=True).awaitTermination()
+    return spark.read.parquet(f"{root}/rows").select(
+        "url", F.when(F.col("url").isNull(), F.col("message")).alias("message")).distinct()

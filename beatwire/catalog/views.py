@@ -11,10 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beatwire.catalog.registry import table
-from beatwire.dims import OUTLETS, TAX11
+from beatwire.dims import OUTLETS, TAX11, phrase_vocab
 from beatwire.functions.text import (
-    KEYWORD_STRIP, TAG_PATTERN, URL_PATTERN, WS, non_word_filter,
+    KEYWORD_STRIP, TAG_PATTERN, URL_PATTERN, WS, clean_text, non_word_filter,
 )
+from beatwire.operators.classify import classify, lexicon_scorer
+
+# Words of the names of the eleven categories.
+PHRASES = phrase_vocab()
 
 # One phrase per headline, by doc_id % 12.
 HEADLINES = [
@@ -114,34 +118,16 @@ articles AS (
   FROM articles1)"""
 
 
-# Flags of the eleven categories as simple functions of the id, for the
-# operators that start from a labelled table.
-FLAG_STEPS = {c: 3 + 2 * n for n, c in enumerate(TAX11)}
-
-
 def as_labelled(df: DataFrame) -> DataFrame:
-    """articles with TAX11 flags; ``murder`` on every third, ``rape`` on every fifth, ..."""
-    flags = {c: F.when(F.col("doc_id") % step == 1, 1).otherwise(0)
-             for c, step in FLAG_STEPS.items() if c != "non_crime"}
-    df = df.withColumns(flags)
-    none = F.greatest(*[F.col(c) for c in flags]) == 0
-    return df.withColumn("non_crime", none.cast("int"))
+    """articles with TAX11 flags, scored on the cleaned text."""
+    cleaned = df.withColumn("clean_text", clean_text(F.col("text")))
+    return classify(cleaned, lexicon_scorer(PHRASES, hits_for_one=2), TAX11)
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_labelled(articles(spark, sf_dir))
 
 
-_FLAGS_SQL = ", ".join(
-    f"CASE WHEN doc_id % {step} = 1 THEN 1 ELSE 0 END AS {c}"
-    for c, step in FLAG_STEPS.items() if c != "non_crime")
-_ANY_SQL = ", ".join(c for c in TAX11 if c != "non_crime")
-LABELLED_SQL = f"""{ARTICLES_SQL},
-labelled0 AS (SELECT *, {_FLAGS_SQL} FROM articles),
-labelled AS (SELECT *, CASE WHEN greatest({_ANY_SQL}) = 0 THEN 1 ELSE 0 END AS non_crime
-             FROM labelled0)"""
-
-
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), "text")
 
@@ -195,3 +181,33 @@ def keywords_sql(source: str, key: str, col: str, name: str, limit: int = 10) ->
                 WHERE rn <= {limit} GROUP BY {key}),
 {name} AS (SELECT s.{key}, coalesce(l.kws, []) AS kws
            FROM (SELECT {key} FROM {source}) s LEFT JOIN {name}_list l USING ({key}))"""
+
+
+def hits_sql(col: str, words: list[str]) -> str:
+    listed = ", ".join("'" + w.lower() + "'" for w in words)
+    return (f"len(list_distinct(list_filter(string_split_regex(lower({col}), '[{WS}]+'), "
+            f"lambda w: list_contains([{listed}]::VARCHAR[], w))))")
+
+
+def scores_sql(source: str, col: str, vocab: dict, divisor: int) -> str:
+    """A table with the columns of ``source`` and one score per category."""
+    per = ", ".join(f"least(1.0::DOUBLE, {hits_sql(col, ws)} / {divisor}.0::DOUBLE) AS s_{c}"
+                    for c, ws in vocab.items())
+    return f"SELECT *, {per} FROM {source}"
+
+
+def flags_sql(source: str, col: str, cats: list[str], thr: float = 0.4,
+              min_len: int = 10, out: str = "") -> str:
+    long_enough = (f"length(regexp_replace({col}, '^[{WS}]+|[{WS}]+$', '', 'g')) >= {min_len}")
+    crime = " OR ".join(f"s_{c} > {thr}" for c in cats if c != "non_crime")
+    cols = []
+    for c in cats:
+        cond = f"s_{c} > {thr}" + (f" OR NOT ({crime})" if c == "non_crime" else "")
+        cols.append(f"CAST({long_enough} AND ({cond}) AS INTEGER) AS {out}{c}")
+    return f"SELECT *, {', '.join(cols)} FROM {source}"
+
+
+LABELLED_SQL = (f"{ARTICLES_SQL}, "
+                f"cleaned0 AS (SELECT *, {clean_sql('text')} AS clean_text FROM articles), "
+                f"scored0 AS ({scores_sql('cleaned0', 'clean_text', PHRASES, 2)}), "
+                f"labelled AS ({flags_sql('scored0', 'clean_text', TAX11)})")

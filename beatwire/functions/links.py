@@ -2,52 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from urllib.parse import urljoin
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from beatwire.functions.text import WS, bind, strip_space
 
-# Named character references of the HTML standard that occur in
-# running news text. ``amp`` is last so that an escaped reference stays escaped.
-ENTITIES = [
-    ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "),
-    ("copy", "©"), ("reg", "®"), ("trade", "™"), ("middot", "·"), ("bull", "•"),
-    ("ndash", "–"), ("mdash", "—"), ("lsquo", "‘"), ("rsquo", "’"), ("ldquo", "“"),
-    ("rdquo", "”"), ("hellip", "…"), ("deg", "°"), ("pound", "£"), ("euro", "€"),
-    ("laquo", "«"), ("raquo", "»"), ("amp", "&"),
-]
+# Named character references of the HTML standard that end in a semicolon.
+REFERENCES = {name[:-1]: char for name, char in html5.items() if name.endswith(";")}
+REFERENCE = r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"
 
 # Comments, and elements whose content is not text.
 HIDDEN_PATTERN = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
-ANY_TAG = r"<[^>]*>"
+# What follows the name of a tag; a quoted value may hold a closing bracket.
+REST = r"""(?:[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*|[^>]*)"""
+ANY_TAG = f"<{REST}>"
 
 
-def _from_code_point(n: Column) -> Column:
-    return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+def _code_point(digits: Column, base: int) -> Column:
+    """The character of a number; U+FFFD for numbers that name none."""
+    short = F.regexp_replace(digits, "^0+", "")
+    n = F.when(F.length(short) <= 8, F.conv(short, base, 10).cast("bigint"))
+    named = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(F.when(named, n)), 8, "0")), "UTF-32")
+    return F.when(named, char).otherwise("\ufffd")
 
 
-def _numeric_references(c: Column, pattern: str, prefix: str, base: int) -> Column:
-    def replaced(text: Column) -> Column:
-        codes = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
-        return F.aggregate(codes, text, lambda acc, n: F.replace(
-            acc, F.concat(F.lit(prefix), n, F.lit(";")),
-            _from_code_point(F.conv(n, base, 10).cast("bigint"))))
-
-    return bind(c, replaced)
+def _reference(ref: Column) -> Column:
+    """The character of one reference; an unknown name stays as it is."""
+    inner = F.substr(ref, F.lit(2), F.length(ref) - 2)
+    names = F.create_map(*[F.lit(x) for kv in REFERENCES.items() for x in kv])
+    return (F.when(F.rlike(inner, F.lit("^#[xX]")), _code_point(F.substr(inner, F.lit(3)), 16))
+            .when(F.startswith(inner, F.lit("#")), _code_point(F.substr(inner, F.lit(2)), 10))
+            .otherwise(F.coalesce(F.try_element_at(names, inner), ref)))
 
 
 def _decoded(c: Column) -> Column:
-    out = c
-    for name, char in ENTITIES[:-1]:
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    out = _numeric_references(out, r"&#([0-9]{1,6});", "&#", 10)
-    out = bind(out, lambda t: _numeric_references(t, r"&#x([0-9A-Fa-f]{1,5});", "&#x", 16))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    """References and what stands between them, in one pass: nothing is decoded twice."""
+    parts = F.regexp_extract_all(c, F.lit(f"{REFERENCE}|[^&]+|&"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.when(
+        F.startswith(p, F.lit("&")) & (F.length(p) > 1), _reference(p)).otherwise(p)), "")
 
 
 def decode_entities(c: Column) -> Column:
@@ -89,21 +84,53 @@ def site_host(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1)
 
 
-@F.pandas_udf(T.StringType())
-def _urljoin(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for base, href in batches:
-        yield pd.Series([urljoin(b or "", h or "") for b, h in zip(base, href)],
-                        dtype="object")
+# Parts of an address by RFC 3986, appendix B.
+PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
+
+
+def _part(c: Column, k: int) -> Column:
+    return F.regexp_extract(c, f"(?s){PARTS}", k)
+
+
+def _without_dots(path: Column) -> Column:
+    """RFC 3986, 5.2.4: steps over "." and back over ".."."""
+    steps = F.split(path, "/")
+
+    def walk(done: Column, step: Column) -> Column:
+        up = F.when(F.size(done) > 1, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(done)
+        return F.when(step == "..", up).when(step == ".", done).otherwise(
+            F.concat(done, F.array(step)))
+
+    kept = F.aggregate(steps, F.array().cast("array<string>"), walk)
+    folder = F.element_at(steps, -1).isin(".", "..")
+    return F.array_join(F.when(folder, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+
+
+def _join(base: Column, href: Column) -> Column:
+    scheme, host = F.concat(_part(base, 1), F.lit(":")), _part(base, 2)
+    path, base_path = _part(href, 3), _part(base, 3)
+    tail = F.concat(_part(href, 4), _part(href, 5))
+    folder = F.when(base_path == "", "/").otherwise(F.regexp_extract(base_path, r"(?s)^(.*/)", 1))
+    joined_ = (
+        F.when(_part(href, 1) != "", href)
+        .when(_part(href, 2) != "", F.concat(scheme, _part(href, 2), _without_dots(path), tail))
+        .when(F.startswith(path, F.lit("/")), F.concat(scheme, host, _without_dots(path), tail))
+        .when(path != "", F.concat(scheme, host, _without_dots(F.concat(folder, path)), tail))
+        .when(_part(href, 4) != "", F.concat(scheme, host, base_path, tail))
+        .otherwise(F.concat(scheme, host, base_path, _part(base, 4), tail)))
+    # brackets belong to numeric hosts and come in pairs
+    odd = F.rlike(F.concat(_part(href, 2), host), F.lit(r"\[[^\]]*$|^[^\[]*\]"))
+    return F.when(~odd & (_part(base, 1) != ""), joined_)
 
 
 def resolve_link(base: Column, href: Column, rule: str = "prefix") -> Column:
-    """Absolute address of a link.
+    """Absolute address of a link; null for one that cannot be joined.
 
     ``prefix`` puts the site root before anything that does not start with
     ``http``; ``rfc`` joins by RFC 3986.
     """
     if rule == "rfc":
-        return _urljoin(base, href)
+        return bind(F.array(base, strip_space(href)), lambda p: _join(p[0], p[1]))
     if rule != "prefix":
         raise ValueError(f"unknown rule {rule!r}")
     slash = F.when(F.startswith(href, F.lit("/")), F.lit("")).otherwise(F.lit("/"))

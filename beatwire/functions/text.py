@@ -123,7 +123,7 @@ def _language_of(text: Column) -> Column:
         for i, (s, r) in enumerate(SCRIPT_RANGES.items())])
     lang = F.create_map(*[F.lit(v) for kv in SCRIPT_LANG.items() for v in kv])
     latin = F.regexp_count(text, F.lit("[a-z]"))
-    by_script = bind(F.array_max(letters), lambda top: F.when(latin > top["n"], "en").when(
+    by_script = bind(F.array_max(letters), lambda top: F.when((latin > top["n"]) | (top["n"] == 0), "en").when(
         top["script"] == "devanagari", F.when(marathi > hindi, "mr").otherwise("hi")
     ).otherwise(F.try_element_at(lang, top["script"])))
     indic = F.rlike(text, F.lit(r"[\x{0900}-\x{0D7F}]"))
@@ -133,8 +133,8 @@ def _language_of(text: Column) -> Column:
 def detect_language(c: Column) -> Column:
     """Language from the dominant script; Marathi and Hindi by function words.
 
-    Fewer than five words, or no Indian script, means ``en``. A text without
-    any Indian character is settled by one search.
+    Fewer than five words, or no letter of a known Indian script, means ``en``.
+    A text without any Indian character is settled by one search.
     """
     return bind(F.coalesce(c, F.lit("")), _language_of)
 

@@ -46,18 +46,33 @@ def lexicon_scorer(vocab: Mapping[str, Sequence[str]], hits_for_one: int = 3) ->
     return score
 
 
-def model_scorer(load: Callable[[], Callable[[list[str]], np.ndarray]]) -> Scorer:
-    """A scorer around any model of text against labels.
+# Models of this worker process, by name.
+_MODELS: dict[str, Callable] = {}
 
-    ``load`` runs once per Python worker and returns a function from a list of
-    texts to a matrix with one row per text and one column per category.
+
+def model_scorer(name: str, load: Callable[[], Callable[[list[str], list[str]], np.ndarray]],
+                 phrases: Sequence[str]) -> Scorer:
+    """A scorer around any model of text against label phrases.
+
+    ``load`` runs once per Python worker process and name; it returns a function
+    from a list of texts and the phrases to a matrix with one row per text and
+    one column per phrase. If a batch fails its texts are tried one by one, and
+    a text that fails alone gets no scores.
     """
+    phrases = list(phrases)
+
+    def rows(model: Callable, texts: list[str]) -> list:
+        try:
+            return list(np.asarray(model(texts, phrases), dtype="float64").reshape(len(texts), -1))
+        except Exception:  # whatever the model raises, the other texts are scored
+            return [None] if len(texts) == 1 else [r for t in texts for r in rows(model, [t])]
+
     @F.pandas_udf("array<double>")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load()
+        if name not in _MODELS:
+            _MODELS[name] = load()
         for texts in batches:
-            matrix = np.asarray(model(texts.fillna("").tolist()), dtype="float64")
-            yield pd.Series(list(matrix))
+            yield pd.Series(rows(_MODELS[name], texts.fillna("").tolist()), dtype=object)
 
     return lambda df, text_col: df.withColumn("scores", predict(F.col(text_col)))
 

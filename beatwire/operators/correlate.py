@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from beatwire.functions.stats import pearson, pearson_p
 from beatwire.operators.trend import fill_gaps
+from beatwire.session import written
 
-# Upper bound on the number of months a calendar of four-digit years has.
-CALENDAR_MONTHS = 12 * 9999
+
+# Place of a row in the file it was read from.
+ROW_NUMBER = "row_number"
 
 
 def monthly(baseline: DataFrame, categories: Sequence[str], date_col: str = "date") -> DataFrame:
@@ -28,11 +30,11 @@ def _bound(df: DataFrame, fn, col: str = "month_end") -> Column:
 
 
 def _shared(a: DataFrame, b: DataFrame) -> list[str]:
-    return [c for c in a.columns if c in b.columns and c not in ("month_end", "pos", "date")]
+    return [c for c in a.columns if c in b.columns and c not in ("month_end", "pos", "date", ROW_NUMBER)]
 
 
 def _numbered(df: DataFrame, order: str) -> DataFrame:
-    """Positions from 1. The input has at most one row per month of the calendar."""
+    """Positions from 1. The input has one row per month at most, or as many rows as months."""
     return df.withColumn("pos", F.row_number().over(W.orderBy(order)))
 
 
@@ -46,14 +48,19 @@ def _paired(left: DataFrame, right: DataFrame, on: str, cats: Sequence[str]) ->
 
 
 def align_months(trend: DataFrame, baseline: DataFrame, mode: str = "by_month",
-                 date_col: str = "date") -> DataFrame:
+                 date_col: str = "date", position: str | None = None) -> DataFrame:
     """Pairs of predicted and official values, one row per category and place.
 
     ``by_month`` pairs equal months. ``positional`` repeats the pairing by
     place: statistics are cut to the months both sides cover, then both series
     are read from their first row until the shorter ends. When the two share
     no month the first raw, unsummed statistics rows are used instead, as many
-    as there are predicted months. Categories absent on a side give no row.
+    as there are predicted months, in the order of ``position`` (the row number
+    of the file; the date where there is none). Categories absent on a side
+    give no row.
+
+    Positional pairing keeps both monthly series, a row a month, as tables and
+    reads their bounds from there.
     """
     cats = _shared(trend, baseline)
     months = monthly(baseline, cats, date_col)
@@ -61,12 +68,17 @@ def align_months(trend: DataFrame, baseline: DataFrame, mode: str = "by_month",
         return _paired(trend, months, "month_end", cats)
     if mode != "positional":
         raise ValueError(f"unknown mode {mode!r}")
-    start = F.greatest(_bound(trend, F.min), _bound(months, F.min))
-    end = F.least(_bound(trend, F.max), _bound(months, F.max))
-    cut = months.where(F.col("month_end").between(start, end))
-    raw = (baseline.orderBy(date_col).limit(CALENDAR_MONTHS)
-           .select(F.col(date_col).alias("month_end"), *cats).where(start > end))
-    official = _numbered(cut.unionByName(raw), "month_end")
+    trend, months = written(trend, "trend"), written(months, "months")
+    bounds = [F.min("month_end").alias("first"), F.max("month_end").alias("last"),
+              F.count("*").alias("n")]
+    t, m = trend.agg(*bounds).first(), months.agg(*bounds).first()
+    if t.n and m.n and max(t.first, m.first) <= min(t.last, m.last):
+        official = _numbered(months.where(F.col("month_end").between(
+            max(t.first, m.first), min(t.last, m.last))), "month_end")
+    else:
+        place = position or date_col
+        official = _numbered(baseline.orderBy(place).limit(t.n).select(
+            F.col(place).alias("place"), *cats), "place")
     return _paired(_numbered(trend, "month_end"), official, "pos", cats)
 
 

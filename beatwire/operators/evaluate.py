@@ -84,3 +84,12 @@ def predict_svm(model: PipelineModel, df: DataFrame, categories: Sequence[str])
     helpers = ["_tokens", "_counts", "_features", *[f"_raw_{c}" for c in categories]]
     return model.transform(df).drop(*helpers).withColumns(
         {f"p_{c}": F.col(f"p_{c}").cast("int") for c in categories})
+
+
+def save_svm(model: PipelineModel, path: str) -> None:
+    """Write the baseline where every executor can read it, replacing an older one."""
+    model.write().overwrite().save(path)
+
+
+def load_svm(path: str) -> PipelineModel:
+    return PipelineModel.load(path)

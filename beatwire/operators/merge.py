@@ -14,9 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Below this cap the kept keys are few enough to be sent to every task.
-KEY_BROADCAST_LIMIT = 10_000
-
 
 def union_sources(*dfs: DataFrame) -> DataFrame:
     """All rows, columns by name, missing ones null; ``source_rank`` is the position."""
@@ -47,10 +44,21 @@ def cap_dedupe(df: DataFrame, group: str, key: str, cap: int, group_order: str,
     raise ValueError(f"unknown order of steps {how!r}")
 
 
+def merge_order(df: DataFrame, order: Sequence[str] = ("ord",)) -> list[Column]:
+    """Newest batch first, then ``order``, nulls last; all other columns decide ties."""
+    place = ["batch_rank", *order]
+    others = sorted(f.name for f in df.schema.fields
+                    if f.name not in place and f.dataType.typeName() != "map")
+    return [F.asc_nulls_last(c) for c in (*place, *others)]
+
+
 def dedupe_keep_newest(df: DataFrame, key: str = "url",
                        order: Sequence[str] = ("ord",)) -> DataFrame:
-    """One row per key: the one of the newest batch, then the first in it."""
-    return first_per(df, [key], [F.asc(c) for c in ("batch_rank", *order)])
+    """One row per key: the one of the newest batch, then the first in it.
+
+    Null keys are one key. A table without the column keeps all its rows.
+    """
+    return first_per(df, [key], merge_order(df, order)) if key in df.columns else df
 
 
 def merge_batch(new: DataFrame, old: DataFrame | None, key: str = "url",
@@ -58,24 +66,19 @@ def merge_batch(new: DataFrame, old: DataFrame | None, key: str = "url",
                 first_run_raw: bool = False) -> DataFrame:
     """New rows before old ones, one row per key, the first ``cap`` of those.
 
-    The columns ``order`` number the rows of a batch, each value once. With a small cap only key and
-    order are shuffled to choose the survivors, whose rows are then fetched
-    by a broadcast of at most ``cap`` keys; article bodies never move. Without
-    a cap whole rows move once. ``first_run_raw`` leaves a first batch as is.
+    The columns ``order`` are the place of a row in its batch; places may
+    repeat or be null (those come last). Either batch is read once; every task
+    keeps one row per key before the shuffle and the first ``cap`` after it.
+    ``first_run_raw`` leaves a first batch as is.
     """
     if old is None and first_run_raw:
         return new.withColumn("batch_rank", F.lit(0))
     batches = [new.withColumn("batch_rank", F.lit(0))]
     if old is not None:
         batches.append(old.drop("batch_rank").withColumn("batch_rank", F.lit(1)))
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), batches)
-    place = ["batch_rank", *order]
-    if cap is None:
-        return dedupe_keep_newest(rows, key, order)
-    if cap > KEY_BROADCAST_LIMIT:
-        return dedupe_keep_newest(rows, key, order).orderBy(*place).limit(cap)
-    kept = dedupe_keep_newest(rows.select(key, *place), key, order).orderBy(*place).limit(cap)
-    return rows.join(F.broadcast(kept.select(*place)), place, "left_semi")
+    rows = dedupe_keep_newest(
+        reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), batches), key, order)
+    return rows if cap is None else rows.orderBy(*merge_order(rows, order)).limit(cap)
 
 
 def with_fallback(stored: DataFrame | None, others: Sequence[DataFrame],

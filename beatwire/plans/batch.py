@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from beatwire.dims import gazetteer
 from beatwire.functions.text import PARITY_SCRIPTS, clean_text, detect_language
@@ -25,7 +26,10 @@ def clean_articles(raw: DataFrame, scripts: Sequence[str] = PARITY_SCRIPTS,
     With ``keep_language`` a language stated by the source wins over the
     detected one.
     """
-    df = ensure_columns(require_columns(raw, ["text"]), ARTICLE)
+    # an address is not made up: a table without one is merged without de-duplication
+    schema = ARTICLE if "url" in raw.columns else T.StructType(
+        [f for f in ARTICLE.fields if f.name != "url"])
+    df = ensure_columns(require_columns(raw, ["text"]), schema)
     df = drop_empty_clean(df.withColumn("clean_text", clean_text(F.col("text"), scripts)))
     lang = detect_language(F.col("clean_text"))
     if keep_language and "language" in df.columns:

@@ -38,6 +38,21 @@ FEED_ITEM = T.StructType([
     T.StructField("updated", T.StringType()),
 ])
 
+# What is read of an RSS item (namespaces ignored) and of an Atom entry.
+RSS_ITEM = T.StructType(FEED_ITEM.fields + [
+    T.StructField("encoded", T.StringType()),   # content:encoded
+    T.StructField("date", T.StringType()),      # dc:date
+])
+ATOM_ENTRY = T.StructType([
+    T.StructField("title", T.StringType()),
+    T.StructField("summary", T.StringType()),
+    T.StructField("content", T.StringType()),
+    T.StructField("link", T.ArrayType(T.StructType([
+        T.StructField("_href", T.StringType()), T.StructField("_rel", T.StringType())]))),
+    T.StructField("published", T.StringType()),
+    T.StructField("updated", T.StringType()),
+])
+
 
 def baseline_schema(categories: Sequence[str]) -> T.StructType:
     """Official statistics: a date and one number per category."""

@@ -46,9 +46,31 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
+# Paths handed out by this driver and not yet removed.
+_HANDED_OUT: list[str] = []
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark)}/beatwire/{purpose}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/beatwire/{purpose}-{uuid.uuid4().hex}"
+    _HANDED_OUT.append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path of any file system that Spark knows; an absent one is no error."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop.getFileSystem(conf).delete(hadoop, True)
+
+
+def remove_intermediate(spark: SparkSession) -> None:
+    """Delete what :func:`work_dir` handed out so far.
+
+    To be called when the results that read it are written or collected.
+    """
+    while _HANDED_OUT:
+        remove(spark, _HANDED_OUT.pop())
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from beatwire.functions.dates import feed_date
 from beatwire.functions.text import strip_space
-from beatwire.schemas import FEED_ITEM
+from beatwire.schemas import ATOM_ENTRY, FEED_ITEM, RSS_ITEM
+from beatwire.session import written
 
 
 def entry_text(title: Column, summary: Column) -> Column:
@@ -32,16 +34,47 @@ def entries_to_articles(entries: DataFrame, source: Column | str,
         source.alias("source"))
 
 
-def read_feed(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """Landed RSS files; every ``item`` element is one entry, in file order."""
-    items = (spark.read.schema(FEED_ITEM).format("xml").option("rowTag", "item")
-             .option("mode", "PERMISSIVE").load(path))
-    return entries_to_articles(
-        items.withColumn("ord", F.monotonically_increasing_id()), source)
+def _rss_items(parsed: DataFrame, rest: list[str]) -> DataFrame:
+    return parsed.select(*rest, "title", F.coalesce("description", "encoded").alias("description"),
+                         "link", F.coalesce("pubDate", "date").alias("pubDate"), "updated")
 
 
-def parse_items(df: DataFrame, xml_col: str) -> DataFrame:
-    """A column of ``item`` elements to the columns of FEED_ITEM."""
-    parsed = F.from_xml(F.col(xml_col), FEED_ITEM, {"mode": "PERMISSIVE"})
+def _atom_items(parsed: DataFrame, rest: list[str]) -> DataFrame:
+    """The address of an entry is its alternate link, else its first one."""
+    plain = F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    address = F.coalesce(F.get(plain, F.lit(0))["_href"], F.get("link", F.lit(0))["_href"])
+    return parsed.select(*rest, "title", F.coalesce("summary", "content").alias("description"),
+                         address.alias("link"), F.col("published").alias("pubDate"), "updated")
+
+
+# Layout of a feed: element of an entry, its schema, and how it becomes a FEED_ITEM.
+FORMATS = {"rss": ("item", RSS_ITEM, _rss_items), "atom": ("entry", ATOM_ENTRY, _atom_items)}
+BROKEN = "_broken"
+
+
+def read_feeds(spark: SparkSession, path: str, kind: str = "rss") -> tuple[DataFrame, DataFrame]:
+    """Landed feed files: their entries as FEED_ITEM, and beside them what is no XML.
+
+    ``ord`` grows in file order. Folders named ``source=...`` name the feeds;
+    other partition columns pass through as well.
+    """
+    tag, schema, items = FORMATS[kind]
+    wide = T.StructType(schema.fields + [T.StructField(BROKEN, T.StringType())])
+    raw = (spark.read.schema(wide).format("xml").option("rowTag", tag).option("mode", "PERMISSIVE")
+           .option("ignoreNamespace", True).option("columnNameOfCorruptRecord", BROKEN).load(path))
+    raw = written(raw.withColumn("ord", F.monotonically_increasing_id()), "feed")
+    rest = [c for c in raw.columns if c not in wide.names]
+    return (items(raw.where(F.col(BROKEN).isNull()), rest),
+            raw.where(F.col(BROKEN).isNotNull()).select(*rest, BROKEN))
+
+
+def parse_items(df: DataFrame, xml_col: str, kind: str = "rss") -> tuple[DataFrame, DataFrame]:
+    """A column of entry elements: entries as FEED_ITEM, and the rows that are no XML."""
+    _, schema, items = FORMATS[kind]
+    wide = T.StructType(schema.fields + [T.StructField(BROKEN, T.StringType())])
+    parsed = F.from_xml(F.col(xml_col), wide, {
+        "mode": "PERMISSIVE", "ignoreNamespace": "true", "columnNameOfCorruptRecord": BROKEN})
     rest = [c for c in df.columns if c != xml_col]
-    return df.select(*rest, parsed.alias("item")).select(*rest, "item.*")
+    rows = df.select(*rest, parsed.alias("item")).select(*rest, "item.*")
+    return (items(rows.where(F.col(BROKEN).isNull()), rest),
+            rows.where(F.col(BROKEN).isNotNull()).select(*rest, BROKEN))

@@ -13,11 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from beatwire.functions.links import attribute, joined, plain, resolve_link, site_host, visible
+from beatwire.functions.links import (
+    REST, attribute, joined, plain, resolve_link, site_host, visible,
+)
 from beatwire.functions.text import strip_space
+from beatwire.session import written
 
-H1 = r"(?is)<h1\b[^>]*>(.*?)</h1>"
-PARAGRAPH_START = r"(?i)<p\b[^>]*>"
+H1 = rf"(?is)<h1\b{REST}>(.*?)</h1>"
+PARAGRAPH_START = rf"(?i)<p\b{REST}>"
 
 # Fixed values of the HTML standard: tags whose start or end closes an open
 # paragraph.
@@ -26,13 +29,13 @@ PARAGRAPH_END = (
     r"|<(?:address|article|aside|blockquote|details|dialog|div|dl|fieldset|figcaption|figure"
     r"|footer|form|h[1-6]|header|hgroup|hr|main|menu|nav|ol|pre|search|section|table|ul)\b")
 
-LINK = r"(?is)<a\b[^>]*>.*?</a>"
-LINK_TAG = r"(?is)^(<a\b[^>]*>)"
-LINK_INNER = r"(?is)^<a\b[^>]*>(.*)</a>$"
+LINK = rf"(?is)<a\b{REST}>.*?</a>"
+LINK_TAG = rf"(?is)^(<a\b{REST}>)"
+LINK_INNER = rf"(?is)^<a\b{REST}>(.*)</a>$"
 LINK_TAG_INSIDE = r"(?is)(<a\b[^>]*\bhref\b[^>]*>)"
-HEADING = r"(?is)<h[2-4]\b[^>]*>.*?</h[2-4]>"
-CENSUS_HEADING = r"(?is)<h[1-4]\b[^>]*>.*?</h[1-4]>"
-HEADING_OR_LINK = r"(?is)<a\b[^>]*>.*?</a>|<h[2-4]\b[^>]*>.*?</h[2-4]>"
+HEADING = rf"(?is)<h[2-4]\b{REST}>.*?</h[2-4]>"
+CENSUS_HEADING = rf"(?is)<h[1-4]\b{REST}>.*?</h[1-4]>"
+HEADING_OR_LINK = rf"(?is)<a\b{REST}>.*?</a>|<h[2-4]\b{REST}>.*?</h[2-4]>"
 
 NO_TITLE = "Unknown Title"
 
@@ -132,12 +135,18 @@ def html_anchors(pages: DataFrame, title_from: Sequence[str] = ("heading", "attr
     ``title_from`` names the places to look, ``heading_tags`` the elements
     that count as a heading. Addresses are made absolute by the prefix rule.
     """
-    opening = rf"(?is)<(?:{heading_tags})\b[^>]*>"
-    element = rf"(?is)<({heading_tags})\b[^>]*>(.*?)</\1>"
+    opening = rf"(?is)<(?:{heading_tags})\b{REST}>"
+    element = rf"(?is)<({heading_tags})\b{REST}>(.*?)</\1>"
+    whole = rf"(?is)<({heading_tags})\b{REST}>(.*)</\1>"
+    # elements of one name that nest: up to the last closing tag
+    nests = F.rlike(F.regexp_extract("s.inner", element, 0), F.lit(
+        rf"(?is)^<({heading_tags})\b{REST}>.*<\1\b"))
+    heading = F.when(nests, F.regexp_extract("s.inner", whole, 2)).otherwise(
+        F.regexp_extract("s.inner", element, 2))
     attr = F.coalesce(attribute(F.col("s.tag"), "title"), F.lit(""))
     places = {
         "heading": (F.rlike("s.inner", F.lit(opening)),
-                    plain(F.regexp_extract("s.inner", element, 2))),
+                    plain(heading)),
         "attr": (attr != "", strip_space(attr)),
         "text": (F.lit(True), plain(F.col("s.inner"))),
     }
@@ -151,8 +160,8 @@ def html_anchors(pages: DataFrame, title_from: Sequence[str] = ("heading", "attr
 def link_census(pages: DataFrame, min_link: int = 26, samples: int = 5) -> DataFrame:
     """Per site: linked headings, long links, and the first few of each.
 
-    The samples are picked by rank before they are collected, so no list
-    grows with the site.
+    Pages are cut up once; what is found is kept as a table. The samples are
+    picked by rank before they are collected, so no list grows with the site.
     """
     body = visible(F.col("html"))
     heads = F.filter(
@@ -167,6 +176,7 @@ def link_census(pages: DataFrame, min_link: int = 26, samples: int = 5) -> DataF
     found = (pages.select(site_host(F.col("url")).alias("site"), "page_id",
                           F.explode_outer(F.concat(heads, links)).alias("s"))
              .select("site", "page_id", "s.*"))
+    found = written(found, "census")
     counts = found.groupBy("site").agg(
         F.count_if(F.col("kind") == "heading").alias("n_headings"),
         F.count_if(F.col("kind") == "link").alias("n_links"))

@@ -54,24 +54,19 @@ def read_articles_checked(spark: SparkSession, path: str,
             rows.where(F.col(CORRUPT).isNotNull()).select(CORRUPT))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use every core on a table that came in fewer splits than there are cores.
-
-    Text work costs far more than moving the text once, but only where cores
-    would idle otherwise: a table in enough splits is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def read_baseline(spark: SparkSession, path: str, categories: Sequence[str],
                   fmt: str = "csv") -> DataFrame | None:
-    """Official statistics with a parsed date, or None when the path is missing."""
+    """Official statistics with a parsed date, or None when the path is missing.
+
+    ``row_number`` grows in the order of the file.
+    """
     reader = spark.read.schema(baseline_schema(categories))
     if fmt == "csv":
         reader = reader.option("header", True)
     df = _load_or_none(reader, fmt, path)
-    return None if df is None else df.withColumn("date", parse_date(F.col("date"), strict=False))
+    return None if df is None else df.withColumns({
+        "date": parse_date(F.col("date"), strict=False),
+        "row_number": F.monotonically_increasing_id()})
 
 
 def write_articles(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",

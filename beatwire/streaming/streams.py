@@ -16,10 +16,12 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from beatwire.dims import CRITICAL
 from beatwire.operators.merge import merge_batch
 from beatwire.operators.select import with_alert
+from beatwire.session import remove
 from beatwire.sources.tables import _load_or_none
 
 CADENCE = "5 minutes"
 COMMIT_SCHEMA = "batch_id long, path string"
+KEPT_VERSIONS = 2
 
 
 def stream_table(spark: SparkSession, path: str, schema: T.StructType,
@@ -32,13 +34,18 @@ def stream_table(spark: SparkSession, path: str, schema: T.StructType,
 
 
 def stream_dedupe(sdf: DataFrame, key: str = "url", event_time: str = "ts",
-                  delay: str = "1 day") -> DataFrame:
+                  delay: str = "1 day", stand_in: Sequence[str] = ("title", "text")) -> DataFrame:
     """The first arrival per key within ``delay``; older keys leave the state.
 
+    Rows without a key are told apart by a digest of the columns ``stand_in``.
     For alerts and append-only sinks. The table of record keeps the newest
     row of a key instead, see :func:`start_merge`.
     """
-    return sdf.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
+    digest = F.sha2(F.to_json(F.struct(*stand_in)), 256)
+    identity = F.when(F.col(key).isNull(), F.concat(F.lit("#"), digest)).otherwise(
+        F.concat(F.lit("="), F.col(key)))
+    return (sdf.withColumn("_identity", identity).withWatermark(event_time, delay)
+            .dropDuplicatesWithinWatermark(["_identity"]).drop("_identity"))
 
 
 def stream_alerts(sdf: DataFrame, keys: Sequence[str] = CRITICAL) -> DataFrame:
@@ -98,8 +105,9 @@ def start_merge(sdf: DataFrame, table: str, checkpoint: str, key: str = "url",
 
     A batch writes a new version of the table and then logs it; readers see
     the last logged version. A batch that is run again starts from the version
-    before it and replaces its own, so the outcome is the same. ``age`` counts
-    the batches since a row arrived; with ``order`` it is the order of the cap.
+    before it and replaces its own, so the outcome is the same; the last two
+    versions are kept. ``age`` counts the batches since a row arrived; with
+    ``order`` it is the order of the cap.
     """
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -112,6 +120,7 @@ def start_merge(sdf: DataFrame, table: str, checkpoint: str, key: str = "url",
          .write.mode("overwrite").parquet(version))
         (spark.createDataFrame([(batch_id, version)], COMMIT_SCHEMA).coalesce(1)
          .write.mode("append").parquet(f"{table}/_log"))
+        remove(spark, f"{table}/v{batch_id - KEPT_VERSIONS}")
 
     writer = sdf.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save)
     return _trigger(writer, once).start()

@@ -38,12 +38,20 @@ def test_lexicon(spark):
 
 
 def test_model_scorer(spark):
+    """Phrases are passed, and a text on which the model fails is the only one without scores."""
     def load():
-        return lambda texts: np.array([[len(t) / 100, 0.5, 0.0] for t in texts])
-
-    df = spark.createDataFrame([(1, "x" * 80), (2, "y" * 20)], "id int, t string")
-    got = {r.id: r.labels for r in predict_labels(df, model_scorer(load), CATS, "t").collect()}
-    assert got == {1: ["theft", "accident"], 2: ["accident"]}
+        def model(texts, phrases):
+            if any(t.startswith("bad") for t in texts):
+                raise ValueError("cannot read this")
+            return np.array([[len(t) / 100, len(phrases) / 6, 0.0] for t in texts])
+        return model
+
+    df = spark.createDataFrame([(1, "x" * 80), (2, "y" * 20), (3, "bad " * 10), (4, None)],
+                               "id int, t string").coalesce(1)
+    scorer = model_scorer("length", load, CATS)
+    got = {r.id: r.labels for r in predict_labels(df, scorer, CATS, "t").collect()}
+    assert got == {1: ["theft", "accident"], 2: ["accident"], 3: ["unclassified"],
+                   4: ["unclassified"]}
 
 
 def test_synthetic_articles_are_recovered(spark):

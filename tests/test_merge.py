@@ -21,6 +21,25 @@ def test_newest_row_of_an_address_stays(spark):
             (1, "a", "n1"), (2, "b", "o2"), (2, None, "n2")]
 
 
+def test_places_that_repeat_or_are_missing(spark):
+    """The cap changes how many rows stay, never which row of an address."""
+    new = table(spark, [(0, "a", "newA"), (0, "b", "newB"), (None, "c", "newC"), (1, None, "x")])
+    old = table(spark, [(0, "a", "oldA"), (0, "d", "oldD"), (None, "e", "oldE"), (0, "f", "oldF")])
+    whole = mg.merge_batch(new, old, cap=None)
+    assert kept(whole) == kept(table(spark, [
+        (0, "b", "newB"), (0, "a", "newA"), (None, "c", "newC"), (1, None, "x"),
+        (0, "d", "oldD"), (None, "e", "oldE"), (0, "f", "oldF")]))
+    order = mg.merge_order(whole)
+    for cap in (1, 3, 5, 500, 20_000):
+        assert kept(mg.merge_batch(new, old, cap=cap)) == kept(whole.orderBy(*order).limit(cap))
+
+
+def test_without_addresses_nothing_is_merged_away(spark):
+    new = spark.createDataFrame([(i, "t") for i in range(3)], "ord long, text string")
+    assert mg.merge_batch(new, None).count() == 3
+    assert mg.merge_batch(new, new).count() == 6
+
+
 def test_merge_with_itself_adds_nothing(spark):
     new = table(spark, [(i, f"u{i}", "x") for i in range(20)])
     assert kept(mg.merge_batch(new, new)) == kept(new)

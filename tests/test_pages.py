@@ -94,3 +94,39 @@ def test_links_and_entities(spark, value):
         resolve_link(F.lit(""), F.lit(""), "other")
     assert value(decode_entities, "a &amp;lt; &lt;b&gt; &#8377;5 &#x20B9; &nosuch; & x", None) == [
         "a &lt; <b> ₹5 ₹ &nosuch; & x", None]
+
+
+def test_rfc_examples(spark):
+    """The examples of RFC 3986, section 5.4."""
+    base = "http://a/b/c/d;p?q"
+    cases = {"g:h": "g:h", "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/",
+             "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y",
+             "g?y": "http://a/b/c/g?y", "#s": "http://a/b/c/d;p?q#s", "g#s": "http://a/b/c/g#s",
+             "g?y#s": "http://a/b/c/g?y#s", ";x": "http://a/b/c/;x", "": base, ".": "http://a/b/c/",
+             "./": "http://a/b/c/", "..": "http://a/b/", "../": "http://a/b/", "../g": "http://a/b/g",
+             "../..": "http://a/", "../../g": "http://a/g", "../../../g": "http://a/g",
+             "/./g": "http://a/g", "/../g": "http://a/g", "g.": "http://a/b/c/g.",
+             "./g/.": "http://a/b/c/g/", "g/./h": "http://a/b/c/g/h", "g/../h": "http://a/b/c/h",
+             "http://[bad": None, "//x]y": None, "//[::1]/p": "http://[::1]/p"}
+    df = spark.createDataFrame([(base, h) for h in cases], "b string, h string")
+    got = [r[0] for r in df.select(resolve_link(F.col("b"), F.col("h"), "rfc")).collect()]
+    assert dict(zip(cases, got)) == cases
+
+
+def test_all_references(value):
+    cases = {"&eacute;&Eacute;&NotEqualTilde;": "éÉ≂̸", "&#X41;&#x00041;&#0000039;": "AA'",
+             "&amp;lt; &#38;gt;": "&lt; &gt;", "&#xD83D;&#0;&#x110000;&#99999999999;": "\ufffd" * 4,
+             "&nosuch; a & b &": "&nosuch; a & b &", "plain": "plain"}
+    assert value(decode_entities, *cases) == list(cases.values())
+
+
+def test_brackets_in_attributes(spark):
+    text = "A paragraph that is long enough to be kept in the article"
+    got = pg.html_article(page(spark, f"<h1 title='a>b'>T</h1><p title='a>b' data-x=\"<p>\">{text}</p>"))
+    assert [(r.title, r.text) for r in got.collect()] == [("T", text)]
+
+
+def test_nested_elements_in_a_link(spark):
+    df = page(spark, f"<a href='/x'><span><span>LIVE</span> {LONG}</span></a>")
+    got = pg.html_anchors(df).collect()
+    assert [(r.title, r.link) for r in got] == [(f"LIVE {LONG}", "https://site.example.org/x")]

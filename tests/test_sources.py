@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from beatwire.dims import outlet_table
-from beatwire.functions.dates import feed_date
+from beatwire.functions.dates import date_is_known, feed_date
 from beatwire.plans.batch import clean_articles
 from beatwire.schemas import ARTICLE, ensure_columns, require_columns
 from beatwire.sources import feeds, tables
@@ -17,24 +17,59 @@ FEED = """<?xml version="1.0"?><rss><channel><title>Feed</title>
 </channel></rss>"""
 
 
-def test_feed_file(spark, tmp_path):
-    (tmp_path / "feed.xml").write_text(FEED)
-    got = feeds.read_feed(spark, str(tmp_path / "feed.xml"), "The Hindu").orderBy("ord").collect()
+ATOM = """<feed xmlns="http://www.w3.org/2005/Atom"><title>Feed</title>
+<entry><title type="text">One</title><link rel="self" href="http://example.com/self"/>
+<link href="http://example.com/1"/><summary>Body</summary><published>2024-01-01T23:00:00-02:00</published></entry>
+<entry><title>Two</title><link rel="enclosure" href="http://example.com/2"/><content>All</content>
+<updated>2024-02-03T10:00:00Z</updated></entry></feed>"""
+
+
+def test_feed_files(spark, tmp_path):
+    (tmp_path / "source=The Hindu").mkdir()
+    (tmp_path / "source=The Hindu" / "feed.xml").write_text(FEED)
+    items, broken = feeds.read_feeds(spark, str(tmp_path))
+    got = feeds.entries_to_articles(items, F.col("source")).orderBy("ord").collect()
     assert [(r.title, r.text, r.url, r.source) for r in got] == [
         ("First & last", "First & last. Body one", "http://example.com/1", "The Hindu"),
         ("Second", "Second.", "http://example.com/2", "The Hindu"),
         ("", ". only this", "", "The Hindu")]
     assert [r.date for r in got[:2]] == ["2023-12-31", "2024-02-03"]      # UTC
+    assert broken.collect() == []
+
+
+def test_atom_files(spark, tmp_path):
+    (tmp_path / "atom.xml").write_text(ATOM)
+    items, _ = feeds.read_feeds(spark, str(tmp_path / "atom.xml"), "atom")
+    got = feeds.entries_to_articles(items, "x").orderBy("ord").collect()
+    assert [(r.title, r.text, r.url, r.date) for r in got] == [
+        ("One", "One. Body", "http://example.com/1", "2024-01-02"),
+        ("Two", "Two. All", "http://example.com/2", "2024-02-03")]
+
+
+def test_other_elements_and_broken_items(spark):
+    df = spark.createDataFrame([
+        (1, "<item><title>a</title><encoded>whole</encoded><date>2024-03-04T00:00:00Z</date></item>"),
+        (2, "<item><title>cut"), (3, "no xml at all")], "id int, xml string")
+    items, broken = feeds.parse_items(df, "xml")
+    r = feeds.entries_to_articles(items, "x").first()
+    assert (r.id, r.text, r.date) == (1, "a. whole", "2024-03-04")
+    assert sorted(r.id for r in broken.collect()) == [2, 3]
 
 
 def test_feed_dates(spark):
-    df = spark.createDataFrame(
-        [("Tue, 2 Apr 2024 23:59:59 GMT", None), ("garbage", "2024-05-06 07:08:09"),
-         ("Wed, 03 Apr 2024 00:10 +0000", None), (None, "2024-01-31T23:30:00-02:00"),
-         (None, None)], "p string, u string")
+    cases = {("Tue, 2 Apr 2024 23:59:59 GMT", None): "2024-04-02",
+             ("garbage", "2024-05-06 07:08:09"): "2024-05-06",
+             ("Wed, 03 Apr 2024 00:10 +0000", None): "2024-04-03",
+             (None, "2024-01-31T23:30:00-02:00"): "2024-02-01",
+             ("Mon, 01 Jan 2024 02:00 IST", None): "2023-12-31",
+             ("Monday, 01 Jan 2024 10:00:00 EST", None): "2024-01-01",
+             ("01 Jan 24 23:30:00 PST", None): "2024-01-02",
+             ("Mon, 01 Jan 2024 10:00:00 XYZ", None): None, (None, None): None}
+    df = spark.createDataFrame(list(cases), "p string, u string")
     now = F.lit("2024-12-31 01:00:00").cast("timestamp")
-    got = [r[0] for r in df.select(feed_date(F.col("p"), F.col("u"), now)).collect()]
-    assert got == ["2024-04-02", "2024-05-06", "2024-04-03", "2024-02-01", "2024-12-31"]
+    got = df.select(feed_date(F.col("p"), F.col("u"), now), date_is_known(F.col("p"), F.col("u")))
+    assert [tuple(r) for r in got.collect()] == [
+        (day or "2024-12-31", day is not None) for day in cases.values()]
 
 
 def test_missing_tables(spark, tmp_path):

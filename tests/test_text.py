@@ -50,3 +50,8 @@ def test_language(value):
 
 def test_title_case(value):
     assert value(title_case, "break-in the OTP", "a_b c") == ["Break-In The Otp", "A_B C"]
+
+
+def test_indian_script_that_is_not_known(value):
+    odia = "\u0b13\u0b21\u0b3c\u0b3f\u0b06 \u0b2d\u0b3e\u0b37\u0b3e " * 4
+    assert value(detect_language, odia) == ["en"]
