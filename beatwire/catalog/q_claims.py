@@ -46,8 +46,8 @@ def search_corpus(spark, sf_dir):
 
 @query("search_top5", f"WITH {SEARCH_SQL} SELECT * FROM hits")
 def search_top5(spark, sf_dir):
-    """The ranking alone, with a head that is a small part of the corpus."""
-    return se.search_corpus(claims(spark, sf_dir), _corpus(spark, sf_dir), head=100)
+    """The ranking alone."""
+    return se.search_corpus(claims(spark, sf_dir), _corpus(spark, sf_dir))
 
 
 SIMILARITY_SQL = f"""{SEARCH_SQL},
@@ -84,7 +84,7 @@ def _counted(s: str) -> str:
     return f"{_text(head)} || CAST(n AS VARCHAR) || {_text(tail)}"
 
 
-@query("claim_verdict", f"""WITH {SIMILARITY_SQL},
+VERDICT_SQL = f"""{SIMILARITY_SQL},
 per AS (SELECT c.claim_id, count(s.doc_id) AS n, coalesce(max(similarity), 0.0::DOUBLE) AS best,
   coalesce(avg(similarity), 0.0::DOUBLE) AS mean,
   coalesce(string_agg(doc_title || '=' || CAST(CAST(floor(similarity) AS INT) AS VARCHAR), '|'
@@ -92,7 +92,10 @@ per AS (SELECT c.claim_id, count(s.doc_id) AS n, coalesce(max(similarity), 0.0::
   FROM claims c LEFT JOIN (SELECT sims.*, a.title AS doc_title FROM sims JOIN articles a
     USING (doc_id)) s USING (claim_id) GROUP BY 1),
 st AS (SELECT *, CASE WHEN n = 0 THEN 'Inconclusive' WHEN best > 75 THEN 'Verified'
-  WHEN best > 40 THEN 'Partially Matches' ELSE 'Inconsistent / Low Evidence' END AS status FROM per)
+  WHEN best > 40 THEN 'Partially Matches' ELSE 'Inconsistent / Low Evidence' END AS status FROM per)"""
+
+
+@query("claim_verdict", f"""WITH {VERDICT_SQL}
 SELECT claim_id, status, CAST(floor(best) AS INT) AS score, n AS n_sources,
   round(mean, 6) AS mean_similarity, sources,
   CASE WHEN n = 0 THEN {_text(se.REASON_NONE)} WHEN best > 75 THEN {_counted(se.REASON_HIGH)}

@@ -26,7 +26,7 @@ GAZ_SQL = "gaz(name, lat, lon, rank, pattern) AS (VALUES " + ", ".join(
     for p in gazetteer()) + ")"
 
 
-def _location_sql(col: str, name: str) -> str:
+def location_sql(col: str, name: str) -> str:
     """Names contained in the text first, then the boundaries of those few pairs."""
     return f"""{name}_near AS MATERIALIZED (
   SELECT a.doc_id, a.t, g.name, g.rank, g.pattern
@@ -35,14 +35,14 @@ def _location_sql(col: str, name: str) -> str:
   FROM {name}_near WHERE regexp_matches(t, pattern) GROUP BY 1)"""
 
 
-@query("extract_location", f"WITH {ARTICLES_SQL}, {GAZ_SQL}, {_location_sql('text', 'loc')} "
+@query("extract_location", f"WITH {ARTICLES_SQL}, {GAZ_SQL}, {location_sql('text', 'loc')} "
        "SELECT a.doc_id, l.location FROM articles a LEFT JOIN loc l USING (doc_id)")
 def locations(spark, sf_dir):
     return articles(spark, sf_dir).select(
         "doc_id", extract_location(F.col("text"), gazetteer()).alias("location"))
 
 
-@query("geocode_lookup", f"WITH {ARTICLES_SQL}, {GAZ_SQL}, {_location_sql('text', 'loc')} "
+@query("geocode_lookup", f"WITH {ARTICLES_SQL}, {GAZ_SQL}, {location_sql('text', 'loc')} "
        "SELECT a.doc_id, l.location, g.lat, g.lon FROM articles a LEFT JOIN loc l USING (doc_id) "
        "LEFT JOIN gaz g ON lower(l.location) = g.name")
 def lookup(spark, sf_dir):
@@ -50,8 +50,8 @@ def lookup(spark, sf_dir):
     return geocode_lookup(locations(spark, sf_dir), gazetteer_table(spark))
 
 
-GEOCODED_SQL = f"""{ARTICLES_SQL}, {GAZ_SQL}, {_location_sql('title', 'by_title')},
-{_location_sql('text', 'by_text')},
+GEOCODED_SQL = f"""{ARTICLES_SQL}, {GAZ_SQL}, {location_sql('title', 'by_title')},
+{location_sql('text', 'by_text')},
 placed AS (SELECT a.*, coalesce(t.location, x.location) AS location FROM articles a
   LEFT JOIN by_title t USING (doc_id) LEFT JOIN by_text x USING (doc_id)),
 geocoded AS (SELECT p.*, g.lat, g.lon FROM placed p LEFT JOIN gaz g ON p.location = g.name)"""

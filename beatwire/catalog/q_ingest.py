@@ -132,7 +132,7 @@ def rss_text(spark, sf_dir):
 
 # --- pages -----------------------------------------------------------------------
 
-_BODY = f"regexp_replace(html, '{HIDDEN_PATTERN}', '', 'g')"
+BODY_SQL = f"regexp_replace(html, '{HIDDEN_PATTERN}', '', 'g')"
 
 
 # The references that occur in the pages; ``amp`` comes last.
@@ -149,28 +149,28 @@ def _decoded(col: str) -> str:
 _TAG_SQL = ANY_TAG.replace("'", "''")
 
 
-def _plain(col: str) -> str:
+def plain_sql(col: str) -> str:
     return _strip(_decoded(f"regexp_replace({col}, '{_TAG_SQL}', '', 'g')"))
 
 
-def _joined(col: str) -> str:
+def joined_sql(col: str) -> str:
     return _strip(_decoded(f"regexp_replace({col}, '[{WS}]*{_TAG_SQL}[{WS}]*', '', 'g')"))
 
 
-_ROOT = "regexp_extract(url, '^[A-Za-z]+://[^/?#]+')"
-_HREF = _decoded("""regexp_extract({0}, '(?i)href="([^"]*)"', 1)""")
+ROOT_SQL = "regexp_extract(url, '^[A-Za-z]+://[^/?#]+')"
+HREF_SQL = _decoded("""regexp_extract({0}, '(?i)href="([^"]*)"', 1)""")
 
 
 _P_SQL, _H1_SQL = (x.replace("'", "''") for x in (pg.PARAGRAPH_START, pg.H1))
 
 
-@query("html_article", f"""WITH bodies AS (SELECT page_id, url, {_BODY} AS body FROM pages),
+@query("html_article", f"""WITH bodies AS (SELECT page_id, url, {BODY_SQL} AS body FROM pages),
 parts AS (SELECT page_id, url, body, list_filter(list_transform(
     string_split_regex(body, '{_P_SQL}')[2:],
-    lambda p: {_plain(f"string_split_regex(p, '{pg.PARAGRAPH_END}')[1]")}),
+    lambda p: {plain_sql(f"string_split_regex(p, '{pg.PARAGRAPH_END}')[1]")}),
   lambda t: length(t) > 30) AS ps FROM bodies)
 SELECT page_id, url, CASE WHEN regexp_matches(body, '(?i)<h1')
-    THEN {_plain(f"regexp_extract(body, '{_H1_SQL}', 1)")} ELSE 'Unknown Title' END AS title,
+    THEN {plain_sql(f"regexp_extract(body, '{_H1_SQL}', 1)")} ELSE 'Unknown Title' END AS title,
   md5(array_to_string(ps, ' ')) AS text_md5 FROM parts WHERE len(ps) > 0""")
 def html_article(spark, sf_dir):
     return pg.html_article(pages(spark, sf_dir)).select(
@@ -181,17 +181,17 @@ MIN_HEAD, MIN_LINK = 8, 6
 
 
 @query("html_headlines", f"""WITH {LISTING_SQL},
-bodies AS (SELECT page_id, url, {_BODY} AS body FROM listing),
+bodies AS (SELECT page_id, url, {BODY_SQL} AS body FROM listing),
 raw AS (SELECT page_id, url, 0 AS kind, regexp_extract_all(body, CASE page_id % 3
     WHEN 0 THEN '(?s)<h3>.*?</h3>' ELSE '(?s)<a [^>]*><h2>.*?</h2></a>' END) AS l FROM bodies
   UNION ALL SELECT page_id, url, 1, regexp_extract_all(body, '(?s)<a .*?</a>') FROM bodies),
 each AS (SELECT page_id, url, kind, unnest(l) AS e, generate_subscripts(l, 1) - 1 AS ord FROM raw),
-cut AS (SELECT page_id, url, kind, CAST(ord AS INT) AS ord, {_joined('e')} AS headline,
-  {_HREF.format('e')} AS href FROM each),
+cut AS (SELECT page_id, url, kind, CAST(ord AS INT) AS ord, {joined_sql('e')} AS headline,
+  {HREF_SQL.format('e')} AS href FROM each),
 good AS (SELECT * FROM cut WHERE length(headline) >= CASE kind WHEN 0 THEN {MIN_HEAD}
   ELSE {MIN_LINK} END AND NOT contains(lower(href), 'javascript')),
 heads AS (SELECT page_id, count(*) AS n FROM good WHERE kind = 0 GROUP BY 1)
-SELECT g.page_id, g.kind, g.ord, g.headline, {_ROOT.replace('url', 'g.url')} || href AS link
+SELECT g.page_id, g.kind, g.ord, g.headline, {ROOT_SQL.replace('url', 'g.url')} || href AS link
 FROM good g LEFT JOIN heads h USING (page_id) WHERE kind = 0 OR coalesce(h.n, 0) < 2""")
 def html_headlines(spark, sf_dir):
     """Lower thresholds than for news sites: the menus of these pages are terse."""
@@ -201,10 +201,10 @@ def html_headlines(spark, sf_dir):
 
 
 @query("html_anchors", f"""WITH {LISTING_SQL},
-bodies AS (SELECT page_id, url, regexp_extract_all({_BODY}, '(?s)<a .*?</a>') AS l FROM listing),
+bodies AS (SELECT page_id, url, regexp_extract_all({BODY_SQL}, '(?s)<a .*?</a>') AS l FROM listing),
 each AS (SELECT page_id, url, unnest(l) AS e, generate_subscripts(l, 1) - 1 AS ord FROM bodies),
-cut AS (SELECT page_id, CAST(ord AS INT) AS ord, {_plain('e')} AS title,
-  {_ROOT} || {_HREF.format('e')} AS link FROM each)
+cut AS (SELECT page_id, CAST(ord AS INT) AS ord, {plain_sql('e')} AS title,
+  {ROOT_SQL} || {HREF_SQL.format('e')} AS link FROM each)
 SELECT * FROM cut WHERE length(title) >= {MIN_LINK}""")
 def html_anchors(spark, sf_dir):
     return pg.html_anchors(listing_pages(spark, sf_dir), min_len=MIN_LINK).drop("url")
@@ -241,18 +241,18 @@ _UP = f"regexp_extract({_PATH}, '^(.*/)[^/]*/[^/]*$', 1)"
 _W = "replace(h, '/', '')"
 
 
-@query("resolve_links", f"""WITH bodies AS (SELECT page_id, url, regexp_extract_all({_BODY},
+@query("resolve_links", f"""WITH bodies AS (SELECT page_id, url, regexp_extract_all({BODY_SQL},
     '(?is)<a\\b[^>]*>') AS l FROM pages),
 each AS (SELECT page_id, url, unnest(l) AS tag, generate_subscripts(l, 1) - 1 AS ord FROM bodies),
-cut AS (SELECT page_id, url, CAST(ord AS INT) AS ord, {_HREF.format('tag')} AS h FROM each),
+cut AS (SELECT page_id, url, CAST(ord AS INT) AS ord, {HREF_SQL.format('tag')} AS h FROM each),
 hrefs AS (SELECT *, {_shape_sql('h')} AS href FROM cut)
-SELECT page_id, ord, href, CASE WHEN starts_with(href, 'http') THEN href ELSE {_ROOT} ||
+SELECT page_id, ord, href, CASE WHEN starts_with(href, 'http') THEN href ELSE {ROOT_SQL} ||
   CASE WHEN starts_with(href, '/') THEN '' ELSE '/' END || href END AS prefix_link,
   CASE ord % {len(_SHAPES)} WHEN 0 THEN href
-    WHEN 1 THEN regexp_extract(url, '^[A-Za-z]+:') || href WHEN 2 THEN {_ROOT} || h
-    WHEN 3 THEN {_ROOT} || {_FOLDER} || {_W} WHEN 4 THEN {_ROOT} || {_PATH} || href
+    WHEN 1 THEN regexp_extract(url, '^[A-Za-z]+:') || href WHEN 2 THEN {ROOT_SQL} || h
+    WHEN 3 THEN {ROOT_SQL} || {_FOLDER} || {_W} WHEN 4 THEN {ROOT_SQL} || {_PATH} || href
     WHEN 5 THEN regexp_extract(url, '^[^#]*') || href
-    WHEN 6 THEN {_ROOT} || {_UP} || {_W} ELSE {_ROOT} || {_FOLDER} || {_W} END AS rfc_link
+    WHEN 6 THEN {ROOT_SQL} || {_UP} || {_W} ELSE {ROOT_SQL} || {_FOLDER} || {_W} END AS rfc_link
 FROM hrefs""")
 def resolve_links(spark, sf_dir):
     """Both rules on the links of every page."""
@@ -262,13 +262,13 @@ def resolve_links(spark, sf_dir):
 
 
 @query("link_census", f"""WITH {LISTING_SQL},
-bodies AS (SELECT page_id, regexp_extract(url, '://([^/?#]+)', 1) AS site, {_BODY} AS body FROM listing),
+bodies AS (SELECT page_id, regexp_extract(url, '://([^/?#]+)', 1) AS site, {BODY_SQL} AS body FROM listing),
 raw AS (SELECT page_id, site, 'heading' AS kind,
     regexp_extract_all(body, '(?is)<h[1-4]\\b[^>]*>.*?</h[1-4]>') AS l FROM bodies
   UNION ALL SELECT page_id, site, 'link', regexp_extract_all(body, '(?s)<a .*?</a>') FROM bodies),
 each AS (SELECT page_id, site, kind, unnest(l) AS e, generate_subscripts(l, 1) AS ord FROM raw),
-cut AS (SELECT *, CASE kind WHEN 'heading' THEN {_joined("regexp_extract(e, '(?s)<a .*?</a>')")}
-  ELSE {_joined('e')} END AS text FROM each),
+cut AS (SELECT *, CASE kind WHEN 'heading' THEN {joined_sql("regexp_extract(e, '(?s)<a .*?</a>')")}
+  ELSE {joined_sql('e')} END AS text FROM each),
 good AS (SELECT * FROM cut WHERE length(text) >= CASE kind WHEN 'heading' THEN 1 ELSE {MIN_LINK} END),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY site, kind ORDER BY page_id, ord) AS rn FROM good),
 per AS (SELECT site, count(*) FILTER (kind = 'heading') AS n_headings,

@@ -11,6 +11,7 @@ from beatwire.functions.text import WS, bind, strip_space
 
 # Named character references of the HTML standard that end in a semicolon.
 REFERENCES = {name[:-1]: char for name, char in html5.items() if name.endswith(";")}
+_LISTED = "\x02".join(f"{name}\x01{char}" for name, char in REFERENCES.items())
 REFERENCE = r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"
 
 # Comments, and elements whose content is not text.
@@ -32,7 +33,7 @@ def _code_point(digits: Column, base: int) -> Column:
 def _reference(ref: Column) -> Column:
     """The character of one reference; an unknown name stays as it is."""
     inner = F.substr(ref, F.lit(2), F.length(ref) - 2)
-    names = F.create_map(*[F.lit(x) for kv in REFERENCES.items() for x in kv])
+    names = F.str_to_map(F.lit(_LISTED), F.lit("\x02"), F.lit("\x01"))  # one constant of the plan
     return (F.when(F.rlike(inner, F.lit("^#[xX]")), _code_point(F.substr(inner, F.lit(3)), 16))
             .when(F.startswith(inner, F.lit("#")), _code_point(F.substr(inner, F.lit(2)), 10))
             .otherwise(F.coalesce(F.try_element_at(names, inner), ref)))

@@ -6,12 +6,11 @@ one word of the article; the search therefore runs on the distinct words of
 the corpus and reaches articles through their words.
 
 The best articles of a claim are found without pairing it with every article
-that holds one of its frequent keywords. The articles with the smallest ids,
-the "head", are scored first. A later article loses every tie against them, so
-it must beat the k-th best score of the head, and it cannot do so by keywords
-whose weights add up to no more than that score. Those, the most frequent
-ones, are skipped; articles beyond the head are reached through the remaining
-keywords only and then scored in full. The result is exact.
+that holds one of its frequent keywords. A few articles that hold its rarest
+keyword are scored first; the k-th best of them sets a bar. Keywords whose
+weights add up to less than the bar cannot lift an article over it: the most
+frequent ones are skipped, and articles are reached through the others only,
+then scored in full. The result is exact, for a corpus of any size.
 """
 
 from __future__ import annotations
@@ -25,7 +24,8 @@ from beatwire.operators.merge import first_per
 from beatwire.session import written
 
 TOP_HITS = 5
-HEAD = 10_000
+SEEDS = 100  # articles of a claim's rarest keyword that set its bar
+BROADCAST_WORDS = 200_000  # matching words that are broadcast; beyond, the join shuffles
 GRAM = 3  # keywords have three characters or more
 
 STATUS_FIXED = {
@@ -58,11 +58,9 @@ def _grams(c: Column) -> Column:
 
 
 def corpus_words(corpus: DataFrame) -> DataFrame:
-    """Distinct lower-case words of each article: (doc_id, word)."""
-    both = F.lower(F.concat_ws(" ", "title", "text"))
-    listed = F.array_distinct(words(both))
-    return (corpus.select("doc_id", F.explode(listed).alias("word"))
-            .where(F.length("word") >= GRAM))
+    """Distinct lower-case words of each article in one row: (doc_id, words)."""
+    listed = F.array_distinct(words(F.lower(F.concat_ws(" ", "title", "text"))))
+    return corpus.select("doc_id", F.filter(listed, lambda w: F.length(w) >= GRAM).alias("words"))
 
 
 def word_matches(vocabulary: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -84,71 +82,72 @@ def word_matches(vocabulary: DataFrame, keywords: DataFrame) -> DataFrame:
 
 
 def keyword_postings(claims: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Articles per keyword of any claim: (doc_id, kw), each pair once."""
+    """Articles that hold a keyword of any claim: (doc_id, kws), kept as a table.
+
+    The corpus is read and split once. Words that contain no keyword are left
+    out before anything is shuffled, if the others are few enough to broadcast.
+    """
     keywords = claim_keywords(claims).select("kw").distinct()
-    occurrences = corpus_words(corpus)
-    matches = word_matches(occurrences.select("word").distinct(), keywords)
-    return occurrences.join(matches, "word").select("doc_id", "kw").distinct()
+    split = written(corpus_words(corpus), "corpus-words")
+    vocabulary = split.select(F.explode("words").alias("word")).distinct()
+    matches = written(word_matches(vocabulary, keywords), "matching-words")
+    if matches.count() <= BROADCAST_WORDS:
+        matches = F.broadcast(matches)
+    held = split.select("doc_id", F.explode("words").alias("word")).join(matches, "word")
+    return written(held.groupBy("doc_id").agg(F.collect_set("kw").alias("kws")), "postings")
+
+
+def _frequencies(postings: DataFrame) -> DataFrame:
+    return (postings.select(F.explode("kws").alias("kw")).groupBy("kw")
+            .agg(F.count(F.lit(1)).alias("n_docs")))
 
 
 def keyword_matches(claims: DataFrame, corpus: DataFrame) -> DataFrame:
     """Number of articles each keyword of each claim is found in."""
-    found = keyword_postings(claims, corpus).groupBy("kw").agg(
-        F.count(F.lit(1)).alias("n_docs"))
+    found = _frequencies(keyword_postings(claims, corpus))
     return (claim_keywords(claims).join(found, "kw", "left")
             .select("claim_id", "kw", "weight",
                     F.coalesce("n_docs", F.lit(0)).alias("n_docs")))
 
 
-def _weighed(pairs: Column, present: Column) -> Column:
-    """Total weight of the (kw, weight) pairs whose keyword is in ``present``."""
-    return F.aggregate(
-        F.filter(pairs, lambda p: F.array_contains(present, p["kw"])),
+def _scored(candidates: DataFrame, wanted: DataFrame, postings: DataFrame) -> DataFrame:
+    """(claim_id, doc_id, score) of the candidate pairs, over all keywords of the claim."""
+    pairs = wanted.groupBy("claim_id").agg(
+        F.collect_list(F.struct("kw", "weight")).alias("pairs"))  # ten keywords at most
+    score = F.aggregate(
+        F.filter("pairs", lambda p: F.array_contains("kws", p["kw"])),
         F.lit(0).cast("bigint"), lambda acc, p: acc + p["weight"])
+    return (candidates.join(postings, "doc_id").join(pairs, "claim_id")
+            .select("claim_id", "doc_id", score.alias("score")))
 
 
 def search_corpus(claims: DataFrame, corpus: DataFrame, k: int = TOP_HITS,
-                  head: int = HEAD) -> DataFrame:
+                  seeds: int = SEEDS) -> DataFrame:
     """The ``k`` articles with most keywords of each claim: claim_id, rank, doc_id, score.
 
     Equal scores are ranked by ``doc_id``; articles without a keyword are no
-    hits. A claim meets at most ``head`` articles to begin with; a larger head
-    leaves fewer keywords to follow through the rest of the corpus.
+    hits. More ``seeds`` leave fewer keywords to follow.
     """
     best = [F.desc("score"), F.asc("doc_id")]
-    wanted = claim_keywords(claims)
-    # Read several times below; the corpus itself is read for it alone.
-    postings = written(keyword_postings(claims, corpus), "postings")
-    edge = (postings.select("doc_id").distinct().orderBy("doc_id").limit(head)
-            .agg(F.max("doc_id").alias("edge")).scalar())
-
-    first = (wanted.join(postings.where(F.col("doc_id") <= edge), "kw")
-             .groupBy("claim_id", "doc_id").agg(F.sum("weight").alias("score")))
-    first = first_per(first, ["claim_id"], best, k)
-    bar = first.groupBy("claim_id").agg(
-        F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(F.lit(0)).alias("bar"))
-
-    # At most ten rows per claim, most frequent keyword first.
+    postings = keyword_postings(claims, corpus)
+    by_kw = postings.select("doc_id", F.explode("kws").alias("kw"))
+    # at most ten rows per claim
+    wanted = written(claim_keywords(claims).join(_frequencies(postings), "kw"), "wanted")
+
+    rare_first = W.partitionBy("claim_id").orderBy("n_docs", "kw")
+    rarest = wanted.withColumn("rn", F.row_number().over(rare_first)).where("rn = 1")
+    some = first_per(by_kw.join(rarest.select("kw").distinct(), "kw", "left_semi"),
+                     ["kw"], [F.asc("doc_id")], seeds)
+    first = _scored(rarest.select("claim_id", "kw").join(some, "kw").drop("kw"), wanted, postings)
+    bar = (first_per(first, ["claim_id"], best, k).groupBy("claim_id")
+           .agg(F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(F.lit(0)).alias("bar")))
+
     common_first = W.partitionBy("claim_id").orderBy(F.desc("n_docs"), F.asc("kw"))
-    spread = postings.groupBy("kw").agg(F.count(F.lit(1)).alias("n_docs"))
-    ranked = (wanted.join(spread, "kw").join(bar, "claim_id", "left")
-              .withColumn("upto", F.sum("weight").over(common_first))
-              .withColumn("followed", F.col("upto") > F.coalesce("bar", F.lit(0))))
-    skipped = ranked.where(~F.col("followed"))
-    of_claim = skipped.groupBy("claim_id").agg(
-        F.collect_list(F.struct("kw", "weight")).alias("skipped"))
-
-    rest = postings.where(F.col("doc_id") > edge)
-    reached = (ranked.where("followed").select("claim_id", "kw", "weight").join(rest, "kw")
-               .groupBy("claim_id", "doc_id").agg(F.sum("weight").alias("followed_score")))
-    of_doc = (rest.join(skipped.select("kw").distinct(), "kw", "left_semi")
-              .groupBy("doc_id").agg(F.collect_list("kw").alias("holds")))
-    extra = F.when(F.col("skipped").isNotNull() & F.col("holds").isNotNull(),
-                   _weighed(F.col("skipped"), F.col("holds"))).otherwise(F.lit(0))
-    later = (reached.join(of_claim, "claim_id", "left").join(of_doc, "doc_id", "left")
-             .select("claim_id", "doc_id", (F.col("followed_score") + extra).alias("score")))
-
-    top = first_per(first.unionByName(later), ["claim_id"], best, k)
+    followed = (wanted.join(bar, "claim_id", "left")
+                .withColumn("upto", F.sum("weight").over(common_first))
+                .where(F.col("upto") >= F.coalesce("bar", F.lit(0))).select("claim_id", "kw"))
+    reached = followed.join(by_kw, "kw").select("claim_id", "doc_id").distinct()
+    top = first_per(_scored(reached, wanted, postings), ["claim_id"], best, k)
     hits = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("lost"), "doc_id")))
     return (top.groupBy("claim_id").agg(hits.alias("hits"))
             .select("claim_id", F.posexplode("hits").alias("pos", "hit"))

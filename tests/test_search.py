@@ -6,16 +6,22 @@ from pyspark.sql import functions as F
 from beatwire.operators import search as se
 from beatwire.plans.verify import verify_claims
 
-CLAIM = "A serious car accident occurred in Delhi near the Red Fort today involving three vehicles."
-ARTICLE = ("A massive traffic jam was reported in Delhi today after three vehicles were involved "
-           "in a collision near the historic Red Fort. Rescue teams are on site.")
+# Own sentences. Of the first ten words of either (river bridge closed after the barge
+# struck its eastern pier / crews inspected the river bridge after one barge drifted into)
+# the, river, bridge, after and barge are shared: 5 of 10.
+CLAIM = "River bridge closed after the barge struck its eastern pier, officials say on Monday."
+ARTICLE = ("Crews inspected the river bridge after one barge drifted into it. The eastern pier, "
+           "struck on Monday, stays closed; officials say more later.")
 
 
 def keywords(text):
-    """Brute force: the keyword rule in plain Python."""
-    for ch in ".,!?\"'()[]{}:;—-":
-        text = text.replace(ch, "")
-    return list(dict.fromkeys(w for w in text.split() if len(w) > 2))[:10]
+    """Distinct words of three characters or more, signs removed; ten at most."""
+    kept = "".join(c for c in text if c not in set(".,!?\"'()[]{}:;—-"))
+    found = {}
+    for word in kept.split():
+        if len(word) >= 3 and len(found) < 10:
+            found.setdefault(word)
+    return [*found]
 
 
 def brute_force(claims, docs, k):
@@ -44,11 +50,11 @@ def corpus(spark):
             spark.createDataFrame(docs, "doc_id long, title string, text string"))
 
 
-@pytest.mark.parametrize("head", [1, 6, 40, 10_000])
-def test_search_equals_brute_force(corpus, head):
+@pytest.mark.parametrize("seeds", [1, 6, 100])
+def test_search_equals_brute_force(corpus, seeds):
     claims, docs, cdf, ddf = corpus
     got = sorted((r.claim_id, r["rank"], r.doc_id, r.score)
-                 for r in se.search_corpus(cdf, ddf, head=head).collect())
+                 for r in se.search_corpus(cdf, ddf, seeds=seeds).collect())
     assert got == brute_force(claims, docs, se.TOP_HITS)
 
 
@@ -79,8 +85,8 @@ def _similarity(spark, claim, article, limit=10):
 
 
 def test_similarity_sees_ten_words(spark):
-    assert _similarity(spark, CLAIM, ARTICLE) == 20.0
-    assert _similarity(spark, CLAIM, ARTICLE, None) > 50
+    assert _similarity(spark, CLAIM, ARTICLE) == 50.0
+    assert _similarity(spark, CLAIM, ARTICLE, None) > 75
     assert _similarity(spark, "a b", ARTICLE) == 0.0
     assert _similarity(spark, CLAIM, None) == 0.0
 
@@ -107,9 +113,9 @@ def test_verdict_borders(spark):
 def test_verify_plan(spark):
     claims = spark.createDataFrame([(1, CLAIM), (2, "too short")], "claim_id long, text string")
     corpus = spark.createDataFrame(
-        [(7, "Major pile-up in Delhi", ARTICLE, "http://example.com/news1", "Mock Times")],
+        [(7, "Bridge under inspection", ARTICLE, "http://example.com/bridge", "River Post")],
         "doc_id long, title string, text string, url string, source string")
     verdicts, rejected = verify_claims(claims, corpus)
     (v,) = verdicts.collect()
-    assert (v.claim_id, v.status, v.score) == (1, "Inconsistent / Low Evidence", 20)
+    assert (v.claim_id, v.status, v.score) == (1, "Partially Matches", 50)
     assert [r.claim_id for r in rejected.collect()] == [2]
