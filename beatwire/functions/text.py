@@ -90,6 +90,7 @@ def clean_text(c: Column, scripts: Sequence[str] = PARITY_SCRIPTS) -> Column:
     return collapse(c)
 
 
+# Fixed value: characters that are no part of a keyword.
 KEYWORD_STRIP = r"""[.,!?"'()\[\]{}:;—-]"""
 
 
