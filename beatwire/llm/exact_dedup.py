@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beatwire.llm import fuse
+from beatwire.llm.rows import repeated
 from beatwire.session import written
 
 SALTS = 64
@@ -36,7 +37,6 @@ BUCKET_KEYS = 50_000  # digests a bucket, on average
 # Digests that occur more than once are broadcast up to this many (32 MB of
 # binary digests); beyond, the same join shuffles.
 BROADCAST_DIGESTS = 1_000_000
-COPIES_AT_ONCE = 10_000
 
 
 @dataclass(frozen=True)
@@ -128,12 +128,12 @@ def exact_dedup(docs: DataFrame, is_new: Column, doc_id: str = "doc_id", text: s
         F.coalesce("both_n", "n").alias("group_size")), "digest-classes")
 
     # byte check: group whole texts wherever a digest occurs more than once
-    repeated = classes.where("group_size > 1").select("digest").distinct()
-    if repeated.count() <= BROADCAST_DIGESTS:
-        repeated = F.broadcast(repeated)
+    doubtful = classes.where("group_size > 1").select("digest").distinct()
+    if doubtful.count() <= BROADCAST_DIGESTS:
+        doubtful = F.broadcast(doubtful)
     texts = (docs.select(F.col(doc_id).alias("doc_id"),
                          F.coalesce(F.col(text), F.lit("")).alias("text"))
-             .withColumn("digest", digest(F.col("text"))).join(repeated, "digest", "left_semi"))
+             .withColumn("digest", digest(F.col("text"))).join(doubtful, "digest", "left_semi"))
     variants = written(texts.groupBy("digest", F.sha2("text", 512).alias("strong"), "text")
                        .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
                        .drop("text"), "byte-check")
@@ -149,14 +149,8 @@ def exact_dedup(docs: DataFrame, is_new: Column, doc_id: str = "doc_id", text: s
                    .groupBy("doc_id", "digest", F.sha2("text", 512).alias("strong"))
                    .agg(F.count("*").alias("m")).join(variants, ["digest", "strong"]))
         out = out.join(collided, "digest", "left_anti").unionByName(by_text.select(*answer))
-    chunk = F.explode(F.sequence(F.lit(0), F.expr(f"(m - 1) div {COPIES_AT_ONCE}")))
-    rest = F.col("m") - 1 - F.col("chunk") * COPIES_AT_ONCE
-    return (out.withColumn("chunk", chunk)
-            .withColumn("copy", F.explode(F.sequence(F.lit(0), F.least(
-                rest, F.lit(COPIES_AT_ONCE - 1).cast("long")).cast("int"))))
-            .withColumn("copy", F.col("copy") + F.col("chunk") * COPIES_AT_ONCE)
-            .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 0))
-            .drop("chunk"))
+    return repeated(out, "m").withColumn(
+        "kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 0))
 
 
 def by_halves(doc_id: str = "doc_id") -> Column:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from beatwire.llm.catalog import QUERIES
-from beatwire.llm.toxicity import (BETWEEN, N, Restorer, batch_counts, decode, fit, held_out,
+from beatwire.llm.toxicity import (BETWEEN, CLASS_OF, N, Restorer, batch_counts, decode, fit,
                                    log_model, logistic, readings, score_texts)
 
 CORPUS = ["the quick brown fox and the stupid idiot moron with scum and trash " * 30,
@@ -57,7 +57,6 @@ def test_viterbi_is_the_best_reading(chars):
                 value = score + cost + (0.0 if c is None else float(MODEL[a, b, c]))
                 after[new] = max(value, after.get(new, -np.inf))
         states = after
-    from beatwire.llm.toxicity import CLASS_OF
     way = tuple(CLASS_OF.get(c, BETWEEN) for c in word)
     a, b = (BETWEEN, BETWEEN, *way)[-2:]
     assert states[way] + float(MODEL[a, b, BETWEEN]) == pytest.approx(best, abs=1e-4)
