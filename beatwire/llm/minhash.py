@@ -14,8 +14,9 @@ named by its smallest id; all further work is on classes.
    an exact join: shingles are ordered by how many of these sets have them,
    rarest first; two similar sets share a shingle in a short prefix of either,
    at a place that still leaves enough shingles to share. Shingles of one set
-   only join with nothing, so a text with many words of its own drops out, and
-   members of a shingle's largest component are not paired with each other.
+   only join with nothing, so a text with many words of its own drops out. Sets
+   meet components, not their members, and a component of more than ``FEW``
+   members is compared block by block; pairs within a group are never listed.
 
 Hot groups: classes are built by (set, salt) before they are built by set, and
 results go back to the rows by (set, salt). Buckets are aggregated before the
@@ -36,7 +37,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,6 +52,8 @@ SALTS = 64
 # Share of equal 8-bit minima below which a pair cannot reach 0.75 (six sigma).
 SCREEN = 0.55
 THRESHOLD = (75, 100)  # intersection over union, in whole numbers
+BLOCK = 256  # sets of either side that a task compares at a time
+FEW = 8  # members of a component up to which pairs are listed
 BROADCAST_IDS = 1_000_000  # ids (8 MB) that are broadcast; beyond, the join shuffles
 REMEMBERED = 300_000  # word hashes a worker keeps; emptied when full
 LOWER = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
@@ -197,14 +200,18 @@ class _Verifier:
             (THRESHOLD[1] * F.col("c") >= THRESHOLD[0] * union).alias("link")), "similarities")
 
 
-def _prefixes(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _open_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, component, s, n): shingles of the wanted texts, kept as a table."""
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    return written(texts.join(wanted, "id").select("id", "component", _set_array("text").alias("s"))
+                   .distinct().withColumn("n", F.size("s")), "open-sets")
+
+
+def _prefixes(sets: DataFrame) -> DataFrame:
     """(x, id, component, n, at): shingles of the prefix that a similar set must share.
 
     ``at`` counts the rarer shingles of the set, those of no other set included.
     """
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    sets = written(texts.join(wanted, "id").select("id", "component", _set_array("text").alias("s"))
-                   .distinct().withColumn("n", F.size("s")), "open-sets")
     items = sets.select("id", "component", "n", F.explode("s").alias("x"))
     shared = items.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
     # at most one set's shingles in a row
@@ -220,23 +227,88 @@ def _prefixes(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> Dat
                     (F.col("k") + F.col("own")).alias("at")))
 
 
-def _missing_pairs(prefixes: DataFrame) -> DataFrame:
-    """(a, b) of sets in different components that may reach the threshold.
+def _missing(prefixes: DataFrame) -> DataFrame:
+    """(id, target): sets, and other components that may hold a set like them.
 
     A pair need share more than ``share / (share + whole)`` of both sizes, and
     can share at most what follows its first common shingle in either order.
+    Of a component only the bounds of its members are looked at.
     """
-    heads = (prefixes.groupBy("x", "component").agg(F.count("*").alias("c")).groupBy("x")
-             .agg(F.max_by("component", F.struct("c", "component")).alias("major"),
-                  F.count("*").alias("parts")).where("parts > 1").select("x", "major"))
-    mixed = prefixes.join(heads, "x")
     share, whole = THRESHOLD
-    return (mixed.where("component <> major").alias("p").join(mixed.alias("q"), "x")
-            .where(f"p.component <> q.component and (q.component = q.major or p.id < q.id) "
-                   f"and {whole} * least(p.n, q.n) >= {share} * greatest(p.n, q.n) "
-                   f"and {share + whole} * least(p.n - p.at, q.n - q.at) >= {share} * (p.n + q.n)")
-            .select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"))
-            .distinct())
+    parts = prefixes.groupBy("x", "component").agg(
+        F.count("*").alias("c"), F.min("n").alias("least_n"), F.max("n").alias("most_n"),
+        F.max(F.col("n") - F.col("at")).alias("left"))
+    heads = (parts.groupBy("x")
+             .agg(F.max_by("component", F.struct("c", "component")).alias("major"),
+                  F.count("*").alias("several")).where("several > 1").select("x", "major"))
+    minor = prefixes.join(heads, "x").where("component <> major").alias("p")
+    return (minor.join(parts.alias("q"), "x")
+            .where("p.component <> q.component and (q.component = p.major "
+                   "or p.component < q.component) "
+                   f"and {whole} * q.most_n >= {share} * p.n and {whole} * p.n >= {share} * q.least_n "
+                   f"and {share + whole} * least(p.n - p.at, q.left) >= {share} * (p.n + q.least_n)")
+            .select("p.id", F.col("q.component").alias("target")).distinct())
+
+
+def _block_links(queries: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
+    """For every query set one of the target sets it is linked with, if there is any."""
+    found = []
+    if len(queries) and len(targets):
+        sizes = np.array([len(s) for s in targets["s"]])
+        tokens, owners = np.concatenate(targets["s"].tolist()), np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owners = tokens[order], owners[order]
+        share, whole = THRESHOLD
+        for key, s in zip(queries["id"], queries["s"]):
+            first, last = np.searchsorted(tokens, s, "left"), np.searchsorted(tokens, s, "right")
+            many = last - first
+            at = np.repeat(last - many.cumsum(), many) + np.arange(many.sum())
+            common = np.bincount(owners[at], minlength=len(sizes))
+            linked = np.flatnonzero(whole * common >= share * (len(s) + sizes - common))
+            if len(linked):
+                found.append((key, targets["id"].iloc[linked[0]]))
+    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+
+def _links_in_blocks(sets: DataFrame, missing: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Links (a, b) of sets with large components, exact; no pair is listed.
+
+    Members of a component and the sets that ask for it are cut into blocks; a
+    task compares one block of either, and reports a link a set at most.
+    """
+    def blocks(n: str) -> Column:
+        return F.ceil(F.col(n) / BLOCK).cast("int")
+
+    asked = missing.join(sizes.withColumnRenamed("component", "target"), "target")
+    counts = asked.groupBy("target", "size").agg(F.count("*").alias("asking"))
+    block = lambda n: F.pmod(F.xxhash64("id"), blocks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    members = (sets.withColumnRenamed("component", "target").join(counts, "target")
+               .select("target", "id", "s", block("size").alias("y"), "asking")
+               .select("target", "id", "s", "y", every("asking").alias("x")))
+    queries = (missing.join(counts, "target").join(sets.select("id", "s"), "id")
+               .select("target", "id", "s", block("asking").alias("x"), "size")
+               .select("target", "id", "s", "x", every("size").alias("y")))
+    keys = ["target", "x", "y"]
+    # both sides hold columns of the same tables: name one side's anew
+    queries = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns]).toDF(
+        *queries.columns)
+    return (queries.groupBy(*keys).cogroup(members.groupBy(*keys))
+            .applyInPandas(_block_links, "a long, b long"))
+
+
+def _more_links(verifier: _Verifier, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components: by pairs with small ones, in blocks with large ones."""
+    missing = written(_missing(_prefixes(sets)), "missing")
+    sizes = written(sets.groupBy("component").agg(F.count("*").alias("size")), "open-sizes")
+    few = sizes.where(F.col("size") <= FEW).select(F.col("component").alias("target"))
+    members = sets.select(F.col("component").alias("target"), F.col("id").alias("other"))
+    pairs = (missing.join(few, "target").join(members, "target")
+             .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+             .distinct())
+    by_pairs = verifier.similarities(pairs).where("link").select("a", "b")
+    large = sizes.where(F.col("size") > FEW)
+    return by_pairs.unionByName(written(_links_in_blocks(sets, missing, large), "block-links"))
 
 
 def _open_members(buckets: DataFrame, comps: DataFrame) -> DataFrame:
@@ -267,8 +339,7 @@ def link_classes(docs: DataFrame, reps: DataFrame, doc_id: str = "doc_id",
              .distinct())
     comps = written(connected_components(verifier.similarities(stars).where("link")), "components")
     members = written(_open_members(buckets, comps), "open-members")
-    more = verifier.similarities(_missing_pairs(_prefixes(docs, members, doc_id, text)))
-    more = more.where("link")
+    more = _more_links(verifier, _open_sets(docs, members, doc_id, text))
     if more.isEmpty():
         return comps
     # the components are the nodes of the second round

@@ -90,6 +90,14 @@ def test_links_that_no_hub_shows(docs_of):
     assert result(near_duplicates(docs_of(*rows))) == sorted(brute(rows))
 
 
+def test_blocks_change_nothing(docs_of, monkeypatch):
+    """Every component compared in blocks of three sets."""
+    monkeypatch.setattr(minhash, "FEW", 0)
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    rows = near_rows(3, groups=4)
+    assert result(near_duplicates(docs_of(*rows))) == sorted(brute(rows))
+
+
 def test_cases(docs_of):
     rows = [(5, None), (6, ""), (7, " \n"), (8, "One two"), (9, "one TWO"), (10, "one two three"),
             (11, "a b c d e"), (12, "A B C D E"), (13, "É b c d e"), (14, "é b c d e"),
