@@ -10,9 +10,8 @@
 3. What is taken of a block in one round is a ticket. A splitting tree deals
    the tickets to output shards: at every node the left half's number of
    tickets of each source is a draw from the multivariate hypergeometric
-   distribution. Within a node sources are split by halves in turn, so a draw
-   is a plain hypergeometric one: of ``n`` tickets, ``k`` of the first half of
-   the sources, ``d`` go left. Totals are exact at every node.
+   distribution, one source after another: of ``n`` tickets left, ``k`` of this
+   source, ``d`` go left. Totals are exact at every node.
 4. A shard gets a run of consecutive tickets of each source. Blocks are numbered
    by the permutation, so runs are disjoint random sets of blocks. In the shard
    rows are ordered by a hash of their own.
@@ -43,6 +42,7 @@ MOST_ROUNDS = 3
 SHARDS_LOG2 = 4
 SEED = 42
 BLOCK_DOCS = 128
+FAN_BITS = 6  # branches of a node of the tree over sources: 64
 WORD = "[^\\x20\\x09-\\x0D]+"
 FIRST = Window.unboundedPreceding
 
@@ -148,46 +148,60 @@ def hypergeometric(n: Column, k: Column, d: Column, u: Column) -> Column:
     return F.least(drawn, last)
 
 
+def _left_halves(groups: DataFrame, fork: int, level: int, seed: int) -> DataFrame:
+    """(shard, part, n, left): draws for the parts of every group (shard, kids, of, of_left).
+
+    One part after another: ``n`` of the tickets that are left are its own, and
+    so many of the places that are left on the left side go to them.
+    """
+    start = F.struct(F.col("of").alias("rest"), F.col("of_left").alias("places"),
+                     F.array().cast("array<struct<part:bigint,n:bigint,left:bigint>>").alias("out"))
+
+    def deal(a: Column, kid: Column) -> Column:
+        u = _uniform(F.lit(seed), F.lit(fork), F.lit(level), F.col("shard"), kid["part"])
+        drawn = hypergeometric(a["rest"], kid["n"], a["places"], u)
+        return F.struct((a["rest"] - kid["n"]).alias("rest"), (a["places"] - drawn).alias("places"),
+                        F.concat(a["out"], F.array(F.struct(
+                            kid["part"].alias("part"), kid["n"].alias("n"),
+                            drawn.alias("left")))).alias("out"))
+
+    dealt = F.aggregate("kids", start, deal, lambda a: a["out"])
+    return groups.select("shard", F.inline(dealt))
+
+
 def split_tickets(quotas: DataFrame, n_sources: int, depth: int = SHARDS_LOG2,
                   seed: int = SEED) -> DataFrame:
     """(shard, no, n): tickets (no, n) of every source dealt to 2^depth shards.
 
-    Shards get equal totals, but for one ticket a split. ``part`` is a node of
-    the tree over sources: all of them at level 0, one each at the last level.
+    Shards get equal totals, but for one ticket a split. Sources form a tree of
+    64 branches a node; ``part`` is a node, single sources at the last level.
+    A draw over 64 branches happens in one row, whatever the number of sources.
     """
-    levels = max(0, math.ceil(math.log2(max(1, n_sources))))
-    state = None
-    for level in range(levels + 1):
-        rows = quotas.groupBy(F.shiftright("no", levels - level).alias("part")).agg(
-            F.sum("n").alias("n")).withColumns({"level": F.lit(level), "shard": F.lit(0)})
-        state = rows if state is None else state.unionByName(rows)
+    levels = max(1, math.ceil(math.log2(max(2, n_sources)) / FAN_BITS))
+    state = quotas.select(F.lit(0).alias("shard"), "no", "n")
     for fork in range(depth):
         state = written(state, "ticket-tree")
-        # left halves, from all sources down to single ones
-        at = state.where("level = 0").withColumn(
-            "left", F.expr("n div 2") + F.when(
-                _uniform(F.lit(seed), F.lit(fork), F.col("shard")) < 0.5, F.pmod("n", F.lit(2)))
-            .otherwise(F.lit(0)))
-        done = at
+        above = None
         for level in range(1, levels + 1):
-            above = at.select("shard", F.col("part").alias("up"), F.col("n").alias("of"),
-                              F.col("left").alias("of_left"))
-            rows = state.where(F.col("level") == level).withColumn("up", F.shiftright("part", 1))
-            first = F.pmod("part", F.lit(2)) == 0
-            u = _uniform(F.lit(seed), F.lit(fork), F.lit(level), F.col("shard"), F.col("up"))
-            marked = F.when(first, F.col("n")).otherwise(F.col("of") - F.col("n"))
-            rows = (rows.join(above, ["shard", "up"])
-                    .withColumn("drawn", hypergeometric(F.col("of"), marked, F.col("of_left"), u))
-                    .withColumn("left", F.when(first, F.col("drawn"))
-                                .otherwise(F.col("of_left") - F.col("drawn"))))
-            at = rows.select(*done.columns)
-            done = done.unionByName(at)
+            part = F.shiftright("no", FAN_BITS * (levels - level))
+            kids = state.groupBy("shard", part.alias("part")).agg(F.sum("n").alias("n"))
+            groups = kids.groupBy("shard", F.shiftright("part", FAN_BITS).alias("up")).agg(
+                F.sort_array(F.collect_list(F.struct("part", "n"))).alias("kids"),  # 64 at most
+                F.sum("n").alias("of"))
+            if above is None:
+                odd = F.when(_uniform(F.lit(seed), F.lit(fork), F.col("shard")) < 0.5,
+                             F.pmod("of", F.lit(2))).otherwise(F.lit(0))
+                groups = groups.withColumn("of_left", F.expr("of div 2") + odd)
+            else:
+                groups = groups.join(above, ["shard", "up"])
+            dealt = _left_halves(groups, fork, level, seed)
+            above = dealt.select("shard", F.col("part").alias("up"), F.col("left").alias("of_left"))
         halves = F.explode(F.array(
             F.struct((F.col("shard") * 2).alias("shard"), F.col("left").alias("n")),
             F.struct((F.col("shard") * 2 + 1).alias("shard"), (F.col("n") - F.col("left")).alias("n"))))
-        state = (done.select("part", "level", halves.alias("h"))
-                 .select("part", "h.n", "level", "h.shard").where("n > 0"))
-    return state.where(F.col("level") == levels).select("shard", F.col("part").alias("no"), "n")
+        state = (dealt.select(F.col("part").alias("no"), halves.alias("h"))
+                 .select("h.shard", "no", "h.n").where("n > 0"))
+    return state
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, depth: int = SHARDS_LOG2,
