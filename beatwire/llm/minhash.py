@@ -52,7 +52,7 @@ SALTS = 64
 # Share of equal 8-bit minima below which a pair cannot reach 0.75 (six sigma).
 SCREEN = 0.55
 THRESHOLD = (75, 100)  # intersection over union, in whole numbers
-BLOCK = 256  # sets of either side that a task compares at a time
+BLOCK = 1 << 17  # shingles of either side that a task compares at a time (1 MB)
 FEW = 8  # members of a component up to which pairs are listed
 BROADCAST_IDS = 1_000_000  # ids (8 MB) that are broadcast; beyond, the join shuffles
 REMEMBERED = 300_000  # word hashes a worker keeps; emptied when full
@@ -228,7 +228,7 @@ def _prefixes(sets: DataFrame) -> DataFrame:
 
 
 def _missing(prefixes: DataFrame) -> DataFrame:
-    """(id, target): sets, and other components that may hold a set like them.
+    """(id, n, target): sets, and other components that may hold a set like them.
 
     A pair need share more than ``share / (share + whole)`` of both sizes, and
     can share at most what follows its first common shingle in either order.
@@ -247,7 +247,7 @@ def _missing(prefixes: DataFrame) -> DataFrame:
                    "or p.component < q.component) "
                    f"and {whole} * q.most_n >= {share} * p.n and {whole} * p.n >= {share} * q.least_n "
                    f"and {share + whole} * least(p.n - p.at, q.left) >= {share} * (p.n + q.least_n)")
-            .select("p.id", F.col("q.component").alias("target")).distinct())
+            .select("p.id", "p.n", F.col("q.component").alias("target")).distinct())
 
 
 def _block_links(queries: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
@@ -273,22 +273,23 @@ def _block_links(queries: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
 def _links_in_blocks(sets: DataFrame, missing: DataFrame, sizes: DataFrame) -> DataFrame:
     """Links (a, b) of sets with large components, exact; no pair is listed.
 
-    Members of a component and the sets that ask for it are cut into blocks; a
-    task compares one block of either, and reports a link a set at most.
+    Members of a component and the sets that ask for it are cut into blocks of
+    so many shingles; a task compares one block of either, and reports a link a
+    set at most. ``sizes`` has (component, shingles).
     """
     def blocks(n: str) -> Column:
         return F.ceil(F.col(n) / BLOCK).cast("int")
 
     asked = missing.join(sizes.withColumnRenamed("component", "target"), "target")
-    counts = asked.groupBy("target", "size").agg(F.count("*").alias("asking"))
+    counts = asked.groupBy("target", "shingles").agg(F.sum("n").alias("asking"))
     block = lambda n: F.pmod(F.xxhash64("id"), blocks(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
     members = (sets.withColumnRenamed("component", "target").join(counts, "target")
-               .select("target", "id", "s", block("size").alias("y"), "asking")
+               .select("target", "id", "s", block("shingles").alias("y"), "asking")
                .select("target", "id", "s", "y", every("asking").alias("x")))
-    queries = (missing.join(counts, "target").join(sets.select("id", "s"), "id")
-               .select("target", "id", "s", block("asking").alias("x"), "size")
-               .select("target", "id", "s", "x", every("size").alias("y")))
+    queries = (missing.drop("n").join(counts, "target").join(sets.select("id", "s"), "id")
+               .select("target", "id", "s", block("asking").alias("x"), "shingles")
+               .select("target", "id", "s", "x", every("shingles").alias("y")))
     keys = ["target", "x", "y"]
     # both sides hold columns of the same tables: name one side's anew
     queries = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns]).toDF(
@@ -300,14 +301,15 @@ def _links_in_blocks(sets: DataFrame, missing: DataFrame, sizes: DataFrame) -> D
 def _more_links(verifier: _Verifier, sets: DataFrame) -> DataFrame:
     """Links (a, b) between components: by pairs with small ones, in blocks with large ones."""
     missing = written(_missing(_prefixes(sets)), "missing")
-    sizes = written(sets.groupBy("component").agg(F.count("*").alias("size")), "open-sizes")
+    sizes = written(sets.groupBy("component").agg(
+        F.count("*").alias("size"), F.sum("n").alias("shingles")), "open-sizes")
     few = sizes.where(F.col("size") <= FEW).select(F.col("component").alias("target"))
     members = sets.select(F.col("component").alias("target"), F.col("id").alias("other"))
     pairs = (missing.join(few, "target").join(members, "target")
              .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
              .distinct())
     by_pairs = verifier.similarities(pairs).where("link").select("a", "b")
-    large = sizes.where(F.col("size") > FEW)
+    large = sizes.where(F.col("size") > FEW).select("component", "shingles")
     return by_pairs.unionByName(written(_links_in_blocks(sets, missing, large), "block-links"))
 
 

