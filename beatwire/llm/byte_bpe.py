@@ -16,18 +16,21 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2 as proto
 
 # Pre-tokens whose ids a worker remembers; the memory is emptied when full.
-REMEMBERED = 200_000
+REMEMBERED = 40_000
+SLICE = 256
 UNKNOWN = "<unk>"
 
 
@@ -150,20 +153,6 @@ def digester(model: bytes, pattern: str):
     return digest
 
 
-def coder(model: bytes, pattern: str):
-    """Ids and the digest of what they decode to; one pass over the text."""
-    @F.pandas_udf("ids array<int>, decoded_sha256 string")
-    def code(texts: pd.Series) -> pd.DataFrame:
-        codec = loaded(model, pattern)
-        rows = []
-        for text in texts:
-            ids = codec.encode(text)
-            rows.append((np.array(ids, np.int32), hashlib.sha256(codec.decode(ids)).hexdigest()))
-        return pd.DataFrame(rows, columns=["ids", "decoded_sha256"])
-
-    return code
-
-
 def encode_docs(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id",
                 text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids) of every document."""
@@ -188,8 +177,27 @@ def digest_docs(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "d
 
 def code_docs(docs: DataFrame, vocabulary: str, pattern: str, keep: Sequence[str] = ("doc_id",),
               text: str = "text") -> DataFrame:
-    """(*keep, n_tokens, ids, decoded_sha256) of every row."""
-    code = coder(make_model(read_ranks(vocabulary)), pattern)
-    kept = F.struct(*keep).alias("kept")
-    return docs.select(kept, code(F.col(text)).alias("c")).select(
-        "kept.*", F.size("c.ids").cast("long").alias("n_tokens"), "c.ids", "c.decoded_sha256")
+    """(*keep, n_tokens, ids, decoded_sha256) of every row, one pass over the text.
+
+    Ids leave a worker in slices of ``SLICE`` rows, so that it never holds those
+    of a whole batch.
+    """
+    model = make_model(read_ranks(vocabulary))
+    kept = docs.select(*keep, F.col(text).alias("__text"))
+    schema = T.StructType([kept.schema[c] for c in keep] + [
+        T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())),
+        T.StructField("decoded_sha256", T.StringType())])
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = loaded(model, pattern)
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                ids = [np.array(codec.encode(t), np.int32) for t in part.column("__text").to_pylist()]
+                decoded = [hashlib.sha256(codec.decode(i.tolist())).hexdigest() for i in ids]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:-1], pa.array([len(i) for i in ids], pa.int64()),
+                     pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())],
+                    names=schema.names)
+
+    return kept.mapInArrow(code, schema)

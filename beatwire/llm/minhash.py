@@ -55,7 +55,7 @@ THRESHOLD = (75, 100)  # intersection over union, in whole numbers
 BLOCK = 1 << 17  # shingles of either side that a task compares at a time (1 MB)
 FEW = 8  # members of a component up to which pairs are listed
 BROADCAST_IDS = 1_000_000  # ids (8 MB) that are broadcast; beyond, the join shuffles
-REMEMBERED = 300_000  # word hashes a worker keeps; emptied when full
+REMEMBERED = 100_000  # word hashes a worker keeps; emptied when full
 LOWER = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
 _WORD_HASH: dict[bytes, int] = {}
 

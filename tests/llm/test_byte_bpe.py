@@ -57,6 +57,19 @@ def test_operators(docs_of):
     assert digest_docs(docs.limit(0), PATH, P.PATTERN).collect() == []
 
 
+def test_coded_in_slices(docs_of, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "SLICE", 3)
+    docs = docs_of(*enumerate(ODD), (None, None), extra="ids n_tokens")
+    got = byte_bpe.code_docs(docs, PATH, P.PATTERN, keep=("doc_id", "source"))
+    assert got.columns == ["doc_id", "source", "n_tokens", "ids", "decoded_sha256"]
+    rows = {r.doc_id: r for r in got.collect()}
+    assert len(rows) == len(ODD) + 1 and rows[None].ids == []
+    for i, text in enumerate(ODD):
+        assert rows[i].ids == LIBRARY.encode_ordinary(text) and rows[i].n_tokens == len(rows[i].ids)
+        assert rows[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert byte_bpe.code_docs(docs.limit(0), PATH, P.PATTERN).collect() == []
+
+
 def test_query_against_the_library(spark):
     from pathlib import Path
     TABLES = Path("/root/testdata/sf0.001")
