@@ -4,8 +4,11 @@ A page becomes a row of tokens. Words score positive and tags negative; a
 linear scan finds the run with the highest sum, the article. The weights come
 from labelled pages: pages that mark their article themselves tell how often a
 tag, and a word in a given surrounding, lies in it and outside. Within the run,
-elements that are never article text (menus, notices, forms, reader comments
-and the like, by their name, role or class) are left out.
+elements that are no article text (menus, notices, forms, reader comments and
+the like, by their name, role or class) are left out. One that holds most of the
+page's words wraps the article and stays: forms, elements named by a class or
+left open where they hold more words than remain without them, reader comments
+and what lies outside of a marked article with ``OUTWEIGHS`` times as many.
 
 The labelled pages are a bounded sample, ``SAMPLE_PAGES`` pages of at most
 ``SAMPLE_CHARS`` characters; fixed counts stand in for what they do not show.
@@ -14,7 +17,8 @@ Text: character references are decoded, white space inside a block becomes one
 space, blocks are joined in page order by one space. Elements of running text
 (``a``, ``b``, ``span``...) do not part words; ``br`` and all others do.
 
-Defined cases: null and empty pages have an empty text; pages are read whole,
+Defined cases: null and empty pages have an empty text, and so have pages with
+words only in closed menus, footers and other elements of ``NEVER``; pages are read whole,
 broken and cut off markup as browsers would roughly read it; rows are handled
 one by one, so repeated rows and null ids each get their row; an empty table
 gives an empty result; other columns are not read.
@@ -25,7 +29,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -49,7 +53,9 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"
 RUNNING = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label
 mark q s samp small span strike strong sub sup time tt u var wbr""".split())
 EMPTY = frozenset("""area base br col embed hr img input link meta param source track wbr""".split())
-NEVER = frozenset("""head nav footer aside form button menu dialog fieldset""".split())
+NEVER = frozenset("""head nav footer aside button menu dialog""".split())
+SELDOM = frozenset({"form", "fieldset"})  # beside the article or around all of it
+IN_HEAD = frozenset("""base basefont bgsound link meta noframes""".split())  # others open the body
 ARTICLE = frozenset({"article", "main"})
 # Parts of a class, id or role that name something beside the article.
 BESIDE = frozenset("""ad ads advert advertisement adsense sponsor sponsored promo promotion banner
@@ -58,6 +64,11 @@ signup login sidebar aside widget menu nav navbar navigation breadcrumb breadcru
 masthead topbar header footer copyright comments comment commentlist disqus replies respond share
 sharing social related recommended recommendations pagination pager search""".split())
 IN_ARTICLE_TOO = frozenset({"header", "search"})  # no sign against a part of the article
+# Names such as no-comments, has-sidebar or ad-free tell of the page, not of the element.
+STATE_FIRST = frozenset("""no non not has have is with without hide show""".split())
+STATE_LAST = frozenset("""free open opened closed on off enabled disabled""".split())
+COMMENTS = frozenset("""comments comment commentlist disqus replies respond""".split())
+OUTWEIGHS = 9  # times the other words, for what may well be longer than the article
 
 # Stand in for labelled pages: seen so often inside and outside of an article.
 PRIOR_IN = {name: 20 for name in "p h1 h2 h3 blockquote pre article".split()}
@@ -71,65 +82,121 @@ class Token:
     key: str
     words: int | None = None
     text: str = ""
-    beside: bool = False  # in an element that is never article text
+    beside: bool = False  # in an element that is no article text
     marked: bool = False  # inside the article as the page marks it
     parts: bool = False  # a tag that parts words
 
 
-def _beside(name: str, attributes: str, in_article: bool) -> bool:
+@dataclass
+class Aside:
+    """An element that looks as if it lay beside the article."""
+
+    outer: Aside | None
+    never: bool
+    marked: bool
+    factor: int
+    own: int = 0  # words, but those of links and of elements of this kind inside
+    words: int = 0  # with those inside
+    wraps: bool = False  # holds the article, or a part of it
+
+
+def _beside(name: str, attributes: str, in_article: bool) -> str:
+    """"never" or "seldom" article text, "comments" on it, or "" for all others."""
     if name in NEVER or (name == "header" and not in_article):
-        return True
+        return "never"
+    found = "seldom" if name in SELDOM else ""
     if not attributes or name in ("html", "body", *ARTICLE):
-        return False
+        return found
     for attr, value in ATTRIBUTE.findall(attributes):
         attr, value = attr.lower(), value.strip("\"'").lower()
         if attr == "hidden" or attr == "aria-hidden" and value == "true":
-            return True
-        named = BESIDE.intersection(re.split(r"[^a-z0-9]+", value))
-        if named - (IN_ARTICLE_TOO if in_article else frozenset()):
-            return True
-    return False
+            found = found or "seldom"
+        for part in value.split():
+            names = [x for x in re.split(r"[^a-z0-9]+", part) if x]
+            if len(names) > 1 and (names[0] in STATE_FIRST or names[-1] in STATE_LAST):
+                continue
+            named = BESIDE.intersection(names) - (IN_ARTICLE_TOO if in_article else frozenset())
+            if named & COMMENTS:
+                return "comments"
+            found = found or ("seldom" if named else "")
+    return found
+
+
+def _find_wrappers(asides: list[Aside], free: dict[bool, int]) -> None:
+    """Mark the elements that hold most words, largest first; what they hold counts as free.
+
+    ``free`` has the words in no such element, inside the marked article and outside.
+    """
+    for e in reversed(asides):
+        e.words += e.own
+        if e.outer and not e.never:
+            e.outer.words += e.words
+    for e in sorted(asides, key=lambda e: -e.words):
+        if e.never or e.outer and not e.outer.wraps:
+            continue
+        others = free[True] if e.marked else free[True] + free[False]
+        factor = e.factor if e.marked or not free[True] else OUTWEIGHS
+        if e.words > factor * others:
+            e.wraps = True
+            free[e.marked] += e.own
 
 
-def tokens(html: str) -> Iterator[Token]:
+def tokens(html: str) -> list[Token]:
     """Tags and texts of a page in order, each text with its surrounding."""
-    open_: list[tuple[str, bool]] = []  # open elements, and whether they are beside the article
-    beside = article = link = 0
+    out: list[Token] = []
+    texts: list[tuple[Token, Aside]] = []  # those inside of an element beside the article
+    asides: list[Aside] = []
+    free = {True: 0, False: 0}
+    open_: list[tuple[str, Aside | None]] = []
+    beside: list[Aside] = []
+    article = link = 0
     block = "body"
 
-    def text(part: str) -> Token:
+    def text(part: str) -> None:
         plain = unescape(part)
-        key = f"{block}{' link' if link else ''}{' beside' if beside else ''}"
-        return Token(key, len(plain.split()), plain, beside > 0, article > 0)
-
-    def close(depth: int) -> None:
-        nonlocal beside, article, link
+        n = len(plain.split())
+        if n and open_ and open_[-1][0] == "head":
+            close(len(open_) - 1)
+        token = Token(f"{block}{' link' if link else ''}", n, plain, False, article > 0)
+        out.append(token)
+        if beside:
+            texts.append((token, beside[-1]))
+        if not link:
+            if beside:
+                beside[-1].own += n
+            else:
+                free[article > 0] += n
+
+    def close(depth: int, ended: bool = False) -> None:
+        nonlocal article, link, block
         while len(open_) > depth:
             name, aside = open_.pop()
-            beside -= aside
+            if aside:
+                beside.pop()
+                if name != "head" and not (ended and len(open_) == depth):
+                    aside.never = False  # never ended, so it may have taken in the article
             article -= name in ARTICLE
             link -= name == "a"
-
-    def inner_block() -> str:
-        return next((n for n, _ in reversed(open_) if n not in RUNNING), "body")
+        block = next((n for n, _ in reversed(open_) if n not in RUNNING), "body")
 
     at = 0
     for m in MARKUP.finditer(html):
         if m.start() > at:
-            yield text(html[at:m.start()])
+            text(html[at:m.start()])
         at = m.end()
         name = (m[3] or m[6] or "").lower()
         if m[1]:
-            yield Token(m[1].lower(), marked=article > 0, parts=True)
+            out.append(Token(m[1].lower(), marked=article > 0, parts=True))
         if not name:
             continue
         if m[2] or m[5]:
             depth = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), None)
-            yield Token(f"/{name}", marked=article > 0, parts=name not in RUNNING)
+            out.append(Token(f"/{name}", marked=article > 0, parts=name not in RUNNING))
             if depth is not None:
-                close(depth)
-                block = inner_block()
+                close(depth, ended=True)
             continue
+        if open_ and open_[-1][0] == "head" and name not in IN_HEAD:
+            close(len(open_) - 1)  # the body starts, with or without a tag
         if name in ARTICLE and not article and beside:
             close(next((i for i, (_, aside) in enumerate(open_) if aside), len(open_)))
         elif name not in RUNNING and name != "br":
@@ -138,14 +205,28 @@ def tokens(html: str) -> Iterator[Token]:
             if depth is not None and open_[depth][0] == "p":
                 close(depth)  # a paragraph ends where the next block starts
         if name not in EMPTY:
-            open_.append((name, _beside(name, m[4] or m[7] or "", article > 0)))
-            beside += open_[-1][1]
+            aside, kind = None, _beside(name, m[4] or m[7] or "", article > 0)
+            if kind:
+                aside = Aside(beside[-1] if beside else None, kind == "never", article > 0,
+                              OUTWEIGHS if kind == "comments" else 1)
+                asides.append(aside)
+                beside.append(aside)
+            open_.append((name, aside))
             article += name in ARTICLE
             link += name == "a"
-            block = inner_block()
-        yield Token(name, marked=article > 0, parts=name not in RUNNING)
+            if name not in RUNNING:
+                block = name
+        out.append(Token(name, marked=article > 0, parts=name not in RUNNING))
     if at < len(html):
-        yield text(html[at:])
+        text(html[at:])
+    close(0)
+
+    _find_wrappers(asides, free)
+    for token, aside in texts:
+        if not aside.wraps:
+            token.beside = True
+            token.key += " beside"
+    return out
 
 
 @dataclass(frozen=True)
@@ -176,7 +257,7 @@ def learn(pages: Iterable[str]) -> Weights:
         outside.update({("tag", name): n, ("tag", f"/{name}"): n, ("word", f"{name} link"): n,
                         ("word", f"{name} beside"): n, ("word", f"{name} link beside"): n})
     for html in pages:
-        found = list(tokens(html))
+        found = tokens(html)
         if not any(t.marked for t in found):
             continue
         for t in found:
@@ -204,7 +285,7 @@ def best_run(scores: Iterable[float]) -> tuple[int, int]:
 
 
 def main_text(html: str | None, weights: Weights) -> str:
-    found = list(tokens(html or ""))
+    found = tokens(html or "")
     start, end = best_run(weights.score(t) if not t.beside else min(0.0, weights.score(t))
                           for t in found)
     kept = []

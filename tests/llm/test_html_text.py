@@ -55,6 +55,31 @@ def test_broken_pages():
     assert main_text("<a \"" * 20_000, WEIGHTS) == ""
 
 
+@pytest.mark.parametrize("page", [
+    PAGE % f"<form action='/x.aspx'><input><div><h1>Head</h1><p>{WORDS}</p><p>{WORDS}</p></div></form>",
+    PAGE % f"<div class='content widget'><h1>Head</h1><p>{WORDS}</p><p>{WORDS}</p></div>",
+    PAGE % (f"<p>Skip to it</p><div class='content has-sidebar no-comments ad-free'><h1>Head</h1>"
+            f"<p>{WORDS}</p><p>{WORDS}</p></div>"),
+    PAGE % f"<header><p>Name</p><h1>Head</h1><p>{WORDS}</p><p>{WORDS}</p>",
+    f"<head><meta charset=x><title>T</title><body><h1>Head</h1><p>{WORDS}</p><p>{WORDS}</p></body>",
+    f"<head><title>T</title><link href=x><h1>Head</h1><p>{WORDS}</p><p>{WORDS}</p>",
+])
+def test_elements_around_the_article(page):
+    """A form, a class or an omitted end tag around all words drops none of them."""
+    assert f"Head {WORDS} {WORDS}" in main_text(page, WEIGHTS)
+
+
+def test_elements_beside_the_article():
+    side = f"<div class='sidebar'><p>{WORDS}</p></div><section id='comments'><p>{WORDS}</p></section>"
+    assert text(f"<form><div><p>{WORDS}</p><p>{WORDS}</p></div>{side}</form>") == f"{WORDS} {WORDS}"
+    replies = f"<section id='comments'>{f'<p>{WORDS}</p>' * 5}</section>"
+    assert text(f"<div><p>{WORDS}</p></div>{replies}") == WORDS
+    assert text(f"<article><p>{WORDS}</p>{replies}</article>") == WORDS
+    assert text(f"<article><p>{WORDS}</p></article><form>{f'<p>{WORDS}</p>' * 5}</form>") == WORDS
+    assert text(f"<article><div class='post widget'><p>{WORDS}</p></div></article>") == WORDS
+    assert text("") == ""
+
+
 def test_operator_cases(spark):
     long = " ".join(f"w{i}" for i in range(200_000))
     rows = [(1, "u", PAGE % f"<article><p>{WORDS}</p></article>"), (2, None, None), (3, "u", ""),
