@@ -42,8 +42,9 @@ SAMPLE_CHARS = 50_000
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    r"|<(svg|math)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<=/)>"
     r"|<(script|style|noscript|template|iframe|textarea|svg|math|object|select|title|xmp)"
-    r"(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
+    r"(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\2(?=[\s/>])[^>]*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
@@ -184,12 +185,12 @@ def tokens(html: str) -> list[Token]:
         if m.start() > at:
             text(html[at:m.start()])
         at = m.end()
-        name = (m[3] or m[6] or "").lower()
-        if m[1]:
-            out.append(Token(m[1].lower(), marked=article > 0, parts=True))
+        name = (m[4] or m[7] or "").lower()
+        if m[1] or m[2]:
+            out.append(Token((m[1] or m[2]).lower(), marked=article > 0, parts=True))
         if not name:
             continue
-        if m[2] or m[5]:
+        if m[3] or m[6]:
             depth = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), None)
             out.append(Token(f"/{name}", marked=article > 0, parts=name not in RUNNING))
             if depth is not None:
@@ -205,7 +206,7 @@ def tokens(html: str) -> list[Token]:
             if depth is not None and open_[depth][0] == "p":
                 close(depth)  # a paragraph ends where the next block starts
         if name not in EMPTY:
-            aside, kind = None, _beside(name, m[4] or m[7] or "", article > 0)
+            aside, kind = None, _beside(name, m[5] or m[8] or "", article > 0)
             if kind:
                 aside = Aside(beside[-1] if beside else None, kind == "never", article > 0,
                               OUTWEIGHS if kind == "comments" else 1)

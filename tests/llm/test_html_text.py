@@ -46,6 +46,14 @@ def test_pages(body, want):
     assert text(body) == want
 
 
+@pytest.mark.parametrize("icon", [
+    "<svg/>", '<svg class="i" />', "<SVG class=i/>", "<math/>", "<svg><path d='M0'/><text>no</text></svg>"])
+def test_text_after_an_icon(icon):
+    assert text(f"<article><p>A{icon}B</p><p>{WORDS}</p></article>") == f"A B {WORDS}"
+    assert text(f"<article><p>A{icon}B</p><p>{WORDS}</p><svg><text>no</text></svg><p>C</p></article>"
+                ) == f"A B {WORDS} C"
+
+
 def test_broken_pages():
     assert main_text(f"<article><p>{WORDS}", WEIGHTS) == WORDS
     assert main_text(f"<article><p>{WORDS}</p><p class=\"x", WEIGHTS) == WORDS
