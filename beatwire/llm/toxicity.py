@@ -4,9 +4,11 @@
    documents, added up in every task first. Characters are the letters of
    Latin-1 and one class for everything between words, so the table has a fixed
    size whatever the corpus.
-2. A noisy channel: a disguised word (digits and signs for letters, spaced
-   letters, letters repeated) is a lattice of readings of its characters; Viterbi
-   decoding under the language model restores the likeliest word.
+2. A noisy channel: a disguised word (digits and signs for letters, signs
+   between letters, three or more spaced letters, a letter repeated) is a lattice
+   of readings of its characters; Viterbi decoding under the language model
+   restores the likeliest word. At least one character must be a letter; more
+   than eight signs and blanks in a row end a spaced word.
 3. A classifier on the restored text: words and beginnings of words weighted by
    the log odds of toxic and other labelled texts, less two standard errors; a
    logistic curve turns the best weight and the number of hits into a score.
@@ -60,11 +62,15 @@ READINGS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g
 AS_SIGN, DROP_SIGN, DROP_REPEAT, KEEP_REPEAT, NEW_WORD = -0.5, -6.0, -0.1, -1.5, -3.0
 
 WORD = re.compile(r"[^\W\d_]+")
-SIGN = re.compile(r"[0-9@$!|+€(£§*.\-_]")
-SPACED = re.compile(r"(?<!\w)[^\W_]([ .\-_*]{1,2})(?:[^\W_]\1){2,}[^\W_](?!\w)")
-TRIPLE = re.compile(r"(\w)\1\1")
+STANDS = re.escape("".join(c for c in READINGS if not c.isdigit()))  # signs that stand for letters
+# One letter or digit after another, each maybe repeated; signs may stand for some of them.
+ALONE = rf"[{STANDS}]|(?<![^\W_])([^\W_])\%d*+(?![^\W_])"
+SPACED = re.compile(rf"(?<![^\W_])(?:{ALONE % 1})(?:(?:(?![{STANDS}])[\W_]){{0,8}}+(?:{ALONE % 2}))++")
+DOUBLE = re.compile(r"([^\W\d_])\1")
 TAIL = re.compile(r"(?:([^\w\s])\1+|[.,;:!?\"')\]])+$")
 HEAD = re.compile(r"^[\"'(\[*_#]+")
+PLAIN = ".,;:?\"')]}[{#_-"  # at the ends of a word never a letter
+SINGLE = re.compile(r"([^\W_]+)")
 
 
 # --- language model ---------------------------------------------------------
@@ -161,16 +167,34 @@ def decode(chars: str, model: np.ndarray) -> str:
 
 def disguised(text: str, words: set[str]) -> Iterator[str]:
     """Stretches of a lower-case text that look like a disguised word."""
-    if SIGN.search(text):
-        for token in text.split():
-            if SIGN.search(token):
-                token = HEAD.sub("", TAIL.sub("", token))
-                if SIGN.search(token) and any(c in CLASS_OF for c in token):
-                    yield token
+    for token in text.split():
+        if not token.isalpha():
+            whole = token.strip(PLAIN)
+            if not whole.isalpha() and any(c in CLASS_OF for c in whole):
+                bare = HEAD.sub("", TAIL.sub("", token))
+                if not bare.isalpha():
+                    yield bare
+                if whole != bare:
+                    yield whole  # signs at its ends may be letters, too
     for m in SPACED.finditer(text):
-        yield m[0].replace(m[1], " ")
-    if TRIPLE.search(" ".join(words)):
-        yield from (word for word in words if TRIPLE.search(word))
+        yield from spaced(m[0])
+    yield from filter(DOUBLE.search, words)
+
+
+def spaced(run: str) -> set[str]:
+    """A run of single letters without its signs, and with those that may be letters."""
+    parts = SINGLE.split(run)
+    letters, gaps = parts[1::2], ["".join(filter(READINGS.get, g)) for g in parts[::2]]
+    if not any(c[0] in CLASS_OF for c in letters):
+        return set()
+    often = Counter(c for g in gaps[1:-1] for c in set(g))
+    between = {c for c, n in often.items() if n > 1 and 2 * n >= len(letters) - 1}
+    found = {" ".join(letters)}
+    for parting in ({*between}, set()) if any(gaps) else ():
+        signs = [[c for c in g if c not in parting] for g in gaps]
+        inner = [x for c, g in zip(letters, [*signs[1:-1], []]) for x in (c, *g)]
+        found |= {" ".join(inner), " ".join([*signs[0], *inner, *signs[-1]])}
+    return {x for x in found if x.count(" ") > 1}
 
 
 class Restorer:

@@ -70,6 +70,15 @@ def test_restored(text, word):
     assert word in Restorer(MODEL).words(text)
 
 
+@pytest.mark.parametrize("text,word", [
+    ("iddiioott", "idiot"), ("you stuupid", "stupid"), ("s t u p ! d", "stupid"),
+    ("$ t u p i d", "stupid"), ("s*t*u*p*!*d", "stupid"), ("i  d i - o t", "idiot"),
+    ("i/d/i/o/t", "idiot"), ("st/upid", "stupid"), ("m\to\tr\to\tn", "moron"), ("s, c, u, m", "scum"),
+    ("i dd i oo t", "idiot"), ("f o x", "fox"), ("m o r o n !!", "moron"), ("the f 0 x.", "fox")])
+def test_restored_from_any_disguise(text, word):
+    assert word in Restorer(MODEL).words(text)
+
+
 def test_nothing_to_restore():
     assert Restorer(MODEL).words("THE!! a$$$ fox, (quick) 12 555-1234") >= {"the", "a", "fox", "quick"}
     assert Restorer(MODEL).words(None) == set() == Restorer(MODEL).words("")
