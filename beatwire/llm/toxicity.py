@@ -42,8 +42,7 @@ from beatwire.session import written
 
 FIT_ROWS = 12_000
 FOLDS = 5
-LEAST_SHARE = 0.015  # of the toxic texts must have a feature, and
-LEAST_TEXTS = 4
+LEAST_TEXTS = 4  # toxic ones must have a feature, however many there are
 LEAST_WEIGHT = 1.5
 RIDGE = 2.0
 MOST_FEATURES = 3_000
@@ -331,7 +330,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
               - 2 * F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5)))
     best = (words.mapInPandas(count, "f string, n1 long, n0 long").groupBy("f")
             .agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-            .where(F.col("n1") >= max(LEAST_TEXTS, LEAST_SHARE * n1))
+            .where(F.col("n1") >= LEAST_TEXTS)
             .withColumn("w", weight).where(F.col("w") > LEAST_WEIGHT)
             .orderBy(F.desc(F.col("w") * F.sqrt("n1")), "f").limit(MOST_FEATURES).collect())
     weights = {r.f: r.w for r in best}

@@ -125,6 +125,21 @@ def test_learns_and_scores(spark, docs_of):
     assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
 
 
+def test_learns_words_of_a_few_toxic_texts(spark, docs_of):
+    """A word in under 1.5 % of the toxic texts, and in no other text."""
+    rnd = random.Random(4)
+    clean = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}rd" for i in range(200)]
+    ids = [i for i in range(8_000) if zlib.crc32(str(i).encode()) % 5]
+    toxic = set(ids[:640])
+    rows = [(i, " ".join([*rnd.choices(clean, k=5), *["moron"] * (i in toxic and k >= 9),
+                          *["zgulk"] * (k < 9)])) for k, i in enumerate(ids)]
+    docs = docs_of(*rows, (9_000, "a zgulk"), (9_001, "a fox"))
+    fitted = fit(docs, spark.createDataFrame([(i, int(i in toxic)) for i in ids], "doc_id long, toxic int"))
+    assert fitted.weights["zgulk"] > 1.5 and not any(w in fitted.weights for w in clean)
+    by = {r.doc_id: r.predicted for r in score_texts(docs, fitted).collect()}
+    assert by[9_000] == by[ids[0]] == 1 and by[9_001] == 0
+
+
 def test_held_out_labels_are_not_read(spark, docs_of):
     rows, labels = made(300, 2)
     docs = docs_of(*rows)
