@@ -1,9 +1,11 @@
 """Toxicity of texts whose words may be disguised.
 
 1. A character language model: counts of three characters in a row over all
-   documents, added up in every task first. Characters are the letters of
-   Latin-1 and one class for everything between words, so the table has a fixed
-   size whatever the corpus.
+   documents, added up in every task first. Characters are all letters of
+   Unicode and one class for everything between words. The table grows with the
+   letters of the corpus and stays in the shared folder; workers get what is
+   in Latin-1, and of the rest the ``MOST_GRAMS`` commonest pairs and threes.
+   A rarer three is judged by its pair, a rarer pair by its last letter.
 2. A noisy channel: a disguised word (digits and signs for letters, signs
    between letters, three or more spaced letters, a letter repeated) is a lattice
    of readings of its characters; Viterbi decoding under the language model
@@ -47,10 +49,11 @@ LEAST_WEIGHT = 1.5
 RIDGE = 2.0
 MOST_FEATURES = 3_000
 BEGINNINGS = (4, 5, 6)
+MOST_GRAMS = 500_000
 
-LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)]))
+LETTERS = "".join(c for c in map(chr, range(0x100)) if c.isalpha() and c == c.lower())
 BETWEEN = 0  # class of everything that is no letter
-N = len(LETTERS) + 1
+N = len(LETTERS) + 1  # classes of the letters above; any other has its code point and N
 CLASS_OF = {c: i + 1 for i, c in enumerate(LETTERS)}
 TO_CLASS = bytes(CLASS_OF.get(chr(b), BETWEEN) for b in range(256))
 
@@ -74,49 +77,190 @@ SINGLE = re.compile(r"([^\W_]+)")
 
 # --- language model ---------------------------------------------------------
 
-def count_trigrams(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Counts over all texts; the driver gets the table of fixed size."""
+def class_of(c: str) -> int | None:
+    """Class of a lower-case letter, None for anything else."""
+    return CLASS_OF.get(c) or (N + ord(c) if c.isalpha() else None)
+
+
+def letter_of(k: int) -> str:
+    return chr(k - N) if k >= N else LETTERS[k - 1] if k else " "
+
+
+def packed(a, b, c):
+    """Three classes, of 21 bits each, as one number."""
+    return (a << 42) | (b << 21) | c
+
+
+@dataclass
+class LanguageModel:
+    """log p(c | a, b) of any classes, by ``model[a, b, c]``.
+
+    ``base`` has those of Latin-1; ``threes`` and ``pairs`` are (sorted keys,
+    counts), ``ones`` has the counts of all letters.
+    """
+
+    base: np.ndarray
+    threes: tuple[np.ndarray, np.ndarray]
+    pairs: tuple[np.ndarray, np.ndarray]
+    ones: dict[int, int]
+
+    def __post_init__(self):
+        self.total, self.known = sum(self.ones.values()), {}
+        self.letters = N + sum(k >= N for k in self.ones)
+
+    def __getitem__(self, abc: tuple[int, int, int]) -> float:
+        value = self.known.get(abc)
+        if value is None:
+            value = float(self.base[abc]) if max(abc) < N else self._log(*abc)
+            if len(self.known) >= 300_000:
+                self.known.clear()
+            self.known[abc] = value
+        return value
+
+    def _log(self, a: int, b: int, c: int) -> float:
+        p1 = (self.ones.get(c, 0) + 1) / (self.total + self.letters)
+        p2 = (_count(self.pairs, packed(0, b, c)) + 2 * p1) / (self.ones.get(b, 0) + 2)
+        return math.log((_count(self.threes, packed(a, b, c)) + 5 * p2)
+                        / (_count(self.pairs, packed(0, a, b)) + 5))
+
+
+def _count(grams: tuple[np.ndarray, np.ndarray], key: int) -> int:
+    keys, counts = grams
+    i = int(np.searchsorted(keys, key))
+    return int(counts[i]) if i < len(keys) and keys[i] == key else 0
+
+
+def count_trigrams(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(at, n): counts over all texts, kept as a table; ``at`` packs three classes."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(N ** 3, np.int64)
         for batch in batches:
-            total += batch_counts(batch["t"])
+            for joined in _joined(batch["t"]):
+                total += _joined_counts(joined)
+                if not _is_latin(joined):
+                    for at, n in _other_counts(joined):
+                        yield pd.DataFrame({"at": at, "n": n})
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"at": at, "n": total[at]})
+        yield pd.DataFrame({"at": packed(at // N ** 2, at // N % N, at % N), "n": total[at]})
 
-    rows = (docs.select(F.col(text).alias("t")).mapInPandas(count, "at long, n long")
-            .groupBy("at").agg(F.sum("n").alias("n")).toPandas())
-    table = np.zeros(N ** 3, np.int64)
-    table[rows["at"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    return table
+    return written(docs.select(F.col(text).alias("t")).mapInPandas(count, "at long, n long")
+                   .groupBy("at").agg(F.sum("n").alias("n")), "trigrams")
 
 
-def batch_counts(texts: Iterable[str | None]) -> np.ndarray:
-    """Counts of a batch, texts parted by two spaces, some megabytes at a time."""
-    counts, held, size = np.zeros(N ** 3, np.int64), [], 0
+def _commonest(grams: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of at most ``most`` rows, those from some count up."""
+    sizes = (grams.groupBy(F.floor(F.log2("n") * 4).cast("int").alias("size"))
+             .agg(F.count("*").alias("rows")).orderBy(F.desc("size")).collect())
+    least, held = None, 0
+    for r in sizes:  # a quarter of a power of two each
+        held += r.rows
+        if held > most:
+            break
+        least = r["size"]
+    if least is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rows = grams.where(F.floor(F.log2("n") * 4) >= least).toPandas().sort_values("at")
+    return rows["at"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+
+
+def language_model(grams: DataFrame, most: int = MOST_GRAMS) -> LanguageModel:
+    """The model of (at, n), as small as workers need it."""
+    def letter(k):
+        return F.shiftright("at", 21 * k).bitwiseAND(F.lit((1 << 21) - 1))
+
+    other = (letter(0) >= N) | (letter(1) >= N) | (letter(2) >= N)
+    pairs = (grams.groupBy(F.col("at").bitwiseAND(F.lit((1 << 42) - 1)).alias("at"))
+             .agg(F.sum("n").alias("n")))
+    ones = {r.c: r.n for r in pairs.groupBy(letter(0).alias("c"))  # at most the letters there are
+            .agg(F.sum("n").alias("n")).collect()}
+
+    base = np.zeros(N ** 3, np.int64)
+    latin = grams.where(~other).toPandas()
+    at = latin["at"].to_numpy(np.int64)
+    low = (1 << 21) - 1
+    base[((at >> 42) * N + (at >> 21 & low)) * N + (at & low)] = latin["n"].to_numpy(np.int64)
+    # every pair ends as many threes as it begins: texts begin and end with two blanks
+    own = pairs.where((letter(0) < N) & (letter(1) < N)).toPandas()
+    at, two = own["at"].to_numpy(np.int64), np.zeros((N, N))
+    two[at >> 21, at & low] = own["n"].to_numpy(float)
+    kept = _commonest(pairs.where(other), most)
+    keys, counts = (np.concatenate([x, y]) for x, y in zip((at, own["n"].to_numpy(np.int64)), kept))
+    order = np.argsort(keys)
+    one = np.array([ones.get(c, 0) for c in range(N)], float)
+    margins = two, one, sum(ones.values()), N + sum(k >= N for k in ones)
+    return LanguageModel(log_model(base, margins), _commonest(grams.where(other), most),
+                         (keys[order], counts[order]), ones)
+
+
+def _joined(texts: Iterable[str | None]) -> Iterator[str]:
+    """Lower-case texts parted by two spaces, some megabytes at a time."""
+    held, size = [], 0
     for text in texts:
         if text:
             held.append(text)
             size += len(text)
             if size > 4_000_000:
-                counts += _joined_counts(held)
+                yield f"  {'  '.join(held).lower()}  "
                 held, size = [], 0
-    return counts + _joined_counts(held)
+    if held:
+        yield f"  {'  '.join(held).lower()}  "
+
+
+def batch_counts(texts: Iterable[str | None]) -> np.ndarray:
+    """Counts of the threes of Latin-1 in a batch."""
+    return sum(map(_joined_counts, _joined(texts)), np.zeros(N ** 3, np.int64))
+
 
+def _is_latin(joined: str) -> bool:
+    return joined.isascii() or max(joined) <= "\xff"
 
-def _joined_counts(texts: list[str]) -> np.ndarray:
-    raw = f"  {'  '.join(texts).lower()}  ".encode("latin-1", "replace").translate(TO_CLASS)
-    c = np.frombuffer(raw, np.uint8).astype(np.int32)
-    return np.bincount((c[:-2] * N + c[1:-1]) * N + c[2:], minlength=N ** 3)
 
+def _classes(joined: str) -> Iterator[np.ndarray]:
+    """Classes of the characters in pieces that share two characters."""
+    small = np.frombuffer(TO_CLASS, np.uint8).astype(np.int32)
+    for start in range(0, len(joined) - 2, 1_000_000):
+        piece = joined[start:start + 1_000_002].encode("utf-32-le", "surrogatepass")
+        c = np.frombuffer(piece, np.uint32)
+        out, wide = small[np.minimum(c, 255)], c > 255
+        found, at = np.unique(c[wide], return_inverse=True)
+        out[wide] = np.array([class_of(chr(k)) or BETWEEN for k in found], np.int32)[at]
+        yield out
 
-def log_model(counts: np.ndarray) -> np.ndarray:
-    """log p(c | a, b) from three, two and one characters, mixed."""
+
+def _joined_counts(joined: str) -> np.ndarray:
+    if _is_latin(joined):
+        c = np.frombuffer(joined.encode("latin-1").translate(TO_CLASS), np.uint8).astype(np.int32)
+        return np.bincount((c[:-2] * N + c[1:-1]) * N + c[2:], minlength=N ** 3)
+    total = np.zeros(N ** 3, np.int64)
+    for c in _classes(joined):
+        own = c < N
+        own = own[:-2] & own[1:-1] & own[2:]
+        total += np.bincount((c[:-2][own] * N + c[1:-1][own]) * N + c[2:][own], minlength=N ** 3)
+    return total
+
+
+def _other_counts(joined: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and counts of the threes with a letter beyond Latin-1, piece by piece."""
+    for c in _classes(joined):
+        other = c >= N
+        other = other[:-2] | other[1:-1] | other[2:]
+        a, b, c = (x[other].astype(np.int64) for x in (c[:-2], c[1:-1], c[2:]))
+        yield np.unique(packed(a, b, c), return_counts=True)
+
+
+def log_model(counts: np.ndarray, margins: tuple | None = None) -> np.ndarray:
+    """log p(c | a, b) from three, two and one characters, mixed.
+
+    ``margins``: counts of pairs and letters, their sum and the number of
+    letters, where texts have more letters than these.
+    """
     three = counts.reshape(N, N, N).astype(float)
-    two = three.sum(axis=0)
-    one = two.sum(axis=0)
-    p1 = (one + 1) / (one.sum() + N)
-    p2 = (two + 2 * p1) / (two.sum(axis=1, keepdims=True) + 2)
-    p3 = (three + 5 * p2[None]) / (three.sum(axis=2, keepdims=True) + 5)
+    two, one, total, letters = margins or (three.sum(axis=0), three.sum(axis=(0, 1)),
+                                           three.sum(), N)
+    before, first = (two, one) if margins else (three.sum(axis=2), two.sum(axis=1))
+    p1 = (one + 1) / (total + letters)
+    p2 = (two + 2 * p1) / (first[:, None] + 2)
+    p3 = (three + 5 * p2[None]) / (before[:, :, None] + 5)
     return np.log(p3).astype(np.float32)
 
 
@@ -130,8 +274,8 @@ def readings(chars: str) -> list[list[tuple[int | None, float]]]:
         repeat = i > 0 and chars[i - 1] == c
         if c == " ":
             options += [(None, 0.0), (BETWEEN, NEW_WORD)]
-        elif c in CLASS_OF:
-            options.append((CLASS_OF[c], KEEP_REPEAT if repeat else 0.0))
+        elif k := class_of(c):
+            options.append((k, KEEP_REPEAT if repeat else 0.0))
             if repeat:
                 options.append((None, DROP_REPEAT))
         else:
@@ -141,7 +285,7 @@ def readings(chars: str) -> list[list[tuple[int | None, float]]]:
     return out
 
 
-def decode(chars: str, model: np.ndarray) -> str:
+def decode(chars: str, model: np.ndarray | LanguageModel) -> str:
     """The likeliest words behind the characters, by Viterbi over the last two letters."""
     states: dict[tuple[int, int], tuple[float, tuple | None]] = {(BETWEEN, BETWEEN): (0.0, None)}
     for options in readings(chars):
@@ -160,7 +304,7 @@ def decode(chars: str, model: np.ndarray) -> str:
     letters = []
     while path:
         path, c = path
-        letters.append(LETTERS[c - 1] if c else " ")
+        letters.append(letter_of(c))
     return "".join(reversed(letters))
 
 
@@ -169,7 +313,7 @@ def disguised(text: str, words: set[str]) -> Iterator[str]:
     for token in text.split():
         if not token.isalpha():
             whole = token.strip(PLAIN)
-            if not whole.isalpha() and any(c in CLASS_OF for c in whole):
+            if not whole.isalpha() and any(map(class_of, whole)):
                 bare = HEAD.sub("", TAIL.sub("", token))
                 if not bare.isalpha():
                     yield bare
@@ -184,7 +328,7 @@ def spaced(run: str) -> set[str]:
     """A run of single letters without its signs, and with those that may be letters."""
     parts = SINGLE.split(run)
     letters, gaps = parts[1::2], ["".join(filter(READINGS.get, g)) for g in parts[::2]]
-    if not any(c[0] in CLASS_OF for c in letters):
+    if not any(class_of(c[0]) for c in letters):
         return set()
     often = Counter(c for g in gaps[1:-1] for c in set(g))
     between = {c for c, n in often.items() if n > 1 and 2 * n >= len(letters) - 1}
@@ -199,7 +343,7 @@ def spaced(run: str) -> set[str]:
 class Restorer:
     """Words of a text and those behind disguised ones; remembers what it decoded."""
 
-    def __init__(self, model: np.ndarray, remembered: int = 100_000):
+    def __init__(self, model: np.ndarray | LanguageModel, remembered: int = 100_000):
         self.model, self.remembered, self.known = model, remembered, {}
 
     def behind(self, chars: str) -> list[str]:
@@ -275,7 +419,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 class Toxicity:
     """Language model, weights of features, coefficients of the curve."""
 
-    model: np.ndarray
+    model: LanguageModel
     weights: dict[str, float]
     beta: np.ndarray
 
@@ -299,7 +443,7 @@ def _chosen(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, rows: in
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
         rows: int = FIT_ROWS) -> Toxicity:
     """``labels`` has (doc_id, toxic); rows that are held out are not used."""
-    model = log_model(count_trigrams(docs, text))
+    model = language_model(count_trigrams(docs, text))
     # bounded by ``rows``: words of the chosen texts, read twice
     chosen = _chosen(docs, labels, doc_id, text, rows)
 

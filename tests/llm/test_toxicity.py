@@ -140,6 +140,26 @@ def test_learns_words_of_a_few_toxic_texts(spark, docs_of):
     assert by[9_000] == by[ids[0]] == 1 and by[9_001] == 0
 
 
+def test_letters_of_any_script(spark, docs_of):
+    from beatwire.llm.toxicity import class_of, count_trigrams, language_model, packed
+    texts = ["głupi łotr œuvre " * 40, "глупый дурак " * 40, "stupid fox é漢字 " * 40, None, ""]
+    grams = count_trigrams(docs_of(*enumerate(texts)))
+    counts = {r["at"]: r.n for r in grams.collect()}
+    assert counts[packed(class_of("г"), class_of("л"), class_of("у"))] == 40
+    assert counts[packed(BETWEEN, class_of("g"), class_of("ł"))] == 40
+    assert packed(class_of("g"), BETWEEN, class_of("u")) not in counts
+    model = language_model(grams)
+    every = {*range(N), *model.ones}
+    for a, b in [(0, 0), (class_of("г"), class_of("л")), (class_of("g"), class_of("ł")), (1, 2)]:
+        assert sum(np.exp(model[a, b, c]) for c in every) == pytest.approx(1, abs=1e-4)
+    restorer = Restorer(model)
+    for text, word in [("głuuupi", "głupi"), ("дуууррак", "дурак"), ("г л у п ы й", "глупый"),
+                       ("д.у.р.а.к", "дурак"), ("ł0tr", "łotr"), ("œuvr3", "œuvre"), ("$tupid", "stupid")]:
+        assert word in restorer.words(text), text
+    few = Restorer(language_model(grams, most=3))
+    assert "stupid" in few.words("$tupid") and "д" in "".join(few.words("ддурак"))
+
+
 def test_held_out_labels_are_not_read(spark, docs_of):
     rows, labels = made(300, 2)
     docs = docs_of(*rows)
