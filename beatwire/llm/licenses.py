@@ -14,7 +14,7 @@ result; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -67,6 +67,16 @@ class Notice:
         return regex.compile(f"(?:{regex.escape(self.text, special_only=True)}){{e<={self.edits}}}",
                              regex.BESTMATCH)
 
+    def places(self, text: str, start: int, end: int) -> Iterator[regex.Match]:
+        """All places in a stretch: the best one, then those before and after it."""
+        open_ = [(start, end)]
+        while open_:
+            start, end = open_.pop()
+            m = self.pattern.search(text, start, end) if start < end else None
+            if m and m.end() > m.start():
+                yield m
+                open_ += [(start, m.start()), (m.end(), end)]
+
     def seeds(self) -> list[tuple[int, str]]:
         """edits + 1 pieces with their place in the notice."""
         n, parts = len(self.text), self.edits + 1
@@ -119,7 +129,7 @@ class Scanner:
         for k, spans in self.windows(text).items():
             notice = self.notices[k]
             for start, end in spans:
-                for m in notice.pattern.finditer(text, start, min(end, len(text))):
+                for m in notice.places(text, start, min(end, len(text))):
                     hits.append((m.start(), m.end(), notice.label, sum(m.fuzzy_counts),
                                  len(notice.text)))
         return sorted(hits)

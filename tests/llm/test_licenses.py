@@ -49,6 +49,14 @@ def test_edited_notices_are_found():
             assert any(h[2] == label and h[3] <= notice.edits for h in hits), (text, edited)
 
 
+@pytest.mark.parametrize("text,edits", [
+    ("all right reserved all rights reserved", [1, 0]),
+    ("all rights reserved all right reserved", [0, 1]),
+    ("all right reserved all rights reservd all rights reserved al rights reserved", [1, 1, 0, 1])])
+def test_adjacent_notices(text, edits):
+    assert [k for _, _, label, k, _ in SCANNER.fuzzy(text) if label == "reserved"] == edits
+
+
 def test_same_as_search_without_seeds():
     rnd = random.Random(9)
     for _ in range(60):
