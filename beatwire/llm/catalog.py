@@ -3,7 +3,7 @@
 from beatwire.llm.registry import ORACLES, QUERIES
 
 from beatwire.llm import (  # noqa: F401  (registration on import)
-    q_byte_bpe, q_exact_dedup, q_html_text, q_licenses, q_merkle, q_minhash, q_mixing, q_packing,
+    q_byte_bpe, q_conversations, q_exact_dedup, q_html_text, q_licenses, q_merkle, q_minhash, q_mixing, q_packing,
     q_quality, q_token_counts, q_toxicity, q_url_filter,
 )
 
