@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from beatwire.catalog.registry import query
 from beatwire.catalog.views import ARTICLES_SQL, CLAIMS_SQL, articles, claims, keywords_sql
 from beatwire.operators import search as se
+from beatwire.operators.word_index import WordIndex
+from beatwire.session import work_dir
 
 
 def _corpus(spark, sf_dir):
@@ -50,6 +52,19 @@ def search_top5(spark, sf_dir):
     return se.search_corpus(claims(spark, sf_dir), _corpus(spark, sf_dir))
 
 
+@query("search_index", f"WITH {SEARCH_SQL} SELECT claim_id % 2 = 1 AS odd, * FROM hits")
+def search_index(spark, sf_dir):
+    """Half of the articles is indexed, the other half added; two batches of claims read both."""
+    index = WordIndex(spark, work_dir(spark, "word-index"))
+    corpus = _corpus(spark, sf_dir)
+    for half in (0, 1):
+        index.add(corpus.where(F.col("doc_id") % 2 == half))
+    odd = F.col("claim_id") % 2 == 1
+    checked = claims(spark, sf_dir)
+    first, second = (index.search(checked.where(batch)) for batch in (odd, ~odd))
+    return first.unionByName(second).select(odd.alias("odd"), "claim_id", "rank", "doc_id", "score")
+
+
 SIMILARITY_SQL = f"""{SEARCH_SQL},
 low_claims AS (SELECT claim_id, lower(text) AS text FROM claims),
 {keywords_sql('low_claims', 'claim_id', 'text', 'ok')},

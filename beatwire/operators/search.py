@@ -6,11 +6,17 @@ one word of the article; the search therefore runs on the distinct words of
 the corpus and reaches articles through their words.
 
 The best articles of a claim are found without pairing it with every article
-that holds one of its frequent keywords. A few articles that hold its rarest
-keyword are scored first; the k-th best of them sets a bar. Keywords whose
-weights add up to less than the bar cannot lift an article over it: the most
-frequent ones are skipped, and articles are reached through the others only,
-then scored in full. The result is exact, for a corpus of any size.
+that holds one of its frequent keywords. The first articles of its rarest
+keywords are added up term by term, and the most promising ones scored in full:
+the k-th best of them sets a bar. Keywords whose weights add up to less than the
+bar cannot lift an article over it, so the most frequent ones are not followed.
+Weights of the followed ones are summed per claim and article, before the
+shuffle as far as they meet in a task; an article whose sum plus all that was not
+followed stays below the bar is dropped unseen, the others are scored in full.
+The result is exact, for a corpus of any size.
+
+:mod:`beatwire.operators.word_index` keeps the words of a corpus for many batches
+of claims; both give the same search its postings.
 """
 
 from __future__ import annotations
@@ -24,7 +30,11 @@ from beatwire.operators.merge import first_per
 from beatwire.session import written
 
 TOP_HITS = 5
-SEEDS = 100  # articles of a claim's rarest keyword that set its bar
+SEEDS = 100  # articles of a claim that are scored to set its bar
+FIRST = 1_000  # articles of a keyword that may become seeds
+REACH = 2_000  # postings that a claim's seeds are chosen from, rarest keywords first
+BROADCAST_WANTED = 200_000  # keywords of claims that are broadcast; beyond, the join shuffles
+SLICE = 100_000  # articles of a keyword in one part of a shuffled join
 BROADCAST_WORDS = 200_000  # matching words that are broadcast; beyond, the join shuffles
 GRAM = 3  # keywords have three characters or more
 
@@ -97,57 +107,131 @@ def keyword_postings(claims: DataFrame, corpus: DataFrame) -> DataFrame:
     return written(held.groupBy("doc_id").agg(F.collect_set("kw").alias("kws")), "postings")
 
 
-def _frequencies(postings: DataFrame) -> DataFrame:
-    return (postings.select(F.explode("kws").alias("kw")).groupBy("kw")
-            .agg(F.count(F.lit(1)).alias("n_docs")))
+class Postings:
+    """Which articles hold which keywords, one row an article: (doc_id, kws)."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+
+    def counts(self) -> DataFrame:
+        """(kw, n_docs), counted in every task before the shuffle."""
+        return (self.table.select(F.explode("kws").alias("kw")).groupBy("kw")
+                .agg(F.count(F.lit(1)).alias("n_docs")))
+
+    def first(self, keywords: DataFrame, n: int) -> DataFrame:
+        """(kw, doc_id): the first ``n`` articles of each keyword."""
+        rows = self.table.select("doc_id", F.explode("kws").alias("kw"))
+        held = rows.join(few(keywords.distinct()), "kw", "left_semi")
+        return first_per(held, ["kw"], [F.asc("doc_id")], n).select("kw", "doc_id")
+
+    def reach(self, followed: DataFrame) -> DataFrame:
+        """Every article of every followed keyword: the columns of ``followed`` and doc_id.
+
+        ``followed`` has kw and n_docs and is broadcast if it is small, so that
+        postings stay where they are. Otherwise both sides are dealt out by
+        keyword; the articles of a frequent keyword are cut into slices, and what
+        follows it is copied to each.
+        """
+        rows = self.table.select("doc_id", F.explode("kws").alias("kw"))
+        if followed.count() <= BROADCAST_WANTED:
+            return rows.join(F.broadcast(followed), "kw")
+        return sliced_join(rows, followed)
+
+    def score(self, pairs: DataFrame, wanted: DataFrame) -> DataFrame:
+        """(claim_id, doc_id, score) of (claim_id, doc_id), over all keywords of the claim."""
+        score = F.aggregate(
+            F.filter("pairs", lambda p: F.array_contains("kws", p["kw"])),
+            F.lit(0).cast("bigint"), lambda acc, p: acc + p["weight"])
+        return (pairs.join(self.table, "doc_id").join(_listed(wanted), "claim_id")
+                .select("claim_id", "doc_id", score.alias("score")))
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df``, broadcast if it counts at most ``BROADCAST_WANTED`` rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_WANTED else df
+
+
+def sliced_join(rows: DataFrame, followed: DataFrame, size: int | None = None) -> DataFrame:
+    """(kw, doc_id) joined with ``followed`` (kw, n_docs, ...) by slices of a keyword's articles.
+
+    Only keywords of more than ``size`` articles are cut; their number is bounded
+    by the postings over ``size``, and counted before they are broadcast.
+    """
+    slices = F.ceil(F.col("n_docs") / (size or SLICE)).cast("int")
+    heavy = followed.select("kw", slices.alias("slices")).where("slices > 1").distinct()
+    cut = (rows.join(few(heavy), "kw", "left")
+           .withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.coalesce("slices", F.lit(1))).cast("int"))
+           .drop("slices"))
+    copied = followed.withColumn(
+        "slice", F.explode(F.sequence(F.lit(0), F.greatest(slices, F.lit(1)) - 1)))
+    return cut.join(copied.hint("shuffle_hash"), ["kw", "slice"]).drop("slice")
+
+
+def _listed(wanted: DataFrame) -> DataFrame:
+    """One row a claim with its keywords and weights, ten at most."""
+    return wanted.groupBy("claim_id").agg(F.collect_list(F.struct("kw", "weight")).alias("pairs"))
 
 
 def keyword_matches(claims: DataFrame, corpus: DataFrame) -> DataFrame:
     """Number of articles each keyword of each claim is found in."""
-    found = _frequencies(keyword_postings(claims, corpus))
+    found = Postings(keyword_postings(claims, corpus)).counts()
     return (claim_keywords(claims).join(found, "kw", "left")
             .select("claim_id", "kw", "weight",
                     F.coalesce("n_docs", F.lit(0)).alias("n_docs")))
 
 
-def _scored(candidates: DataFrame, wanted: DataFrame, postings: DataFrame) -> DataFrame:
-    """(claim_id, doc_id, score) of the candidate pairs, over all keywords of the claim."""
-    pairs = wanted.groupBy("claim_id").agg(
-        F.collect_list(F.struct("kw", "weight")).alias("pairs"))  # ten keywords at most
-    score = F.aggregate(
-        F.filter("pairs", lambda p: F.array_contains("kws", p["kw"])),
-        F.lit(0).cast("bigint"), lambda acc, p: acc + p["weight"])
-    return (candidates.join(postings, "doc_id").join(pairs, "claim_id")
-            .select("claim_id", "doc_id", score.alias("score")))
+def _best() -> list[Column]:
+    return [F.desc("score"), F.asc("doc_id")]
 
 
-def search_corpus(claims: DataFrame, corpus: DataFrame, k: int = TOP_HITS,
-                  seeds: int = SEEDS) -> DataFrame:
-    """The ``k`` articles with most keywords of each claim: claim_id, rank, doc_id, score.
+def bars(wanted: DataFrame, postings, k: int, seeds: int) -> DataFrame:
+    """(claim_id, bar, bar_doc): score and article of the k-th best of some of a claim's.
 
-    Equal scores are ranked by ``doc_id``; articles without a keyword are no
-    hits. More ``seeds`` leave fewer keywords to follow.
+    Seeds come from the rarest keywords, as many as it takes to reach ``REACH``
+    postings or ten articles for each wanted hit; so a claim with ``k`` hits has
+    a bar over 0. Any choice of seeds gives a valid bar.
+    """
+    rare_first = (W.partitionBy("claim_id").orderBy("n_docs", "kw")
+                  .rowsBetween(W.unboundedPreceding, -1))
+    before = F.coalesce(F.sum(F.least("n_docs", F.lit(FIRST))).over(rare_first), F.lit(0))
+    rare = wanted.withColumn("before", before).where(
+        F.col("before") < max(REACH, 10 * k)).select("claim_id", "kw", "weight")
+    some = (rare.join(postings.first(rare.select("kw"), max(FIRST, 10 * k)), "kw")
+            .groupBy("claim_id", "doc_id").agg(F.sum("weight").alias("score")))
+    first = postings.score(first_per(some, ["claim_id"], _best(), max(seeds, k)).drop("score"), wanted)
+    worst = F.max(F.struct((-F.col("score")).alias("lost"), "doc_id"))
+    return (first_per(first, ["claim_id"], _best(), k).groupBy("claim_id")
+            .agg(F.count(F.lit(1)).alias("n"), worst.alias("w")).where(F.col("n") == k)
+            .select("claim_id", (-F.col("w.lost")).alias("bar"), F.col("w.doc_id").alias("bar_doc")))
+
+
+def candidates(wanted: DataFrame, postings, k: int, seeds: int = SEEDS) -> DataFrame:
+    """(claim_id, doc_id) of every article that may be among the ``k`` best of a claim.
+
+    Its sum and what was not followed add up to more than the bar, or to the bar
+    while its id is no larger than that of the article which set it.
     """
-    best = [F.desc("score"), F.asc("doc_id")]
-    postings = keyword_postings(claims, corpus)
-    by_kw = postings.select("doc_id", F.explode("kws").alias("kw"))
-    # at most ten rows per claim
-    wanted = written(claim_keywords(claims).join(_frequencies(postings), "kw"), "wanted")
-
-    rare_first = W.partitionBy("claim_id").orderBy("n_docs", "kw")
-    rarest = wanted.withColumn("rn", F.row_number().over(rare_first)).where("rn = 1")
-    some = first_per(by_kw.join(rarest.select("kw").distinct(), "kw", "left_semi"),
-                     ["kw"], [F.asc("doc_id")], seeds)
-    first = _scored(rarest.select("claim_id", "kw").join(some, "kw").drop("kw"), wanted, postings)
-    bar = (first_per(first, ["claim_id"], best, k).groupBy("claim_id")
-           .agg(F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(F.lit(0)).alias("bar")))
-
     common_first = W.partitionBy("claim_id").orderBy(F.desc("n_docs"), F.asc("kw"))
-    followed = (wanted.join(bar, "claim_id", "left")
-                .withColumn("upto", F.sum("weight").over(common_first))
-                .where(F.col("upto") >= F.coalesce("bar", F.lit(0))).select("claim_id", "kw"))
-    reached = followed.join(by_kw, "kw").select("claim_id", "doc_id").distinct()
-    top = first_per(_scored(reached, wanted, postings), ["claim_id"], best, k)
+    judged = written(
+        wanted.join(bars(wanted, postings, k, seeds), "claim_id", "left")
+        .withColumn("bar", F.coalesce("bar", F.lit(0)))
+        .withColumn("followed", F.sum("weight").over(common_first) >= F.col("bar"))
+        .withColumn("rest", F.sum(F.when(~F.col("followed"), F.col("weight")).otherwise(0))
+                    .over(W.partitionBy("claim_id"))), "followed")
+    followed = judged.where("followed").drop("followed")
+    sums = postings.reach(followed).groupBy("claim_id", "doc_id").agg(
+        *[F.first(c).alias(c) for c in ("rest", "bar", "bar_doc")], F.sum("weight").alias("partial"))
+    most = F.col("partial") + F.col("rest")
+    level = (most == F.col("bar")) & (F.col("doc_id") <= F.col("bar_doc"))
+    return sums.where((most > F.col("bar")) | level).select("claim_id", "doc_id")
+
+
+def best_hits(claims: DataFrame, postings, k: int = TOP_HITS, seeds: int = SEEDS) -> DataFrame:
+    """The search of :func:`search_corpus` over any postings."""
+    # at most ten rows per claim
+    wanted = written(claim_keywords(claims).join(postings.counts(), "kw"), "wanted")
+    scored = postings.score(candidates(wanted, postings, k, seeds), wanted)
+    top = first_per(scored, ["claim_id"], _best(), k)
     hits = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("lost"), "doc_id")))
     return (top.groupBy("claim_id").agg(hits.alias("hits"))
             .select("claim_id", F.posexplode("hits").alias("pos", "hit"))
@@ -155,6 +239,16 @@ def search_corpus(claims: DataFrame, corpus: DataFrame, k: int = TOP_HITS,
                     (-F.col("hit.lost")).alias("score")))
 
 
+def search_corpus(claims: DataFrame, corpus: DataFrame, k: int = TOP_HITS,
+                  seeds: int = SEEDS) -> DataFrame:
+    """The ``k`` articles with most keywords of each claim: claim_id, rank, doc_id, score.
+
+    Equal scores are ranked by ``doc_id``; articles without a keyword are no
+    hits. More ``seeds`` raise the bar, so that fewer keywords are followed.
+    """
+    return best_hits(claims, Postings(keyword_postings(claims, corpus)), k, seeds)
+
+
 def hit_articles(hits: DataFrame, corpus: DataFrame) -> DataFrame:
     """Hits with title, text, address and source of their article."""
     return hits.join(corpus.select("doc_id", "title", "text", "url", "source"), "doc_id")

@@ -58,6 +58,55 @@ def test_search_equals_brute_force(corpus, seeds):
     assert got == brute_force(claims, docs, se.TOP_HITS)
 
 
+def test_shuffled_joins_give_the_same(corpus, monkeypatch):
+    claims, docs, cdf, ddf = corpus
+    monkeypatch.setattr(se, "BROADCAST_WANTED", 0)
+    monkeypatch.setattr(se, "BROADCAST_WORDS", 0)
+    monkeypatch.setattr(se, "SLICE", 7)
+    got = sorted((r.claim_id, r["rank"], r.doc_id, r.score)
+                 for r in se.search_corpus(cdf, ddf).collect())
+    assert got == brute_force(claims, docs, se.TOP_HITS)
+
+
+def test_few_pairs_pass_the_bound(spark):
+    """Claims of eight frequent words and two rare ones over 2,000 articles."""
+    frequent = [f"word{c}" for c in "abcdefgh"]
+    docs = [(i, "", " ".join(w for j, w in enumerate(frequent) if i >> j & 1 or i % 11 == j)
+             + (f" rare{i % 40}x" if i % 5 == 0 else "")) for i in range(2_000)]
+    claims = [(c, " ".join([*frequent, f"rare{c}x", f"rare{c + 1}x"])) for c in range(0, 40, 5)]
+    cdf = spark.createDataFrame(claims, "claim_id long, text string")
+    postings = se.Postings(se.keyword_postings(cdf, spark.createDataFrame(
+        docs, "doc_id long, title string, text string")))
+    wanted = se.claim_keywords(cdf).join(postings.counts(), "kw").cache()
+    bars = {r.claim_id: r.bar for r in se.bars(wanted, postings, 5, se.SEEDS).collect()}
+    assert len(bars) == len(claims) and min(bars.values()) > 0
+    passed = se.candidates(wanted, postings, 5)
+    holding = {c: sum(any(k in d[2].split() for k in text.split()) for d in docs) for c, text in claims}
+    assert passed.count() < sum(holding.values()) / 3  # every other article holds each frequent word
+    hits = {(c, d) for c, _, d, _ in brute_force(claims, docs, 5)}
+    assert hits <= {(r.claim_id, r.doc_id) for r in passed.collect()}
+
+
+def test_a_word_in_every_article_is_spread(spark):
+    """A third of all postings belongs to one keyword; no part of the join gets much more."""
+    rows = spark.range(0, 60_000, 1, 8).select(F.col("id").alias("doc_id"), F.explode(F.array(
+        F.lit("hot"), F.concat(F.lit("a"), F.col("id") % 500), F.concat(F.lit("b"), F.col("id") % 700)))
+        .alias("kw"))
+    counts = rows.groupBy("kw").agg(F.count("*").alias("n_docs"))
+    followed = counts.crossJoin(spark.range(2).select(F.col("id").alias("claim_id")))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = se.sliced_join(rows, followed, size=500)
+        parts = sorted(r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect())
+        assert joined.count() == 2 * 180_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(parts) == 16 and parts[-1] <= 3 * parts[len(parts) // 2]
+
+
 def test_keyword_matches(corpus):
     claims, docs, cdf, ddf = corpus
     got = {(r.claim_id, r.kw): (r.weight, r.n_docs)
