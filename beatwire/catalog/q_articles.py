@@ -62,8 +62,8 @@ def clean_texts(spark, sf_dir):
        f"{clean_sql('text')} AS clean_text FROM articles) "
        "SELECT doc_id, clean_text FROM cleaned WHERE length(clean_text) > 0")
 def clean_nonempty(spark, sf_dir):
-    return sel.drop_empty_clean(articles(spark, sf_dir).select(
-        "doc_id", clean_text(F.col("text")).alias("clean_text")))
+    cleaned = sel.settled(articles(spark, sf_dir), {"clean_text": clean_text(F.col("text"))})
+    return sel.drop_empty_clean(cleaned.select("doc_id", "clean_text"))
 
 
 def _detect_sql(col: str) -> str:

@@ -16,6 +16,7 @@ from beatwire.functions.text import (
     KEYWORD_STRIP, TAG_PATTERN, URL_PATTERN, WS, clean_text, non_word_filter,
 )
 from beatwire.operators.classify import classify, lexicon_scorer
+from beatwire.operators.select import settled
 
 # Words of the names of the eleven categories.
 PHRASES = phrase_vocab()
@@ -120,7 +121,7 @@ articles AS (
 
 def as_labelled(df: DataFrame) -> DataFrame:
     """articles with TAX11 flags, scored on the cleaned text."""
-    cleaned = df.withColumn("clean_text", clean_text(F.col("text")))
+    cleaned = settled(df, {"clean_text": clean_text(F.col("text"))})
     return classify(cleaned, lexicon_scorer(PHRASES, hits_for_one=2), TAX11)
 
 

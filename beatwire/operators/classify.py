@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from beatwire.dims import FALLBACK_LABEL
 from beatwire.functions.labels import active_labels
 from beatwire.functions.text import strip_space, words
+from beatwire.operators.select import settled
 
 Scorer = Callable[[DataFrame, str], DataFrame]
 
@@ -104,7 +105,7 @@ def threshold_labels(scored: DataFrame, categories: Sequence[str], text_col: str
             if c != FALLBACK_LABEL:
                 crime = crime | raw[c]
         flags[FALLBACK_LABEL] = (usable & (raw[FALLBACK_LABEL] | ~crime)).cast("int")
-    return scored.withColumns(flags).drop("_usable")
+    return settled(scored, flags).drop("_usable")
 
 
 def classify(df: DataFrame, scorer: Scorer, categories: Sequence[str],

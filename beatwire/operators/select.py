@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beatwire.dims import CRITICAL, FALLBACK_LABEL, INDIC_LANGS, MAP_CENTER
@@ -14,6 +14,16 @@ ALL_SOURCES = "All Sources"
 ALL_CATEGORIES = "All Categories"
 
 
+def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with ``columns``, each computed once whatever is done with them.
+
+    The optimizer copies a column into every filter on it, and moves the filter
+    below; it does not move one below a generator. For columns dear to compute.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.drop(*columns).select("*", F.inline(F.array(row)))
+
+
 def drop_empty_clean(df: DataFrame, col: str = "clean_text") -> DataFrame:
     return df.where(F.length(col) > 0)
 

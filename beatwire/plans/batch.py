@@ -13,7 +13,7 @@ from beatwire.functions.text import PARITY_SCRIPTS, clean_text, detect_language
 from beatwire.operators.classify import Scorer, classify
 from beatwire.operators.correlate import align_months, correlate
 from beatwire.operators.geo import geocode_articles
-from beatwire.operators.select import drop_empty_clean, label_lite
+from beatwire.operators.select import drop_empty_clean, label_lite, settled
 from beatwire.operators.trend import trend
 from beatwire.schemas import ARTICLE, ensure_columns, require_columns
 from beatwire.sources.synthetic import mock_baseline
@@ -30,7 +30,7 @@ def clean_articles(raw: DataFrame, scripts: Sequence[str] = PARITY_SCRIPTS,
     schema = ARTICLE if "url" in raw.columns else T.StructType(
         [f for f in ARTICLE.fields if f.name != "url"])
     df = ensure_columns(require_columns(raw, ["text"]), schema)
-    df = drop_empty_clean(df.withColumn("clean_text", clean_text(F.col("text"), scripts)))
+    df = drop_empty_clean(settled(df, {"clean_text": clean_text(F.col("text"), scripts)}))
     lang = detect_language(F.col("clean_text"))
     if keep_language and "language" in df.columns:
         lang = F.coalesce("language", lang)
