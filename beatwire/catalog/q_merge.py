@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from beatwire.catalog.registry import query
+from beatwire.catalog.registry import query, table
 from beatwire.catalog.views import ARTICLES_SQL, articles
 from beatwire.operators import merge as mg
 
@@ -52,6 +52,14 @@ def source_dedupe_then_cap(spark, sf_dir):
                          "dedupe_first").select("doc_id", "url", "source")
 
 
+@query("cap_large", """SELECT event_id, event_type FROM events
+QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) <= 1200""")
+def cap_large(spark, sf_dir):
+    """The first 1,200 events of each kind: more than Spark cuts down before a shuffle."""
+    return mg.first_per(table(spark, sf_dir, "events"), ["event_type"],
+                        [F.asc("ts"), F.asc("event_id")], 1_200).select("event_id", "event_type")
+
+
 def batches(spark, sf_dir):
     """A new batch, the articles with an odd id, and an old one, the rest.
 

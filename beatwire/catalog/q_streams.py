@@ -83,6 +83,21 @@ def stream_merge(spark, sf_dir):
         "doc_id", "title", "date", "url", "source")
 
 
+@query("stream_merge_all", f"WITH {BATCHES_SQL} SELECT doc_id, title, date, url, source, "
+       "1 - batch_rank AS arrived FROM merged")
+def stream_merge_all(spark, sf_dir):
+    """The same without a cap: the second batch writes the buckets of its keys alone."""
+    root = work_dir(spark, "merge-all")
+    new, old = batches(spark, sf_dir)
+    for batch in (old, new):
+        batch.write.mode("append").parquet(f"{root}/landing")
+        sdf = st.stream_table(spark, f"{root}/landing", batch.schema)
+        st.start_merge(sdf, f"{root}/table", f"{root}/checkpoint", cap=None,
+                       once=True).awaitTermination()
+    return st.current_version(spark, f"{root}/table").select(
+        "doc_id", "title", "date", "url", "source", F.col("arrived").cast("int").alias("arrived"))
+
+
 @query("refresh_alerts", f"WITH {LABELLED_SQL} SELECT DISTINCT url, "
        f"CASE WHEN url IS NULL THEN {ALERT_SQL} END AS message FROM labelled WHERE {CRITICAL_SQL}")
 def refresh_alerts(spark, sf_dir):

@@ -3,6 +3,8 @@
 Every "first k of a group" is written as ``row_number() <= k``: Spark then
 keeps k rows per group in each task before the shuffle, so a group that holds
 a third of all rows (articles without an address, say) sends k rows per task.
+Spark does so up to a k of 1,000. Beyond, rows are dealt out by ranges of their
+order, and counts tell which ranges are kept whole and where the border lies.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from beatwire.session import written
+
 
 def union_sources(*dfs: DataFrame) -> DataFrame:
     """All rows, columns by name, missing ones null; ``source_rank`` is the position."""
@@ -21,8 +25,43 @@ def union_sources(*dfs: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranked)
 
 
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+BROADCAST_RANGES = 200_000  # (range, group) pairs that are broadcast; beyond, the join shuffles
+PART_BITS = 33  # monotonically_increasing_id: the part above, the row in it below
+
+
+def first_many(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
+    """The first k rows of every group, for any k; null keys form one group.
+
+    Rows are dealt out by ranges of group and order and sorted within their
+    range; a group may fill many. The rows of a group in front of a range are
+    known from counts, so a row's place follows from its place in the range and
+    no task holds more than a range.
+    """
+    place = [*[F.asc(key) for key in keys], *order]
+    sides = {key: f"_right_{key}" for key in keys}
+    dealt = written(df.repartitionByRange(*place).sortWithinPartitions(*place)
+                    .withColumn("_row", F.monotonically_increasing_id()), "ranges")
+    dealt = dealt.withColumn("_range", F.shiftright("_row", PART_BITS))
+    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = written(
+        dealt.groupBy(*keys, "_range").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .where(F.col("_before") < k)
+        .select(*[F.col(key).alias(side) for key, side in sides.items()],
+                F.col("_range").alias("_at"), "_first", "_before"), "kept-ranges")
+    if ranges.count() <= BROADCAST_RANGES:
+        ranges = F.broadcast(ranges)
+    met = reduce(lambda a, key: a & F.col(key).eqNullSafe(F.col(sides[key])), keys,
+                 F.col("_range") == F.col("_at"))
+    return (dealt.join(ranges, met).where(F.col("_row") - F.col("_first") + F.col("_before") < k)
+            .select(*df.columns))
+
+
 def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1) -> DataFrame:
     """The first k rows of every group; null keys form one group."""
+    if k > int(df.sparkSession.conf.get(GROUP_LIMIT, "1000")):
+        return first_many(df, keys, order, k)
     w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
 

@@ -18,6 +18,7 @@ from beatwire.operators.merge import merge_batch
 from beatwire.operators.select import with_alert
 from beatwire.session import remove
 from beatwire.sources.tables import _load_or_none
+from beatwire.streaming.keyed_table import BUCKETS, KeyedTable
 
 CADENCE = "5 minutes"
 COMMIT_SCHEMA = "batch_id long, path string"
@@ -88,6 +89,9 @@ def latest_updates(spark: SparkSession, path: str, keys: Sequence[str], value: s
 
 def current_version(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
     """The last committed version of a merged table, or None."""
+    keyed = KeyedTable(spark, table)
+    if before is None and keyed.versions():
+        return keyed.read()
     log = _load_or_none(spark.read.schema(COMMIT_SCHEMA), "parquet", f"{table}/_log")
     if log is None:
         return None
@@ -97,6 +101,19 @@ def current_version(spark: SparkSession, table: str, before: int | None = None)
     return spark.read.parquet(newest.path) if newest and newest.path else None
 
 
+def start_keyed_merge(sdf: DataFrame, table: str, checkpoint: str, key: str = "url",
+                      order: Sequence[str] = ("ord",), buckets: int = BUCKETS,
+                      prepare: Callable[[DataFrame], DataFrame] | None = None,
+                      once: bool = False) -> StreamingQuery:
+    """Merge every batch into a table of one row per key, newest batch first, without a cap."""
+    def save(batch: DataFrame, batch_id: int) -> None:
+        target = KeyedTable(batch.sparkSession, table, key, order, buckets)
+        target.merge(prepare(batch) if prepare else batch, batch_id)
+
+    writer = sdf.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save)
+    return _trigger(writer, once).start()
+
+
 def start_merge(sdf: DataFrame, table: str, checkpoint: str, key: str = "url",
                 order: Sequence[str] = ("ord",), cap: int | None = 500,
                 prepare: Callable[[DataFrame], DataFrame] | None = None,
@@ -108,7 +125,13 @@ def start_merge(sdf: DataFrame, table: str, checkpoint: str, key: str = "url",
     before it and replaces its own, so the outcome is the same; the last two
     versions are kept. ``age`` counts the batches since a row arrived; with
     ``order`` it is the order of the cap.
+
+    Without a cap the table grows, and a batch writes only the buckets that its
+    keys fall into, see :class:`KeyedTable`; ``arrived`` takes the place of ``age``.
     """
+    if cap is None:
+        return start_keyed_merge(sdf, table, checkpoint, key, order, prepare=prepare, once=once)
+
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new = (prepare(batch) if prepare else batch).withColumn("age", F.lit(0))

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from beatwire.operators import merge as mg
@@ -123,3 +124,36 @@ def test_claim_length(spark):
     ok, rejected = sel.split_claims(df)
     assert [r.id for r in ok.collect()] == [2]
     assert sorted(r.id for r in rejected.collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("k", [1, 150, 5_000, 50_000])
+def test_large_caps_without_sorting_a_group_in_one_task(spark, k):
+    """One source holds a third of all rows, another is null; order with ties and nulls."""
+    df = spark.range(0, 30_000, 1, 6).select(
+        F.col("id"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 30 == 1, None)
+        .otherwise(F.concat(F.lit("s"), F.col("id") % 200)).alias("source"),
+        F.when(F.col("id") % 17 > 0, F.col("id") * 7919 % 1_000).alias("ord"))
+    order = [F.asc_nulls_last("ord"), F.desc("id")]
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        first = mg.first_many(df, ["source"], order, k)
+        got = {r.id for r in first.collect()}
+        ranges = [r["count"] for r in first.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    w = Window.partitionBy("source").orderBy(*order)
+    want = df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+    assert got == {r.id for r in want.collect()}
+    assert first.columns == df.columns
+    assert max(ranges) <= 15_000  # of four ranges; the hot source alone has 10,000 rows
+
+
+def test_first_per_changes_its_plan_beyond_what_spark_cuts(spark):
+    df = spark.createDataFrame([("a", i) for i in range(3_000)] + [(None, 1)], "g string, i long")
+    for k in (1_000, 1_001):
+        got = mg.first_per(df, ["g"], [F.asc("i")], k)
+        assert got.count() == k + 1
+        assert ("Window" in got._jdf.queryExecution().optimizedPlan().toString()) == (k == 1_000)
+    empty = mg.first_per(df.limit(0), ["g"], [F.asc("i")], 5_000)
+    assert empty.collect() == [] and empty.columns == ["g", "i"]
