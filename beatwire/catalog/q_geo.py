@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from beatwire.catalog.registry import query
+from beatwire.catalog.registry import query, table
 from beatwire.catalog.views import ARTICLES_SQL, articles
 from beatwire.dims import MAP_CENTER, gazetteer, gazetteer_table
 from beatwire.operators.geo import extract_location, geocode_articles, geocode_lookup
+from beatwire.operators.names import find_names
 from beatwire.operators.select import map_points
 
 _W = r"[\p{L}\p{N}_]"
@@ -89,3 +90,46 @@ def points_or_center(spark, sf_dir):
     every = map_points(df, center=True)
     return none.withColumn("kind", F.lit("none")).unionByName(
         every.withColumn("kind", F.lit("all")))
+
+
+@query("geocode_names", f"""WITH {ARTICLES_SQL}, {GAZ_SQL}, {location_sql('title', 'by_title')},
+{location_sql('text', 'by_text')} SELECT a.doc_id, coalesce(t.location, x.location) AS name
+FROM articles a LEFT JOIN by_title t USING (doc_id) LEFT JOIN by_text x USING (doc_id)""")
+def geocode_names(spark, sf_dir):
+    """The places of ``geocode_articles`` by the search for names that are rows."""
+    rows = articles(spark, sf_dir).select("doc_id", "title", "text")
+    return find_names(rows, "doc_id", ["title", "text"], gazetteer_table(spark)).select("doc_id", "name")
+
+
+# Firms of two tables, and an article that names up to two of them.
+_FIRM = r"(?:customer|supplier)#[0-9]+"
+FIRMS_SQL = f"""{ARTICLES_SQL}, firms AS (
+  SELECT c_name AS name, 2 * c_custkey AS rank, c_nationkey AS nation FROM customer
+  UNION ALL SELECT s_name, 2 * s_suppkey + 1, s_nationkey FROM supplier),
+mentions AS (SELECT doc_id, title, text || ' Seen by CUSTOMER#' || lpad(CAST(doc_id * 7 AS VARCHAR), 9, '0')
+  || ' and Supplier#' || lpad(CAST(doc_id * 3 AS VARCHAR), 9, '0') || CASE WHEN doc_id % 4 = 0 THEN 'x' ELSE '' END
+  AS text FROM articles),
+named AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_FIRM}[\p{{L}}\p{{N}}_]*')) AS form FROM mentions),
+placed AS (SELECT doc_id, arg_min(name, rank) AS name, arg_min(nation, rank) AS nation
+  FROM named JOIN firms ON lower(name) = form GROUP BY doc_id)"""
+
+
+@query("find_firms", f"WITH {FIRMS_SQL} SELECT m.doc_id, p.name, coalesce(p.nation, -1) AS nation FROM mentions m "
+       "LEFT JOIN placed p USING (doc_id)")
+def find_firms(spark, sf_dir):
+    """Names of the customer and supplier tables in articles that mention firms."""
+    def firms(name: str, prefix: str, odd: int):
+        key, nation = (("c_custkey", "c_nationkey") if prefix == "c" else ("s_suppkey", "s_nationkey"))
+        return table(spark, sf_dir, name).select(
+            F.col(f"{prefix}_name").alias("name"), (F.col(key) * 2 + odd).alias("rank"),
+            F.col(nation).alias("nation"))
+
+    def number(times: int):
+        return F.lpad((F.col("doc_id") * times).cast("string"), 9, "0")
+
+    mentions = articles(spark, sf_dir).select("doc_id", "title", F.concat(
+        "text", F.lit(" Seen by CUSTOMER#"), number(7), F.lit(" and Supplier#"), number(3),
+        F.when(F.col("doc_id") % 4 == 0, "x").otherwise("")).alias("text"))
+    names = firms("customer", "c", 0).unionByName(firms("supplier", "s", 1))
+    return find_names(mentions, "doc_id", ["title", "text"], names).select(
+        "doc_id", "name", F.coalesce("nation", F.lit(-1)).alias("nation"))
