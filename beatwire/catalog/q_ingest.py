@@ -210,6 +210,21 @@ def html_anchors(spark, sf_dir):
     return pg.html_anchors(listing_pages(spark, sf_dir), min_len=MIN_LINK).drop("url")
 
 
+@query("html_anchors_nested", rf"""WITH nested AS (SELECT page_id, url, regexp_replace(html,
+  '<li>(<a [^>]*>)([^<]*)</a></li>', '\1<span><i>\2</i> <SPAN class="a">in</span> end</span> <span>tail</span></a>', 'g')
+  AS html FROM pages),
+bodies AS (SELECT page_id, url, regexp_extract_all({BODY_SQL}, '(?s)<a .*?</a>') AS l FROM nested),
+each AS (SELECT page_id, url, unnest(l) AS e, generate_subscripts(l, 1) - 1 AS ord FROM bodies),
+cut AS (SELECT page_id, CAST(ord AS INT) AS ord, {plain_sql("replace(e, '<span>tail</span>', '')")} AS title,
+  {ROOT_SQL} || {HREF_SQL.format('e')} AS link FROM each)
+SELECT * FROM cut WHERE length(title) >= {MIN_LINK}""")
+def html_anchors_nested(spark, sf_dir):
+    """Titles in elements that hold others of their name, with a sibling behind them."""
+    nested = F.regexp_replace("html", r"<li>(<a [^>]*>)([^<]*)</a></li>",
+                              '$1<span><i>$2</i> <SPAN class="a">in</span> end</span> <span>tail</span></a>')
+    return pg.html_anchors(pages(spark, sf_dir).withColumn("html", nested), min_len=MIN_LINK).drop("url")
+
+
 _SHAPES = ["absolute", "host", "rooted", "relative", "query", "fragment", "up", "here"]
 
 

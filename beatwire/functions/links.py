@@ -12,10 +12,15 @@ from beatwire.functions.text import WS, bind, strip_space
 # Named character references of the HTML standard that end in a semicolon.
 REFERENCES = {name[:-1]: char for name, char in html5.items() if name.endswith(";")}
 _LISTED = "\x02".join(f"{name}\x01{char}" for name, char in REFERENCES.items())
-REFERENCE = r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"
-
-# Comments, and elements whose content is not text.
-HIDDEN_PATTERN = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
+# Those that the standard knows without one, too, longest first.
+BARE = "|".join(sorted((name for name in html5 if not name.endswith(";")), key=lambda n: (-len(n), n)))
+REFERENCE = rf"&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;|(?:{BARE}))"
+# In an attribute a bare name counts only where no letter, digit or = follows.
+REFERENCE_IN_VALUE = rf"&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;|(?:{BARE})(?![A-Za-z0-9=]))"
+
+# Comments, and elements whose content is not text; unclosed ones run to the end of the page.
+HIDDEN_PATTERN = (r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\b[^>]*>|\z)"
+                  r"|<style\b.*?(?:</style\b[^>]*>|\z)")
 # What follows the name of a tag; a quoted value may hold a closing bracket.
 REST = r"""(?:[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*|[^>]*)"""
 ANY_TAG = f"<{REST}>"
@@ -30,25 +35,34 @@ def _code_point(digits: Column, base: int) -> Column:
     return F.when(named, char).otherwise("\ufffd")
 
 
-def _reference(ref: Column) -> Column:
-    """The character of one reference; an unknown name stays as it is."""
-    inner = F.substr(ref, F.lit(2), F.length(ref) - 2)
+def _reference(ref: Column, in_value: bool) -> Column:
+    """The character of one reference; an unknown name is cut to a bare one that it
+    begins with, or stays as it is."""
+    inner = F.regexp_replace(ref, "^&|;$", "")
     names = F.str_to_map(F.lit(_LISTED), F.lit("\x02"), F.lit("\x01"))  # one constant of the plan
+    bare = F.regexp_extract(inner, f"^({BARE})", 1)
+    cut = F.lit(None).cast("string") if in_value else F.concat(
+        F.try_element_at(names, bare), F.substr(ref, F.length(bare) + 2))
     return (F.when(F.rlike(inner, F.lit("^#[xX]")), _code_point(F.substr(inner, F.lit(3)), 16))
             .when(F.startswith(inner, F.lit("#")), _code_point(F.substr(inner, F.lit(2)), 10))
-            .otherwise(F.coalesce(F.try_element_at(names, inner), ref)))
+            .otherwise(F.coalesce(F.try_element_at(names, inner), cut, ref)))
 
 
-def _decoded(c: Column) -> Column:
+def _decoded(c: Column, in_value: bool) -> Column:
     """References and what stands between them, in one pass: nothing is decoded twice."""
-    parts = F.regexp_extract_all(c, F.lit(f"{REFERENCE}|[^&]+|&"), F.lit(0))
+    reference = REFERENCE_IN_VALUE if in_value else REFERENCE
+    parts = F.regexp_extract_all(c, F.lit(f"{reference}|[^&]+|&"), F.lit(0))
     return F.array_join(F.transform(parts, lambda p: F.when(
-        F.startswith(p, F.lit("&")) & (F.length(p) > 1), _reference(p)).otherwise(p)), "")
+        F.startswith(p, F.lit("&")) & (F.length(p) > 1), _reference(p, in_value)).otherwise(p)), "")
+
 
+def decode_entities(c: Column, in_value: bool = False) -> Column:
+    """Named and numeric character references to characters, inside the JVM.
 
-def decode_entities(c: Column) -> Column:
-    """Named and numeric character references to characters, inside the JVM."""
-    return bind(c, lambda t: F.when(F.contains(t, F.lit("&")), _decoded(t)).otherwise(t))
+    Also those without a semicolon that the standard allows; in an attribute's
+    value (``in_value``) they are mostly parts of an address and stay.
+    """
+    return bind(c, lambda t: F.when(F.contains(t, F.lit("&")), _decoded(t, in_value)).otherwise(t))
 
 
 def visible(html: Column) -> Column:
@@ -67,6 +81,35 @@ def joined(fragment: Column) -> Column:
     return strip_space(decode_entities(tight))
 
 
+def first_element(fragment: Column, names: str) -> Column:
+    """Content of the first element of one of ``names``, to its own end; null if there is none.
+
+    ``names`` is an alternation of element names. The fragment is cut at the tags
+    of the name that opens first, and depth is counted through them, so elements
+    of that name inside it end for themselves. One that is never closed runs on.
+    """
+    opening = rf"(?is)<(?:{names})\b{REST}>"
+    name = F.regexp_extract(fragment, rf"(?is)<({names})\b{REST}>", 1)
+    rest = F.get(F.split(fragment, opening, 2), F.lit(1))
+
+    def tag(before: str, after: str) -> Column:
+        return F.concat(F.lit(before), name, F.lit(after))
+
+    pieces = F.regexp_extract_all(rest, tag(r"(?is).*?(?:</?", rf"\b{REST}>|\z)"), F.lit(0))
+    closing, again = tag("(?is)</", r"\b[^<>]*>\z"), tag("(?is)<", rf"\b{REST}>\z")
+
+    def step(acc: Column, piece: Column) -> Column:
+        closes, opens = F.rlike(piece, closing), F.rlike(piece, again)
+        depth = F.when(closes, acc["depth"] - 1).when(opens, acc["depth"] + 1).otherwise(acc["depth"])
+        ends = closes & (acc["depth"] == 1)
+        text = F.concat(acc["text"], F.when(ends, F.regexp_replace(piece, closing, F.lit(""))).otherwise(piece))
+        return F.when(acc["depth"] == 0, acc).otherwise(
+            F.struct(depth.alias("depth"), text.alias("text")))
+
+    start = F.struct(F.lit(1).alias("depth"), F.lit("").alias("text"))
+    return F.when(F.rlike(fragment, F.lit(opening)), F.aggregate(pieces, start, step)["text"])
+
+
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute in an opening tag; null when absent."""
     quoted = F.regexp_extract(tag, rf'(?is)[{WS}]{name}[{WS}]*=[{WS}]*"([^"]*)"', 1)
@@ -74,7 +117,7 @@ def attribute(tag: Column, name: str) -> Column:
     bare = F.regexp_extract(tag, rf"(?is)[{WS}]{name}[{WS}]*=[{WS}]*([^\"'{WS}>]+)", 1)
     present = F.rlike(tag, F.lit(rf"(?is)[{WS}]{name}[{WS}]*="))
     value = F.coalesce(F.nullif(quoted, F.lit("")), F.nullif(single, F.lit("")), bare)
-    return F.when(present, decode_entities(value))
+    return F.when(present, decode_entities(value, in_value=True))
 
 
 def site_root(url: Column) -> Column:

@@ -2,7 +2,8 @@
 
 Elements are cut out by regular expressions over the visible page. Headings,
 links and paragraphs do not nest in themselves, as the HTML standard demands;
-an unclosed paragraph ends where the standard says it does.
+an unclosed paragraph ends where the standard says it does. Titles inside links
+may nest and are followed to their own end by counting depth.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from beatwire.functions.links import (
-    REST, attribute, joined, plain, resolve_link, site_host, visible,
+    REST, attribute, first_element, joined, plain, resolve_link, site_host, visible,
 )
 from beatwire.functions.text import strip_space
 from beatwire.session import written
@@ -135,18 +136,10 @@ def html_anchors(pages: DataFrame, title_from: Sequence[str] = ("heading", "attr
     ``title_from`` names the places to look, ``heading_tags`` the elements
     that count as a heading. Addresses are made absolute by the prefix rule.
     """
-    opening = rf"(?is)<(?:{heading_tags})\b{REST}>"
-    element = rf"(?is)<({heading_tags})\b{REST}>(.*?)</\1>"
-    whole = rf"(?is)<({heading_tags})\b{REST}>(.*)</\1>"
-    # elements of one name that nest: up to the last closing tag
-    nests = F.rlike(F.regexp_extract("s.inner", element, 0), F.lit(
-        rf"(?is)^<({heading_tags})\b{REST}>.*<\1\b"))
-    heading = F.when(nests, F.regexp_extract("s.inner", whole, 2)).otherwise(
-        F.regexp_extract("s.inner", element, 2))
+    heading = first_element(F.col("s.inner"), heading_tags)
     attr = F.coalesce(attribute(F.col("s.tag"), "title"), F.lit(""))
     places = {
-        "heading": (F.rlike("s.inner", F.lit(opening)),
-                    plain(heading)),
+        "heading": (heading.isNotNull(), plain(heading)),
         "attr": (attr != "", strip_space(attr)),
         "text": (F.lit(True), plain(F.col("s.inner"))),
     }

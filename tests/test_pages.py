@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from beatwire.functions.links import decode_entities, resolve_link
+from beatwire.functions.links import decode_entities, first_element, resolve_link
 from beatwire.sources import pages as pg
 
 LONG = "A headline that is long enough to keep"
@@ -130,3 +130,39 @@ def test_nested_elements_in_a_link(spark):
     df = page(spark, f"<a href='/x'><span><span>LIVE</span> {LONG}</span></a>")
     got = pg.html_anchors(df).collect()
     assert [(r.title, r.link) for r in got] == [(f"LIVE {LONG}", "https://site.example.org/x")]
+
+
+@pytest.mark.parametrize("inner, want", [
+    ("<span>one <span>two</span> three</span><span>four</span>", "one <span>two</span> three"),
+    ("x<SPAN a='>'>one</Span> y", "one"),
+    ("<span><span><span>a</span></span>b</span>c</span>", "<span><span>a</span></span>b"),
+    ("<h2>a <span>b</span> c</h2><span>d</span>", "a <span>b</span> c"),
+    ("<span>never <b>closed</b>", "never <b>closed</b>"),
+    ("<span></span>rest", ""), ("<spans>no</spans>", None), ("", None), (None, None),
+    ("<span>" * 300 + "deep" + "</span>" * 300 + "<span>x</span>", "<span>" * 299 + "deep" + "</span>" * 299)])
+def test_first_element_ends_at_its_own_close(value, inner, want):
+    assert value(lambda c: first_element(c, "h[1-4]|span"), inner) == [want]
+
+
+def test_a_sibling_is_no_part_of_the_title(spark):
+    html = f"<a href='/x'><span>{LONG} <span>two</span></span> <span>not this</span></a>"
+    assert [r.title for r in pg.html_anchors(page(spark, html)).collect()] == [f"{LONG} two"]
+
+
+def test_references_without_a_semicolon(spark, value):
+    cases = {"a &amp b &ltc&gt &#65 &#x42,": "a & b <c> A B,", "&copy2024 &notin; &eacutee": "©2024 ∉ ée",
+             "&am x &nosuch y &": "&am x &nosuch y &", "&ampamp;": "&amp;"}
+    assert value(decode_entities, *cases) == list(cases.values())
+    html = f"<a href='/x?a=1&copy=2&lt=3&amp;b=4&#38;c'>{LONG}</a>"
+    assert [r.link for r in pg.html_anchors(page(spark, html)).collect()] == [
+        "https://site.example.org/x?a=1&copy=2&lt=3&b=4&c"]
+
+
+@pytest.mark.parametrize("hidden", ["<script>var a = '", "<!-- ", "<style>p {", "<script src=x>"])
+def test_unclosed_hidden_parts_run_to_the_end(spark, hidden):
+    first, second = "x" * 40, "y" * 40
+    got = pg.html_article(page(spark, f"<p>{first}</p>{hidden}<p>{second}</p>")).collect()
+    assert [r.text for r in got] == [first]
+    closed = {"<!-- ": "-->", "<style>p {": "</style >"}.get(hidden, "</SCRIPT\n>")
+    got = pg.html_article(page(spark, f"<p>{first}</p>{hidden}{closed}<p>{second}</p>")).collect()
+    assert [r.text for r in got] == [f"{first} {second}"]
