@@ -166,9 +166,11 @@ news AS (SELECT month_end, theft AS c1, accident AS c2, non_crime AS c3 FROM m),
 {_positional_sql('news')}""")
 def align_positional(spark, sf_dir):
     """No common month: the first rows of a statistics file that begins with the newest day."""
-    official = orders_baseline(spark, sf_dir).withColumn("row_number", -F.unix_date("date"))
-    return co.align_months(_article_trend(spark, sf_dir), official, "positional",
-                           position="row_number")
+    path = work_dir(spark, "newest-first")
+    # a file in no order of its dates but the opposite one, read back in the order of its lines
+    orders_baseline(spark, sf_dir).orderBy(F.desc("date")).write.csv(path, header=True)
+    return co.align_months(_article_trend(spark, sf_dir), read_baseline(spark, path, CATS),
+                           "positional", position="row_number")
 
 
 @query("align_positional_overlap", f"WITH {SHIPMENTS_SQL}, {BASELINE_SQL}, "

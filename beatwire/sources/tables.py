@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,15 +58,31 @@ def read_baseline(spark: SparkSession, path: str, categories: Sequence[str],
                   fmt: str = "csv") -> DataFrame | None:
     """Official statistics with a parsed date, or None when the path is missing.
 
-    ``row_number`` grows in the order of the file.
+    ``row_number`` is the row's place in what was read, see :func:`file_place`.
     """
     reader = spark.read.schema(baseline_schema(categories))
     if fmt == "csv":
         reader = reader.option("header", True)
     df = _load_or_none(reader, fmt, path)
-    return None if df is None else df.withColumns({
-        "date": parse_date(F.col("date"), strict=False),
-        "row_number": F.monotonically_increasing_id()})
+    if df is None:
+        return None
+    return (df.select("*", file_place(fmt).alias("row_number"))
+            .withColumn("date", parse_date(F.col("date"), strict=False)))
+
+
+def file_place(fmt: str) -> Column:
+    """Where a row stood: its file, the start of its part, its number there.
+
+    Sorts as the files read by name, from top to bottom, however Spark splits
+    them. To be selected right behind the reader. A Parquet row knows its number
+    in the file; a line of text knows the start of its split and is counted from
+    there.
+    """
+    file, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    if fmt == "parquet":
+        return F.struct(file.alias("file"), F.lit(0).cast("long").alias("start"),
+                        F.col("_metadata.row_index").alias("row"))
+    return F.struct(file.alias("file"), start.alias("start"), F.monotonically_increasing_id().alias("row"))
 
 
 def write_articles(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",

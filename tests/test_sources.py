@@ -142,3 +142,26 @@ def test_outlets(spark):
     got = {r.source: (r.kind, r.language) for r in attach_source(df, outlet_table(spark)).collect()}
     assert got == {"Sakshi": ("anchors", "te"), "Amar Ujala": ("anchors", "hi"),
                    "nobody": (None, None)}
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_rows_know_their_place_in_the_file(spark, tmp_path, fmt):
+    """An unsorted file that Spark splits, and a second one behind it."""
+    days = [f"2023-{1 + i * 7 % 12:02d}-{1 + i * 11 % 28:02d}" for i in range(3_000)]
+    path = str(tmp_path / "baseline")
+    for part in (0, 1):
+        rows = [(d, float(part * 10_000 + i)) for i, d in enumerate(days)]
+        df = spark.createDataFrame(rows, "date string, murder double").coalesce(1)
+        df.write.mode("append").option("header", True).format(fmt).save(f"{path}/part={part}")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in old:
+        spark.conf.set(k, "4096")
+    try:
+        df = tables.read_baseline(spark, path, ["murder"], fmt)
+        if fmt == "csv":
+            assert df.rdd.getNumPartitions() > 4
+        got = [int(r.murder) for r in df.orderBy("row_number").collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == [part * 10_000 + i for part in (0, 1) for i in range(3_000)]
