@@ -11,10 +11,12 @@ from beatwire.catalog.views import (
 from beatwire.dims import TAX6, TAX11, VOCAB6
 from beatwire.functions.text import WS, clean_text, words
 from beatwire.operators.classify import (
-    classify, lexicon_scorer, predict_labels, scores_long,
+    classify, lexicon_scorer, model_scorer, predict_labels, scores_long,
+    threshold_labels as threshold_labels_of,
 )
 from beatwire.operators.evaluate import (
-    fit_svm, load_svm, multilabel_metrics, predict_svm, save_svm,
+    confusion, fit_svm, fit_word_weights, load_svm, multilabel_metrics, predict_svm, save_svm,
+    score_words,
 )
 from beatwire.operators.select import sample_records
 from beatwire.operators.split import split_exact
@@ -124,39 +126,105 @@ def metrics(spark, sf_dir):
     return _rounded(multilabel_metrics(guess, GIVEN))
 
 
-@query("svm_baseline", f"""WITH {_LABELLED}, n AS (SELECT count(*) AS n FROM given)
-SELECT label, n AS n_rows, n - CAST(floor(0.8::DOUBLE * n) AS BIGINT) AS n_test, positives,
-       true AS fits_better_than_majority, true AS same_after_reload
-FROM n, (SELECT 'quality' AS label, sum(quality)::BIGINT AS positives FROM given
-         UNION ALL SELECT 'toxic', sum(toxic)::BIGINT FROM given)""")
+_PARTED = f"""{_LABELLED}, numbered AS (SELECT *, row_number() OVER (
+    ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS rn FROM given),
+parted AS (SELECT *, rn <= floor(0.8::DOUBLE * (SELECT count(*) FROM given)) AS train FROM numbered)"""
+
+
+def _parts(spark, sf_dir):
+    rows = written(labelled_texts(spark, sf_dir), "labelled-texts")
+    return written(split_exact(rows, "doc_id"), "parts")
+
+
+@query("svm_baseline", f"""WITH {_PARTED}
+SELECT label, count(*) FILTER (train) AS n_train, count(*) FILTER (NOT train) AS n_test,
+  count(*) FILTER (NOT train AND y = 1) AS test_positives, count(*) FILTER (NOT train) AS same_after_reload
+FROM (SELECT 'quality' AS label, quality AS y, train FROM parted
+      UNION ALL SELECT 'toxic', toxic, train FROM parted) GROUP BY label""")
 def svm_baseline(spark, sf_dir):
-    """Trained on four fifths of the labelled texts, saved, loaded, applied to all.
+    """Trained on four fifths of the labelled texts, saved, loaded, judged on the rest.
 
-    Rows and positives are exact; the flags say that more of all rows are right
-    than by always guessing the commoner label, and that the saved model guesses
-    the same after it is read back. (On the held out rows a linear model of
-    invented words is no better than the commoner label.)
+    A held-out row counts as the same when the model that was saved and read back
+    guesses what the fitted one does. Held-out positives are those found and those
+    missed of an exact confusion count.
     """
     path = work_dir(spark, "svm")
-    rows = written(labelled_texts(spark, sf_dir), "labelled-texts")
-    parts = written(split_exact(rows, "doc_id"), "parts")
+    parts = _parts(spark, sf_dir)
     model = fit_svm(parts.where("part = 'train'"), GIVEN)
     save_svm(model, path)
-    guess = predict_svm(model, parts, GIVEN)
-    again = predict_svm(load_svm(path), parts, GIVEN).select(
+    test = parts.where("part = 'test'")
+    guess = predict_svm(model, test, GIVEN)
+    again = predict_svm(load_svm(path), test, GIVEN).select(
         "doc_id", *[F.col(f"p_{c}").alias(f"q_{c}") for c in GIVEN])
     both = written(guess.join(again, "doc_id"), "guesses")
-    totals = parts.agg(F.count("*").alias("n_rows"),
-                       F.count(F.when(F.col("part") == "test", 1)).alias("n_test"),
-                       *[F.sum(c).cast("bigint").alias(f"n_{c}") for c in GIVEN])
-    right = both.agg(*[
-        F.struct((F.sum((F.col(c) == F.col(f"p_{c}")).cast("int"))
-                  >= F.greatest(F.sum(c), F.count("*") - F.sum(c))).alias("better"),
-                 (F.sum((F.col(f"p_{c}") != F.col(f"q_{c}")).cast("int")) == 0).alias("same"))
-        .alias(f"r_{c}") for c in GIVEN])
-    line = F.inline(F.array(*[F.struct(
-        F.lit(c).alias("label"), F.col(f"n_{c}").alias("positives"),
-        F.col(f"r_{c}.better").alias("fits_better_than_majority"),
-        F.col(f"r_{c}.same").alias("same_after_reload")) for c in GIVEN]))
-    # two aggregates of one row each
-    return totals.join(F.broadcast(right)).select("n_rows", "n_test", line)
+    same = both.agg(F.array(*[F.struct(
+        F.lit(c).alias("label"), F.count_if(F.col(f"p_{c}") == F.col(f"q_{c}")).alias("same_after_reload"))
+        for c in GIVEN]).alias("a")).select(F.inline("a"))
+    n_train = parts.agg(F.count_if(F.col("part") == "train")).scalar()
+    return confusion(both, GIVEN).join(F.broadcast(same), "label").select(
+        "label", n_train.alias("n_train"),
+        (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n_test"),
+        (F.col("tp") + F.col("fn")).alias("test_positives"), "same_after_reload")
+
+
+_DISTINCT = f"list_distinct({_TOKENS})"
+
+
+def _weights_sql(c: str) -> str:
+    return f"""{c}_held AS (SELECT {c} AS y, unnest({_DISTINCT}) AS w FROM parted WHERE train),
+{c}_size AS (SELECT count(*) FILTER ({c} = 1) AS ones, count(*) FILTER ({c} = 0) AS zeros FROM parted WHERE train),
+{c}_weight AS (SELECT w, ln((count(*) FILTER (y = 1) + 1.0::DOUBLE) / (any_value(ones) + 2))
+  - ln((count(*) FILTER (y = 0) + 1.0::DOUBLE) / (any_value(zeros) + 2)) AS weight
+  FROM {c}_held, {c}_size GROUP BY w),
+{c}_sum AS (SELECT doc_id, sum(weight) AS s FROM (SELECT doc_id, unnest({_DISTINCT}) AS w FROM parted
+  WHERE NOT train) JOIN {c}_weight USING (w) GROUP BY doc_id),
+{c}_guess AS (SELECT '{c}' AS label, p.{c} AS y, coalesce(s, 0) + ln(ones + 1.0::DOUBLE) - ln(zeros + 1.0::DOUBLE) > 0
+  AS g FROM (SELECT * FROM parted WHERE NOT train) p CROSS JOIN {c}_size LEFT JOIN {c}_sum USING (doc_id))"""
+
+
+@query("word_weights", f"""WITH {_PARTED}, {", ".join(map(_weights_sql, GIVEN))}
+SELECT label, count(*) FILTER (y = 1 AND g) AS tp, count(*) FILTER (y = 0 AND g) AS fp,
+  count(*) FILTER (y = 1 AND NOT g) AS fn, count(*) FILTER (y = 0 AND NOT g) AS tn
+FROM ({" UNION ALL ".join(f"SELECT * FROM {c}_guess" for c in GIVEN)}) GROUP BY label""")
+def word_weights(spark, sf_dir):
+    """The linear model in closed form: confusion counts on the rows held out."""
+    parts = _parts(spark, sf_dir)
+    test = parts.where("part = 'test'")
+    for c in GIVEN:
+        weights = fit_word_weights(parts.where("part = 'train'"), c)
+        found = score_words(test.select("doc_id", "clean_text"), weights, "doc_id")
+        test = test.join(found.select("doc_id", (F.col("score") > 0).cast("int").alias(f"p_{c}")), "doc_id")
+    return confusion(test, GIVEN)
+
+
+# --- a model given from outside --------------------------------------------------------
+
+# A stand-in for a model: how often a text holds a phrase, of the times that score 1.
+MODEL_PHRASES, MODEL_FULL = ["the", "ion", "und", "que"], 40
+
+
+def load_counting_model():
+    """What a worker loads once: texts and phrases to a matrix of scores."""
+    def model(texts, phrases):
+        return [[min(1.0, text.lower().count(p) / MODEL_FULL) for p in phrases] for text in texts]
+
+    return model
+
+
+_COUNT = "(length(lower(text)) - length(replace(lower(text), '{0}', ''))) / {1}"
+
+
+@query("model_labels", f"WITH {ARTICLES_SQL}, scored AS (SELECT doc_id, length(regexp_replace(text, "
+       f"'^[{WS}]+|[{WS}]+$', '', 'g')) AS size, " + ", ".join(
+           "least(1.0::DOUBLE, " + _COUNT.format(p, f"{len(p)}.0::DOUBLE / {MODEL_FULL}.0::DOUBLE")
+           + f") AS s_{p}" for p in MODEL_PHRASES)
+       + " FROM articles) SELECT doc_id, " + ", ".join(
+           f"round(s_{p}, 6) AS score_{p}, CAST(size >= 10 AND s_{p} > 0.4 AS INTEGER) AS {p}"
+           for p in MODEL_PHRASES) + " FROM scored")
+def model_labels(spark, sf_dir):
+    """Scores and labels of a model that runs in Python on Arrow batches."""
+    scorer = model_scorer("counting", load_counting_model, MODEL_PHRASES)
+    scored = scorer(articles(spark, sf_dir).select("doc_id", "text"), "text")
+    return written(threshold_labels_of(scored, MODEL_PHRASES, "text"), "model-labels").select(
+        "doc_id", *[F.round(F.get("scores", F.lit(i)), 6).alias(f"score_{p}")
+                    for i, p in enumerate(MODEL_PHRASES)], *MODEL_PHRASES)

@@ -103,7 +103,7 @@ def geocode_names(spark, sf_dir):
 
 # Firms of two tables, and an article that names up to two of them.
 _FIRM = r"(?:customer|supplier)#[0-9]+"
-FIRMS_SQL = f"""{ARTICLES_SQL}, firms AS (
+FIRMS_SQL = rf"""{ARTICLES_SQL}, firms AS (
   SELECT c_name AS name, 2 * c_custkey AS rank, c_nationkey AS nation FROM customer
   UNION ALL SELECT s_name, 2 * s_suppkey + 1, s_nationkey FROM supplier),
 mentions AS (SELECT doc_id, title, text || ' Seen by CUSTOMER#' || lpad(CAST(doc_id * 7 AS VARCHAR), 9, '0')

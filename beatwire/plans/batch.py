@@ -16,7 +16,6 @@ from beatwire.operators.geo import geocode_articles
 from beatwire.operators.select import drop_empty_clean, label_lite, settled
 from beatwire.operators.trend import trend
 from beatwire.schemas import ARTICLE, ensure_columns, require_columns
-from beatwire.sources.synthetic import mock_baseline
 
 
 def clean_articles(raw: DataFrame, scripts: Sequence[str] = PARITY_SCRIPTS,
@@ -47,13 +46,15 @@ def label_articles(clean: DataFrame, categories: Sequence[str], scorer: Scorer |
 
 def trend_and_correlation(labelled: DataFrame, categories: Sequence[str],
                           baseline: DataFrame | None = None, mode: str = "by_month",
-                          strict: bool = False) -> tuple[DataFrame, DataFrame]:
+                          strict: bool = False,
+                          position: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Monthly counts and their correlation with official statistics.
 
-    Without statistics a made-up series takes their place, which shows the
-    procedure and proves nothing.
+    Without statistics there is nothing to compare, and the second table is empty.
     """
     monthly = trend(labelled, categories, strict=strict)
     if baseline is None:
-        baseline = mock_baseline(monthly, categories).withColumnRenamed("month_end", "date")
-    return monthly, correlate(align_months(monthly, baseline, mode))
+        none = [F.lit(0.0).alias(c) for c in categories]
+        baseline = monthly.select(F.col("month_end").alias("date"), *none).limit(0)
+        mode = "by_month"
+    return monthly, correlate(align_months(monthly, baseline, mode, position=position))

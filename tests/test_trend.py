@@ -9,6 +9,7 @@ from beatwire.functions.stats import pearson_p
 from beatwire.operators.correlate import align_months, correlate, month_coverage
 from beatwire.operators.trend import category_totals, overview, trend
 from beatwire.plans.batch import trend_and_correlation
+from beatwire.sources.synthetic import mock_baseline
 
 D = dt.date
 
@@ -120,10 +121,12 @@ def test_p_value_table(spark):
     assert got[3] is None and got[4] is None
 
 
-def test_plan_with_made_up_statistics(spark):
+def test_plan_with_and_without_statistics(spark):
     df = spark.range(200).select(
         F.date_format(F.date_add(F.lit("2024-01-01"), F.col("id").cast("int")),
                       "yyyy-MM-dd").alias("date"),
         (F.col("id") % 3 == 0).cast("int").alias("theft"))
     monthly, corr = trend_and_correlation(df, ["theft"])
-    assert monthly.count() == 7 and corr.first().n == 7
+    assert monthly.count() == 7 and corr.collect() == []  # nothing is made up
+    official = mock_baseline(monthly, ["theft"]).withColumnRenamed("month_end", "date")
+    assert trend_and_correlation(df, ["theft"], official)[1].first().n == 7
