@@ -10,6 +10,7 @@ from beatwire.catalog.registry import query, table
 from beatwire.catalog.views import ARTICLES_SQL, articles
 from beatwire.dims import TAX6
 from beatwire.operators import correlate as co
+from beatwire.operators import states as mergeable
 from beatwire.operators import trend as tr
 from beatwire.operators.split import split_exact, split_sizes
 from beatwire.session import work_dir
@@ -251,3 +252,43 @@ def train_test_split(spark, sf_dir):
 def sizes(spark, sf_dir):
     """Parts of either route, by the language of the title."""
     return split_sizes(split_exact(route_language(spark, sf_dir), "doc_id"))
+
+
+# --- states of days, merged ------------------------------------------------------------
+
+FIRST_DAY, LAST_DAY = "2024-03-15", "2025-06-30"
+
+
+def _appended(spark, purpose, batches):
+    """The states of every batch, appended to one table and read back."""
+    path = work_dir(spark, purpose)
+    for states in batches:
+        states.write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("overview_range", f"WITH {CLASSIFIED_SQL} SELECT count(*) AS n_articles, "
+       f"count(DISTINCT source) AS n_sources, CAST(sum({' + '.join(TAX6)}) AS BIGINT) AS n_labels "
+       f"FROM classified WHERE date BETWEEN '{FIRST_DAY}' AND '{LAST_DAY}'")
+def overview_range(spark, sf_dir):
+    """Some months' overview from the states of days, which came in two batches."""
+    df = classified(spark, sf_dir)
+    states = _appended(spark, "day-states", [
+        mergeable.overview_states(df.where(F.col("doc_id") % 2 == half), "date", TAX6) for half in (0, 1)])
+    return mergeable.overview_of(states, FIRST_DAY, LAST_DAY)
+
+
+@query("moments_range", """SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_x,
+  round(avg(user_id), 6) AS mean_y, round(covar_pop(value, user_id), 5) AS covariance,
+  round(corr(value, user_id), 6) AS r
+FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' GROUP BY event_type""")
+def moments_range(spark, sf_dir):
+    """Correlation over some days from the co-moments of days, which came in three batches."""
+    df = table(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    states = _appended(spark, "moment-states", [
+        mergeable.moment_states(df.where(F.col("event_id") % 3 == part), "day", ["event_type"], "value", "user_id")
+        for part in range(3)])
+    moments = mergeable.merge_moments(states, ["event_type"], "2024-01-05", "2024-01-20")
+    return mergeable.correlation_of(moments).select(
+        "event_type", "n", F.round("mean_x", 6).alias("mean_x"), F.round("mean_y", 6).alias("mean_y"),
+        F.round(F.col("c_xy") / F.col("n"), 5).alias("covariance"), F.round("r", 6).alias("r"))

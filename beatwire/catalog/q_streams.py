@@ -98,6 +98,39 @@ def stream_merge_all(spark, sf_dir):
         "doc_id", "title", "date", "url", "source", F.col("arrived").cast("int").alias("arrived"))
 
 
+NEWEST_DELAY = 365  # days
+
+
+@query("stream_newest", f"""WITH {ARTICLES_SQL},
+rowsx AS (SELECT doc_id, date, CAST(date AS DATE) AS ts, coalesce('=' || url, '#' || title || chr(1) || text) AS id,
+  doc_id % 2 AS batch FROM articles),
+mark AS (SELECT max(ts) - INTERVAL {NEWEST_DELAY} DAY AS m FROM rowsx WHERE batch = 0),
+fresh AS (SELECT * FROM rowsx, mark WHERE batch = 0 OR ts >= m),
+newest AS (SELECT *, row_number() OVER (PARTITION BY batch, id ORDER BY ts DESC, doc_id) AS rn FROM fresh),
+state AS (SELECT id, ts FROM newest WHERE batch = 0 AND rn = 1)
+SELECT batch, 'update' AS kind, doc_id, 1 AS number FROM newest WHERE batch = 0 AND rn = 1
+UNION ALL SELECT 1, 'update', n.doc_id, CASE WHEN s.ts >= n.m THEN 2 ELSE 1 END
+  FROM newest n LEFT JOIN state s USING (id) WHERE batch = 1 AND rn = 1 AND (s.ts IS NULL OR s.ts < n.m OR n.ts > s.ts)
+UNION ALL SELECT 1, 'late', doc_id, 0 FROM rowsx, mark WHERE batch = 1 AND ts < m""")
+def stream_newest(spark, sf_dir):
+    """Two landings with repeats across them: updates with their number, and late rows aside."""
+    root = work_dir(spark, "newest")
+    df = _timed(articles(spark, sf_dir).select("doc_id", "title", "text", "url", "date"))
+    late = F.col("doc_id") % 2 == 1
+    for batch in (df.where(~late), df.where(late)):
+        batch.write.mode("append").parquet(f"{root}/landing")
+        sdf = st.stream_table(spark, f"{root}/landing", batch.schema)
+        st.start_newest(sdf, f"{root}/out", f"{root}/checkpoint", delay=f"{NEWEST_DELAY} days",
+                        once=True).awaitTermination()
+
+    def told(kind, number):
+        return spark.read.parquet(f"{root}/out/{kind}").select(
+            F.col("batch_id").cast("int").alias("batch"), F.lit(kind.removesuffix("s")).alias("kind"),
+            "doc_id", number.cast("int").alias("number"))
+
+    return told("updates", F.col("update")).unionByName(told("late", F.lit(0)))
+
+
 @query("refresh_alerts", f"WITH {LABELLED_SQL} SELECT DISTINCT url, "
        f"CASE WHEN url IS NULL THEN {ALERT_SQL} END AS message FROM labelled WHERE {CRITICAL_SQL}")
 def refresh_alerts(spark, sf_dir):

@@ -78,8 +78,20 @@ class KeyedTable:
             return None
         return self.spark.read.option("mergeSchema", True).parquet(*paths)
 
-    def merge(self, batch: DataFrame, version: int | None = None) -> list[int]:
-        """Put a batch in; the buckets that were written."""
+    def near(self, batch: DataFrame, before: int) -> DataFrame | None:
+        """Rows of the buckets that a batch's keys fall into, as of the version before one."""
+        earlier = [v for v in self.versions() if v < before]
+        old = self.manifest(earlier[-1]) if earlier else {}
+        touched = batch.select(self.bucket_of(F.col(self.key))).distinct().collect()
+        return self._load([old[r[0]] for r in touched if r[0] in old])
+
+    def merge(self, batch: DataFrame, version: int | None = None,
+              keep: Column | None = None) -> list[int]:
+        """Put a batch in; the buckets that were written.
+
+        Of the rows that were there, those that are not ``keep`` leave with the
+        next batch that touches their bucket.
+        """
         known = self.versions()
         version = version if version is not None else 1 + max(known, default=-1)
         earlier = [v for v in known if v < version]
@@ -96,6 +108,7 @@ class KeyedTable:
                     .join(new.select(F.col(self.key).alias("_key"), F.col(BUCKET).alias("_at")),
                           F.col(self.key).eqNullSafe(F.col("_key")) & (F.col(BUCKET) == F.col("_at")),
                           "left_anti"))
+            kept = kept if keep is None else kept.where(keep)
             rows = new.unionByName(kept, allowMissingColumns=True)
         self._commit(version, {**old, **self._write(rows.drop("batch_rank"), version)})
         return sorted(touched)

@@ -8,15 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from beatwire.dims import CRITICAL
-from beatwire.operators.merge import merge_batch
+from beatwire.operators.merge import first_per, merge_batch
 from beatwire.operators.select import with_alert
-from beatwire.session import remove
+from beatwire.session import remove, written
 from beatwire.sources.tables import _load_or_none
 from beatwire.streaming.keyed_table import BUCKETS, KeyedTable
 
@@ -42,11 +42,15 @@ def stream_dedupe(sdf: DataFrame, key: str = "url", event_time: str = "ts",
     For alerts and append-only sinks. The table of record keeps the newest
     row of a key instead, see :func:`start_merge`.
     """
+    return (sdf.withColumn("_identity", _identity(key, stand_in)).withWatermark(event_time, delay)
+            .dropDuplicatesWithinWatermark(["_identity"]).drop("_identity"))
+
+
+def _identity(key: str, stand_in: Sequence[str]) -> Column:
+    """What tells rows apart: the key, or a digest of other columns where there is none."""
     digest = F.sha2(F.to_json(F.struct(*stand_in)), 256)
-    identity = F.when(F.col(key).isNull(), F.concat(F.lit("#"), digest)).otherwise(
+    return F.when(F.col(key).isNull(), F.concat(F.lit("#"), digest)).otherwise(
         F.concat(F.lit("="), F.col(key)))
-    return (sdf.withColumn("_identity", identity).withWatermark(event_time, delay)
-            .dropDuplicatesWithinWatermark(["_identity"]).drop("_identity"))
 
 
 def stream_alerts(sdf: DataFrame, keys: Sequence[str] = CRITICAL) -> DataFrame:
@@ -101,6 +105,57 @@ def current_version(spark: SparkSession, table: str, before: int | None = None)
     return spark.read.parquet(newest.path) if newest and newest.path else None
 
 
+def start_newest(sdf: DataFrame, path: str, checkpoint: str, key: str = "url",
+                 event_time: str = "ts", delay: str = "1 day",
+                 stand_in: Sequence[str] = ("title", "text"), once: bool = False) -> StreamingQuery:
+    """Emit a row whenever it is the newest of its key so far.
+
+    The state is a :class:`KeyedTable` of one small row a key: the time of the
+    newest row and how often it was replaced. Of a batch, the newest row of a key
+    counts (the other columns decide ties); if it is newer than the state it goes
+    to ``updates`` with its number. The watermark is the latest time of all batches
+    before, less ``delay``: a row behind it, or without a time, goes to ``late``,
+    and a key's state that falls behind it ends. Every batch writes folders of its
+    own number, so one that is run again replaces what it wrote.
+    """
+    def save(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        state = KeyedTable(spark, f"{path}/state", "_identity", ())
+        marks = _load_or_none(spark.read.schema("latest timestamp, batch_id long"), "parquet",
+                              f"{path}/_latest")
+        latest = F.lit(None).cast("timestamp")
+        if marks is not None:
+            earlier = marks.where(F.col("batch_id") < batch_id).agg(F.max("latest")).first()[0]
+            latest = F.lit(earlier).cast("timestamp")
+        mark = latest - F.expr(f"interval {delay}")
+        rows = written(batch.withColumn("_identity", _identity(key, stand_in))
+                       .withColumn("_mark", mark), "arrived")
+        behind = F.col(event_time).isNull() | F.coalesce(F.col(event_time) < F.col("_mark"), F.lit(False))
+        rows.where(behind).select(*batch.columns).write.mode("overwrite").parquet(
+            f"{path}/late/batch_id={batch_id}")
+        place = [F.desc(event_time), *[F.asc(c) for c in sorted(batch.columns) if c != event_time]]
+        fresh = written(first_per(rows.where(~behind), ["_identity"], place), "newest")
+        old = state.near(fresh, batch_id)
+        if old is None:
+            news = fresh.withColumn("update", F.lit(1).cast("long"))
+        else:
+            alive = old.where(F.coalesce(F.col("at") >= mark, F.lit(True))).select(
+                "_identity", "at", F.col("update").alias("_before"))
+            news = (fresh.join(alive, "_identity", "left")
+                    .where(F.col("at").isNull() | (F.col(event_time) > F.col("at")))
+                    .withColumn("update", F.coalesce("_before", F.lit(0)).cast("long") + 1))
+        news = written(news.select("_identity", *batch.columns, "update"), "updates")
+        news.drop("_identity").write.mode("overwrite").parquet(f"{path}/updates/batch_id={batch_id}")
+        state.merge(news.select("_identity", F.col(event_time).alias("at"), "update"), batch_id,
+                    keep=F.coalesce(F.col("at") >= mark, F.lit(True)))
+        (rows.agg(F.greatest(F.max(event_time), latest).alias("latest")).write.mode("overwrite")
+         .parquet(f"{path}/_latest/batch_id={batch_id}"))
+        remove(spark, f"{path}/_latest/batch_id={batch_id - KEPT_VERSIONS}")
+
+    writer = sdf.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save)
+    return _trigger(writer, once).start()
+
+
 def start_keyed_merge(sdf: DataFrame, table: str, checkpoint: str, key: str = "url",
                       order: Sequence[str] = ("ord",), buckets: int = BUCKETS,
                       prepare: Callable[[DataFrame], DataFrame] | None = None,

@@ -57,3 +57,30 @@ def test_late_data_is_dropped(spark, tmp_path):
     assert run() == [("2024-01-01", "x", 1), ("2024-01-03", "x", 1)]
     land(spark, landing, [(3, "u", "x", "", "2024-01-01 23:00:00"), (4, "u", "x", "", "2024-01-03 08:30:00")])
     assert run() == [("2024-01-01", "x", 1), ("2024-01-03", "x", 2)]
+
+
+def test_newest_of_a_key_is_told_as_it_comes(spark, tmp_path):
+    root, schema = str(tmp_path), "url string, title string, text string, ts timestamp"
+
+    def land(*rows):
+        df = spark.createDataFrame([(u, t, "", None if d is None else f"2024-01-{d:02d}") for u, t, d in rows],
+                                   "url string, title string, text string, d string")
+        df = df.select("url", "title", "text", F.col("d").cast("timestamp").alias("ts"))
+        df.write.mode("append").parquet(f"{root}/landing")
+        sdf = st.stream_table(spark, f"{root}/landing", df.schema)
+        st.start_newest(sdf, f"{root}/out", f"{root}/checkpoint", delay="10 days", once=True).awaitTermination()
+
+    def told(kind):
+        rows = spark.read.schema(f"{schema}, update long, batch_id long").parquet(f"{root}/out/{kind}").collect()
+        return sorted((r.batch_id, r.url or "", r.title, r.update) for r in rows)
+
+    land(("a", "a1", 5), ("a", "a2", 7), ("b", "b1", 20), (None, "n", 6), ("d", "d1", 4))
+    assert told("updates") == [(0, "", "n", 1), (0, "a", "a2", 1), (0, "b", "b1", 1), (0, "d", "d1", 1)]
+    # the watermark is the 10th: a and d have ended, b is replaced, an older b is no news
+    land(("a", "a3", 12), ("b", "b2", 21), ("b", "b0", 19), ("c", "late", 9), (None, "no time", None))
+    assert told("updates")[4:] == [(1, "a", "a3", 1), (1, "b", "b2", 2)]
+    assert told("late") == [(1, "", "no time", None), (1, "c", "late", None)]
+    land(("b", "b again", 21), ("a", "a4", 13), ("e", "e1", 31))
+    assert told("updates")[6:] == [(2, "a", "a4", 2), (2, "e", "e1", 1)]
+    land(("a", "a5", 30), ("b", "b3", 20))  # the watermark is the 21st
+    assert told("updates")[8:] == [(3, "a", "a5", 1)] and told("late")[2:] == [(3, "b", "b3", None)]
