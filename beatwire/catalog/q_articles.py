@@ -207,6 +207,17 @@ def live_feed(spark, sf_dir):
         "doc_id", "title", "date", "source", "n_total", "n_shown")
 
 
+@query("browse_feed", f"""WITH {LABELLED_SQL}, passed AS (SELECT * FROM labelled
+  WHERE source IN ('src0', 'src3', 'src7') AND theft = 1)
+SELECT doc_id, title, date, source, (SELECT count(*) FROM passed) AS n_total,
+       least(10, (SELECT count(*) FROM passed)) AS n_shown
+FROM passed ORDER BY date DESC NULLS LAST, doc_id LIMIT 10""")
+def browse_feed(spark, sf_dir):
+    """Three sources and one category, newest first, ten rows of so many."""
+    return sel.browse(labelled(spark, sf_dir), "doc_id", ["src0", "src3", "src7"], "Theft", 10,
+                      ["title", "date", "source"])
+
+
 _MATCHED = ("list_filter([CASE WHEN murder = 1 THEN 'murder' END, "
             "CASE WHEN rape = 1 THEN 'rape' END, "
             "CASE WHEN kidnapping = 1 THEN 'kidnapping' END], lambda k: k IS NOT NULL)")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from beatwire.dims import CRITICAL, FALLBACK_LABEL, INDIC_LANGS, MAP_CENTER
 from beatwire.functions.labels import alert_message, flagged, key_of
+from beatwire.session import written
 
 ALL_SOURCES = "All Sources"
 ALL_CATEGORIES = "All Categories"
@@ -106,6 +107,19 @@ def live_feed(df: DataFrame, order: str, n: int = 20) -> DataFrame:
             .withColumn("n_shown", F.least(F.lit(n).cast("bigint"), F.col("n_total"))))
 
 
+def browse(df: DataFrame, order: str, source: str | Sequence[str] = ALL_SOURCES,
+           category: str = ALL_CATEGORIES, n: int = 20,
+           columns: Sequence[str] = ("title", "date", "url", "source")) -> DataFrame:
+    """What a reader pages through: the filters, newest first, ``n`` rows of so many.
+
+    The table is read and filtered once; of what passes, the shown columns are
+    kept as a table that gives both the number of rows and the first of them.
+    """
+    passed = filter_category(filter_source(df, source), category)
+    kept = written(passed.select(order, *[c for c in columns if c != order]), "browsed")
+    return live_feed(kept, order, n)
+
+
 def with_alert(df: DataFrame, keys: Sequence[str] = CRITICAL) -> DataFrame:
     """Rows flagged with a critical category, with the matched names and a message."""
     matched = flagged(keys)

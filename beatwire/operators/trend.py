@@ -56,7 +56,9 @@ def trend(df: DataFrame, categories: Sequence[str], date_col: str = "date",
 
 
 def category_totals(df: DataFrame, categories: Sequence[str]) -> DataFrame:
-    """One row per category with its total, largest first."""
+    """One row per category with its total, largest first; none if a flag is not there."""
+    if not set(categories) <= set(df.columns):
+        return df.sparkSession.createDataFrame([], "category string, total bigint")
     totals = df.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
                       for c in categories])
     return (totals.unpivot([], list(categories), "category", "total")
@@ -64,14 +66,22 @@ def category_totals(df: DataFrame, categories: Sequence[str]) -> DataFrame:
 
 
 def overview(df: DataFrame, categories: Sequence[str], approximate: bool = False) -> DataFrame:
-    """Articles, distinct sources, labels set. One row."""
+    """Articles, distinct sources, labels set. One row.
+
+    Null stands for sources of a table without that column, and for labels of
+    one that lacks a flag.
+    """
     distinct = F.approx_count_distinct if approximate else F.count_distinct
-    labels = F.lit(0)
-    for c in categories:
-        labels = labels + F.coalesce(F.col(c), F.lit(0))
+    unknown = F.lit(None).cast("bigint")
+    labels = unknown
+    if set(categories) <= set(df.columns):
+        labels = F.lit(0)
+        for c in categories:
+            labels = labels + F.coalesce(F.col(c), F.lit(0))
+        labels = F.coalesce(F.sum(labels), F.lit(0)).cast("bigint")
     return df.agg(F.count(F.lit(1)).alias("n_articles"),
-                  distinct("source").alias("n_sources"),
-                  F.coalesce(F.sum(labels), F.lit(0)).cast("bigint").alias("n_labels"))
+                  (distinct("source") if "source" in df.columns else F.max(unknown)).alias("n_sources"),
+                  (labels if labels is not unknown else F.max(unknown)).alias("n_labels"))
 
 
 def language_counts(df: DataFrame, col: str = "lang") -> DataFrame:

@@ -56,8 +56,12 @@ def read_feeds(spark: SparkSession, path: str, kind: str = "rss") -> tuple[DataF
     """Landed feed files: their entries as FEED_ITEM, and beside them what is no XML.
 
     ``ord`` grows in file order. Folders named ``source=...`` name the feeds;
-    other partition columns pass through as well.
+    other partition columns pass through as well. With ``kind`` "any" every file
+    is read for the entries of either layout; a feed has those of one.
     """
+    if kind == "any":
+        read = [read_feeds(spark, path, k) for k in FORMATS]
+        return (read[0][0].unionByName(read[1][0]), read[0][1].unionByName(read[1][1]).distinct())
     tag, schema, items = FORMATS[kind]
     wide = T.StructType(schema.fields + [T.StructField(BROKEN, T.StringType())])
     raw = (spark.read.schema(wide).format("xml").option("rowTag", tag).option("mode", "PERMISSIVE")

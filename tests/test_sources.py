@@ -165,3 +165,17 @@ def test_rows_know_their_place_in_the_file(spark, tmp_path, fmt):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert got == [part * 10_000 + i for part in (0, 1) for i in range(3_000)]
+
+
+def test_feeds_of_either_kind(spark, tmp_path):
+    rss = "<rss><channel><item><title>r</title><link>http://r/1</link></item></channel></rss>"
+    atom = ('<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>a</title>'
+            '<link href="http://a/1"/></entry></feed>')
+    for source, xml in (("one", rss), ("two", atom)):
+        folder = tmp_path / f"source={source}"
+        folder.mkdir()
+        (folder / "feed.xml").write_text(xml)
+    items, broken = feeds.read_feeds(spark, str(tmp_path), "any")
+    assert sorted((r.source, r.title, r.link) for r in items.collect()) == [
+        ("one", "r", "http://r/1"), ("two", "a", "http://a/1")]
+    assert broken.collect() == []

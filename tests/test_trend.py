@@ -130,3 +130,12 @@ def test_plan_with_and_without_statistics(spark):
     assert monthly.count() == 7 and corr.collect() == []  # nothing is made up
     official = mock_baseline(monthly, ["theft"]).withColumnRenamed("month_end", "date")
     assert trend_and_correlation(df, ["theft"], official)[1].first().n == 7
+
+
+def test_tables_without_flags_or_sources(spark):
+    df = spark.createDataFrame([(1, "a"), (0, "b")], "theft int, source string")
+    assert category_totals(df, ["theft", "murder"]).collect() == []
+    assert [tuple(r) for r in category_totals(df, ["theft"]).collect()] == [("theft", 1)]
+    assert tuple(overview(df, ["theft", "murder"]).first()) == (2, 2, None)
+    assert tuple(overview(df.drop("source"), ["theft"]).first()) == (2, None, 1)
+    assert tuple(overview(df.drop("source"), ["rape"], approximate=True).first()) == (2, None, None)
