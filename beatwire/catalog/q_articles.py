@@ -121,9 +121,9 @@ def filter_source(spark, sf_dir):
 
 
 @query("filter_category", f"WITH {LABELLED_SQL} SELECT doc_id, title FROM labelled "
-       "WHERE crime_against_children = 1")
+       "WHERE kidnapping = 1")
 def filter_category(spark, sf_dir):
-    return sel.filter_category(labelled(spark, sf_dir), "Crime Against Children").select(
+    return sel.filter_category(labelled(spark, sf_dir), "Kidnapping").select(
         "doc_id", "title")
 
 
@@ -208,13 +208,13 @@ def live_feed(spark, sf_dir):
 
 
 @query("browse_feed", f"""WITH {LABELLED_SQL}, passed AS (SELECT * FROM labelled
-  WHERE source IN ('src0', 'src3', 'src7') AND theft = 1)
+  WHERE source IN ('src2', 'src6', 'src14') AND robbery = 1)
 SELECT doc_id, title, date, source, (SELECT count(*) FROM passed) AS n_total,
        least(10, (SELECT count(*) FROM passed)) AS n_shown
 FROM passed ORDER BY date DESC NULLS LAST, doc_id LIMIT 10""")
 def browse_feed(spark, sf_dir):
     """Three sources and one category, newest first, ten rows of so many."""
-    return sel.browse(labelled(spark, sf_dir), "doc_id", ["src0", "src3", "src7"], "Theft", 10,
+    return sel.browse(labelled(spark, sf_dir), "doc_id", ["src2", "src6", "src14"], "Robbery", 10,
                       ["title", "date", "source"])
 
 
