@@ -14,7 +14,9 @@ result; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import bisect
+import heapq
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -67,15 +69,33 @@ class Notice:
         return regex.compile(f"(?:{regex.escape(self.text, special_only=True)}){{e<={self.edits}}}",
                              regex.BESTMATCH)
 
-    def places(self, text: str, start: int, end: int) -> Iterator[regex.Match]:
-        """All places in a stretch: the best one, then those before and after it."""
-        open_ = [(start, end)]
-        while open_:
-            start, end = open_.pop()
-            m = self.pattern.search(text, start, end) if start < end else None
-            if m and m.end() > m.start():
-                yield m
-                open_ += [(start, m.start()), (m.end(), end)]
+    def best(self, text: str, start: int, end: int) -> tuple[int, int, int] | None:
+        """(edits, start, end) of the best place in a stretch."""
+        m = self.pattern.search(text, start, end) if start < end else None
+        return (sum(m.fuzzy_counts), m.start(), m.end()) if m and m.end() > m.start() else None
+
+    def places(self, text: str, windows: Iterable[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """Places in the windows that do not overlap, those of fewest edits first.
+
+        A window is little longer than the notice. One whose best place overlaps
+        an accepted one is searched again in what that leaves of it, which is
+        shorter; so the work grows with the number of windows.
+        """
+        heap = [(*hit, start, end) for start, end in windows if (hit := self.best(text, start, end))]
+        heapq.heapify(heap)
+        taken: list[tuple[int, int, int]] = []  # start, end, edits; in order
+        while heap:
+            edits, at, until, start, end = heapq.heappop(heap)
+            i = bisect.bisect_right(taken, (at,))
+            over = [t for t in taken[max(0, i - 1):i + 1] if t[0] < until and at < t[1]]
+            if not over:
+                bisect.insort(taken, (at, until, edits))
+                continue
+            for left, right in ((start, min(end, over[0][0])), (max(start, over[-1][1]), end)):
+                hit = self.best(text, left, right)
+                if hit:
+                    heapq.heappush(heap, (*hit, left, right))
+        return taken
 
     def seeds(self) -> list[tuple[int, str]]:
         """edits + 1 pieces with their place in the notice."""
@@ -101,26 +121,17 @@ class Scanner:
             self.automaton.make_automaton()
         self.empty = not pieces
 
-    def windows(self, text: str) -> dict[int, list[list[int]]]:
-        """Stretches that can hold a notice, overlapping ones joined, by notice."""
-        found: dict[int, list[list[int]]] = {}
+    def windows(self, text: str) -> dict[int, set[tuple[int, int]]]:
+        """Stretches that can hold a notice, one for each place a piece points to."""
+        found: dict[int, set[tuple[int, int]]] = {}
         if self.empty:
             return found
         for last, (size, owners) in self.automaton.iter(text):
             for k, at in owners:
                 notice = self.notices[k]
-                start = max(0, last + 1 - size - at - notice.edits)
-                end = last + 1 - size - at + len(notice.text) + notice.edits
-                found.setdefault(k, []).append([start, end])
-        for k, spans in found.items():
-            spans.sort()
-            joined = spans[:1]
-            for start, end in spans[1:]:
-                if start <= joined[-1][1]:
-                    joined[-1][1] = max(joined[-1][1], end)
-                else:
-                    joined.append([start, end])
-            found[k] = joined
+                start = last + 1 - size - at - notice.edits
+                end = start + len(notice.text) + 2 * notice.edits
+                found.setdefault(k, set()).add((max(0, start), min(end, len(text))))
         return found
 
     def fuzzy(self, text: str) -> list[tuple[int, int, str, int, int]]:
@@ -128,10 +139,8 @@ class Scanner:
         hits = []
         for k, spans in self.windows(text).items():
             notice = self.notices[k]
-            for start, end in spans:
-                for m in notice.places(text, start, min(end, len(text))):
-                    hits.append((m.start(), m.end(), notice.label, sum(m.fuzzy_counts),
-                                 len(notice.text)))
+            hits += [(start, end, notice.label, edits, len(notice.text))
+                     for start, end, edits in notice.places(text, spans)]
         return sorted(hits)
 
     def exact(self, text: str) -> list[tuple[int, str, int]]:
@@ -147,6 +156,17 @@ class Scanner:
         return [(w, label, n) for w, (_, label, n) in zip(words, hits)]
 
 
+_LOADED: dict[tuple, Scanner] = {}
+
+
+def loaded(notices: dict[str, str], phrases: dict[str, str]) -> Scanner:
+    """One scanner for each set of notices and phrases in a worker process."""
+    key = (tuple(notices.items()), tuple(phrases.items()))
+    if key not in _LOADED:
+        _LOADED[key] = Scanner(notices, phrases)
+    return _LOADED[key]
+
+
 def _word_numbers(padded: str, places: Sequence[int]) -> list[int]:
     """Which word starts after each place; ascending places, one pass over the text."""
     out, seen, before = [], 0, 0
@@ -183,7 +203,7 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     @F.pandas_udf(HITS)
     def search(texts: pd.Series) -> pd.DataFrame:
-        scanner = Scanner(notices, phrases)
+        scanner = loaded(notices, phrases)
         return pd.DataFrame([scan(scanner, t) for t in texts],
                             columns=["n_words", "phrases", "notices"])
 

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from pathlib import Path
 
 import pytest
@@ -57,6 +58,34 @@ def test_adjacent_notices(text, edits):
     assert [k for _, _, label, k, _ in SCANNER.fuzzy(text) if label == "reserved"] == edits
 
 
+def test_places_do_not_overlap_and_none_is_missed():
+    rnd = random.Random(11)
+    notice = Notice("all rights reserved", "reserved")
+    only = Scanner({notice.text: notice.label}, {})
+    for _ in range(200):
+        parts = rnd.choices(["all rights reserved", "all right reserved", "al rights reserved", "x", "all rights",
+                             "reserved", "allrights reserved"], k=8)
+        text = " ".join(parts)
+        hits = only.fuzzy(text)
+        assert all(a[1] <= b[0] for a, b in zip(hits, hits[1:]))
+        at = 0
+        for start, end, *_ in [*hits, (len(text), len(text))]:  # nothing is left in the gaps
+            assert notice.best(text, at, start) is None
+            at = end
+
+
+def test_a_text_of_near_notices_takes_linear_time():
+    def seconds(n):
+        start = time.process_time()
+        hits = SCANNER.fuzzy("all right reserved x " * n)
+        assert len([h for h in hits if h[2] == "reserved"]) == n
+        return time.process_time() - start
+
+    seconds(100)
+    assert seconds(8_000) < 20 * max(seconds(800), 0.05)
+    assert seconds(50_000) < 60  # 1 MB
+
+
 def test_same_as_search_without_seeds():
     rnd = random.Random(9)
     for _ in range(60):
