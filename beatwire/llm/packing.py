@@ -24,6 +24,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,7 +40,7 @@ from beatwire.session import written
 
 CAPACITY = 2048
 END = 0
-# Words whose ids a worker remembers; the memory is emptied when full.
+# Words whose ids a worker remembers; a full memory is kept beside a new one until that is full.
 REMEMBERED, LONGEST_REMEMBERED = 300_000, 48
 SLICE = 256  # documents whose pieces leave a worker together
 BLANKS_APART = re.compile(r"[^ \t\n\r]+")
@@ -75,6 +76,7 @@ class Coder:
         self.marks = [t["content"] for t in spec["added_tokens"]]
         self.split = latin_pattern(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _parts(self, text: str) -> list[str]:
         try:
@@ -88,22 +90,29 @@ class Coder:
 
     def encode(self, text: str | None) -> bytes:
         parts = self._parts(text or "")
-        known = self.known
-        missing = set(parts).difference(known)
-        if not missing:
-            return b"".join(map(known.__getitem__, parts))
-        if len(known) > REMEMBERED:
-            known.clear()
-            missing = set(parts)
-        new = list(missing)
-        coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        known.update(zip(new, [np.array(e.ids, "<u4").tobytes() for e in coded]))
-        data = b"".join(map(known.__getitem__, parts))
-        for p in new:
+        missing = set(parts).difference(self.known)
+        if missing:
+            if len(self.known) > REMEMBERED:
+                self.older, self.known = self.known, {}
+                missing = set(parts)
+            self._learn(missing)
+        data = b"".join(map(self.known.__getitem__, parts))
+        for p in missing:
             if len(p) > LONGEST_REMEMBERED:
-                del known[p]
+                del self.known[p]
         return data
 
+    def _learn(self, parts: set[str]) -> None:
+        new = []
+        for p in parts:
+            code = self.older.get(p)
+            if code is None:
+                new.append(p)
+            else:
+                self.known[p] = code
+        coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        self.known.update(zip(new, [array("I", e.ids).tobytes() for e in coded]))
+
 
 _LOADED: dict[str, Coder] = {}
 
