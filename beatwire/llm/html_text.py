@@ -7,11 +7,19 @@ tag, and a word in a given surrounding, lies in it and outside. Within the run,
 elements that are no article text (menus, notices, forms, reader comments and
 the like, by their name, role or class) are left out. One that holds most of the
 page's words wraps the article and stays: forms, elements named by a class or
-left open where they hold more words than remain without them, reader comments
-and what lies outside of a marked article with ``OUTWEIGHS`` times as many.
+left open where they hold more words than remain without them, reader comments,
+adverts and what lies outside of a marked article with ``OUTWEIGHS`` times as
+many; adverts and their like inside a marked article never do. Elements left out score
+0, tags and words alike, so a box between two paragraphs does not cut the run.
+
+Where a page marks its article, and the mark holds at least half of the words
+of the best run, tags inside it score 0 and its words, whatever surrounds
+them, score positive, all other words at most 0: the run then covers what is
+marked, with its lists, tables and captions.
 
 The labelled pages are a bounded sample, ``SAMPLE_PAGES`` pages of at most
-``SAMPLE_CHARS`` characters; fixed counts stand in for what they do not show.
+``SAMPLE_CHARS`` characters, the first by a hash of the page; fixed counts stand
+in for what they do not show.
 
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are joined in page order by one space. Elements of running text
@@ -42,10 +50,10 @@ SAMPLE_CHARS = 50_000
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(svg|math)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<=/)>"
+    r"|<(svg|math)(?=[\s/>])(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+(?<=/)>"
     r"|<(script|style|noscript|template|iframe|textarea|svg|math|object|select|title|xmp)"
-    r"(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\2(?=[\s/>])[^>]*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    r"(?=[\s/>])(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+>.*?(?:</\2(?=[\s/>])[^>]*>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?",
@@ -68,12 +76,19 @@ IN_ARTICLE_TOO = frozenset({"header", "search"})  # no sign against a part of th
 # Names such as no-comments, has-sidebar or ad-free tell of the page, not of the element.
 STATE_FIRST = frozenset("""no non not has have is with without hide show""".split())
 STATE_LAST = frozenset("""free open opened closed on off enabled disabled""".split())
+# Names of what is hardly ever an article, and never inside of a marked one, however long.
+ADVERTS = frozenset("""ad ads advert advertisement adsense sponsor sponsored promo promotion banner
+cookie cookies consent notice notification newsletter subscribe subscription related recommended
+recommendations share sharing social pagination pager breadcrumb breadcrumbs copyright""".split())
 COMMENTS = frozenset("""comments comment commentlist disqus replies respond""".split())
 OUTWEIGHS = 9  # times the other words, for what may well be longer than the article
 
 # Stand in for labelled pages: seen so often inside and outside of an article.
 PRIOR_IN = {name: 20 for name in "p h1 h2 h3 blockquote pre article".split()}
-PRIOR_OUT = {name: 20 for name in "nav ul li a footer header form head title div".split()}
+PRIOR_OUT = {name: 20 for name in "nav footer header form head title div".split()}
+# Lists, tables and captions: their words mostly inside, unless they are links; their tags both.
+STRUCTURE = "ul ol li dl dt dd table tbody thead tr td th caption figure figcaption".split()
+STRUCTURE_IN, STRUCTURE_OUT = 20, 6
 
 
 @dataclass
@@ -102,7 +117,7 @@ class Aside:
 
 
 def _beside(name: str, attributes: str, in_article: bool) -> str:
-    """"never" or "seldom" article text, "comments" on it, or "" for all others."""
+    """"never" or "seldom" article text, an "advert", "comments" on it, or "" for all others."""
     if name in NEVER or (name == "header" and not in_article):
         return "never"
     found = "seldom" if name in SELDOM else ""
@@ -119,6 +134,8 @@ def _beside(name: str, attributes: str, in_article: bool) -> str:
             named = BESIDE.intersection(names) - (IN_ARTICLE_TOO if in_article else frozenset())
             if named & COMMENTS:
                 return "comments"
+            if named & ADVERTS:
+                return "advert"
             found = found or ("seldom" if named else "")
     return found
 
@@ -145,7 +162,7 @@ def _find_wrappers(asides: list[Aside], free: dict[bool, int]) -> None:
 def tokens(html: str) -> list[Token]:
     """Tags and texts of a page in order, each text with its surrounding."""
     out: list[Token] = []
-    texts: list[tuple[Token, Aside]] = []  # those inside of an element beside the article
+    inside: list[tuple[Token, Aside]] = []  # tags and texts in an element beside the article
     asides: list[Aside] = []
     free = {True: 0, False: 0}
     open_: list[tuple[str, Aside | None]] = []
@@ -153,15 +170,18 @@ def tokens(html: str) -> list[Token]:
     article = link = 0
     block = "body"
 
+    def add(token: Token) -> None:
+        out.append(token)
+        if beside:
+            inside.append((token, beside[-1]))
+
     def text(part: str) -> None:
         plain = unescape(part)
         n = len(plain.split())
         if n and open_ and open_[-1][0] == "head":
             close(len(open_) - 1)
         token = Token(f"{block}{' link' if link else ''}", n, plain, False, article > 0)
-        out.append(token)
-        if beside:
-            texts.append((token, beside[-1]))
+        add(token)
         if not link:
             if beside:
                 beside[-1].own += n
@@ -174,7 +194,7 @@ def tokens(html: str) -> list[Token]:
             name, aside = open_.pop()
             if aside:
                 beside.pop()
-                if name != "head" and not (ended and len(open_) == depth):
+                if name != "head" and not aside.marked and not (ended and len(open_) == depth):
                     aside.never = False  # never ended, so it may have taken in the article
             article -= name in ARTICLE
             link -= name == "a"
@@ -187,12 +207,12 @@ def tokens(html: str) -> list[Token]:
         at = m.end()
         name = (m[4] or m[7] or "").lower()
         if m[1] or m[2]:
-            out.append(Token((m[1] or m[2]).lower(), marked=article > 0, parts=True))
+            add(Token((m[1] or m[2]).lower(), marked=article > 0, parts=True))
         if not name:
             continue
         if m[3] or m[6]:
             depth = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), None)
-            out.append(Token(f"/{name}", marked=article > 0, parts=name not in RUNNING))
+            add(Token(f"/{name}", marked=article > 0, parts=name not in RUNNING))
             if depth is not None:
                 close(depth, ended=True)
             continue
@@ -208,8 +228,9 @@ def tokens(html: str) -> list[Token]:
         if name not in EMPTY:
             aside, kind = None, _beside(name, m[5] or m[8] or "", article > 0)
             if kind:
-                aside = Aside(beside[-1] if beside else None, kind == "never", article > 0,
-                              OUTWEIGHS if kind == "comments" else 1)
+                aside = Aside(beside[-1] if beside else None,
+                              kind == "never" or kind == "advert" and article > 0, article > 0,
+                              OUTWEIGHS if kind in ("comments", "advert") else 1)
                 asides.append(aside)
                 beside.append(aside)
             open_.append((name, aside))
@@ -217,16 +238,14 @@ def tokens(html: str) -> list[Token]:
             link += name == "a"
             if name not in RUNNING:
                 block = name
-        out.append(Token(name, marked=article > 0, parts=name not in RUNNING))
+        add(Token(name, marked=article > 0, parts=name not in RUNNING))
     if at < len(html):
         text(html[at:])
     close(0)
 
     _find_wrappers(asides, free)
-    for token, aside in texts:
-        if not aside.wraps:
-            token.beside = True
-            token.key += " beside"
+    for token, aside in inside:
+        token.beside = not aside.wraps
     return out
 
 
@@ -250,18 +269,25 @@ def learn(pages: Iterable[str]) -> Weights:
 
     With ``a`` counts inside and ``b`` outside, a word scores log(1 + r) and a
     tag -log(1 + 1 / r), r being (a + 1) / (b + 1): near 0 where it tells nothing.
+    What lies in an element left out is not counted.
     """
     inside, outside = Counter(), Counter()
     for name, n in PRIOR_IN.items():
         inside.update({("tag", name): n, ("tag", f"/{name}"): n, ("word", name): n})
     for name, n in PRIOR_OUT.items():
-        outside.update({("tag", name): n, ("tag", f"/{name}"): n, ("word", f"{name} link"): n,
-                        ("word", f"{name} beside"): n, ("word", f"{name} link beside"): n})
+        outside.update({("tag", name): n, ("tag", f"/{name}"): n, ("word", f"{name} link"): n})
+    for name in STRUCTURE:
+        inside.update({("tag", name): STRUCTURE_IN, ("tag", f"/{name}"): STRUCTURE_IN,
+                       ("word", name): STRUCTURE_IN})
+        outside.update({("tag", name): STRUCTURE_OUT, ("tag", f"/{name}"): STRUCTURE_OUT,
+                        ("word", f"{name} link"): STRUCTURE_IN})
     for html in pages:
         found = tokens(html)
         if not any(t.marked for t in found):
             continue
         for t in found:
+            if t.beside:
+                continue
             side = inside if t.marked else outside
             if t.words is None:
                 side["tag", t.key] += 1
@@ -285,10 +311,30 @@ def best_run(scores: Iterable[float]) -> tuple[int, int]:
     return run
 
 
+def _word_count(found: Iterable[Token]) -> int:
+    return sum(t.words or 0 for t in found if not t.beside)
+
+
+def region(found: list[Token], weights: Weights) -> tuple[int, int]:
+    """Start and end of the tokens that make up the article."""
+    start, end = best_run(0.0 if t.beside else weights.score(t) for t in found)
+    marked = [t for t in found if t.marked]
+    if 2 * _word_count(marked) < max(1, _word_count(found[start:end])):
+        return start, end
+
+    def score(t: Token) -> float:
+        if t.beside:
+            return 0.0
+        if t.marked:
+            return 0.0 if t.words is None else t.words * math.log(2)
+        return min(0.0, weights.score(t))
+
+    return best_run(map(score, found))
+
+
 def main_text(html: str | None, weights: Weights) -> str:
     found = tokens(html or "")
-    start, end = best_run(weights.score(t) if not t.beside else min(0.0, weights.score(t))
-                          for t in found)
+    start, end = region(found, weights)
     kept = []
     for t in found[start:end]:
         if t.words is None:
@@ -300,11 +346,20 @@ def main_text(html: str | None, weights: Weights) -> str:
 
 
 def learn_weights(pages: DataFrame, html: str = "html") -> Weights:
-    """Weights from a bounded sample of the pages that mark their article."""
-    sample = (pages.select(F.col(html).alias("h"))
+    """Weights from a bounded sample of the pages that mark their article.
+
+    The different pages of least hash: one number a page is sorted, and only the
+    pages of the sample leave their task.
+    """
+    usable = (pages.select(F.col(html).alias("h"))
               .where(F.col("h").rlike("(?i)<(article|main)[ >]")
-                     & (F.length("h") <= SAMPLE_CHARS)).limit(SAMPLE_PAGES).collect())
-    return learn(r.h for r in sample)
+                     & (F.length("h") <= SAMPLE_CHARS)).withColumn("k", F.xxhash64("h")))
+    last = (usable.select("k").distinct().orderBy("k").limit(SAMPLE_PAGES)
+            .agg(F.max("k")).first()[0])
+    if last is None:
+        return learn([])
+    sample = usable.where(F.col("k") <= last).groupBy("k").agg(F.min("h").alias("h")).orderBy("k")
+    return learn(r.h for r in sample.collect())
 
 
 def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html",

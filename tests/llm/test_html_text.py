@@ -54,6 +54,73 @@ def test_text_after_an_icon(icon):
                 ) == f"A B {WORDS} C"
 
 
+BOX = "<a href='/x'>More of this</a> " * 40
+PARTS = {
+    "list": ("<h1>Recipe</h1><ul><li>two eggs</li><li>a cup of flour</li></ul>", "Recipe two eggs a cup of flour"),
+    "table": ("<table><tr><th>Year</th><th>Sum</th></tr><tr><td>1999</td><td>12 tons</td></tr></table>",
+              "Year Sum 1999 12 tons"),
+    "definitions": ("<dl><dt>Flour</dt><dd>ground corn</dd></dl>", "Flour ground corn"),
+    "caption": ("<figure><img src=x><figcaption>The old mill</figcaption></figure>", "The old mill"),
+    "links": ("<p><a href=a>One report</a>, <a href=b>another report</a></p>", "One report, another report"),
+    "aside": (f"<aside>{BOX}</aside>", ""),
+    "related": (f"<div class='related'><h3>Related</h3><ul><li>{BOX}</li></ul></div>", ""),
+    "advert": (f"<div class=ad>{f'<p>{WORDS}</p>' * 4}</div>", ""),
+    "newsletter": (f"<section class='newsletter-box'><p>{WORDS}</p><form><input>{WORDS}</form></section>", ""),
+    "share": ("<ul class='share'><li><a href=x>Post</a></li><li><a href=y>Mail</a></li></ul>", ""),
+    "apostrophe": ("<script src=a'>var x = 1;</script><p title=it's>Quoted</p>", "Quoted"),
+    "quote": ("<p data-x=5\">Inches</p>", "Inches"),
+    "arrow": ('<p title="a>b">Arrow</p>', "Arrow"),
+}
+
+
+def around(part):
+    """The part between, in front of and behind paragraphs, with the text it should give."""
+    html, plain = PARTS[part]
+    yield f"<p>{WORDS}</p>{html}<p>{WORDS}</p>", f"{WORDS} {plain} {WORDS}"
+    yield f"{html}<p>{WORDS}</p>", f"{plain} {WORDS}"
+    yield f"<p>{WORDS}</p>{html}", f"{WORDS} {plain}"
+    yield f"<p>Short.</p>{html}<p>Mix it all well together.</p>", f"Short. {plain} Mix it all well together."
+
+
+@pytest.mark.parametrize("mark", ["article", "main"])
+@pytest.mark.parametrize("part", PARTS)
+def test_a_marked_article_is_kept_whole(part, mark):
+    for html, want in around(part):
+        assert text(f"<{mark}>{html}</{mark}><p>Beside it.</p>") == " ".join(want.split())
+
+
+@pytest.mark.parametrize("part", PARTS)
+def test_parts_between_paragraphs_of_an_unmarked_article(part):
+    html, want = next(around(part))
+    assert text(f"<div>{html}</div>") == " ".join(want.split())
+
+
+@pytest.mark.parametrize("part", ["list", "table", "definitions", "caption"])
+def test_parts_at_the_end_of_an_unmarked_article(part):
+    for html, want in list(around(part))[:3]:
+        assert text(f"<div>{html}</div>") == want
+
+
+def test_a_mark_without_the_article_is_no_mark():
+    assert text(f"<main><p>Welcome</p></main><div><p>{WORDS}</p><p>{WORDS}</p></div>").endswith(
+        f"{WORDS} {WORDS}")
+
+
+def test_pages_of_links_outside_of_an_article():
+    menu = "".join(f"<li><a href='/{i}'>Page {i}</a></li>" for i in range(30))
+    assert text(f"<div><ul>{menu}</ul></div><div><p>{WORDS}</p><p>{WORDS}</p></div><div><ul>{menu}</ul></div>"
+                ) == f"{WORDS} {WORDS}"
+
+
+def test_the_sample_does_not_depend_on_the_split(spark):
+    from beatwire.llm import html_text
+    pages = spark.range(900).selectExpr(
+        "id AS page_id", "'u' AS url", f"concat('<article><p>', id, ' word</p>', repeat('<hr>', id % 9), '</article>"
+        "<p>', repeat('out ', id % 7), '</p>') AS html")
+    one, two = (html_text.learn_weights(pages.repartition(n)) for n in (1, 7))
+    assert one == two
+
+
 def test_broken_pages():
     assert main_text(f"<article><p>{WORDS}", WEIGHTS) == WORDS
     assert main_text(f"<article><p>{WORDS}</p><p class=\"x", WEIGHTS) == WORDS
