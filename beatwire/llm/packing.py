@@ -35,13 +35,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from beatwire.llm.byte_bpe import spelled
 from beatwire.llm.ranks import ranked
 from beatwire.session import written
 
 CAPACITY = 2048
 END = 0
 # Words whose ids a worker remembers; a full memory is kept beside a new one until that is full.
-REMEMBERED, LONGEST_REMEMBERED = 300_000, 48
+REMEMBERED, LONGEST_REMEMBERED = 500_000, 48
 SLICE = 256  # documents whose pieces leave a worker together
 BLANKS_APART = re.compile(r"[^ \t\n\r]+")
 
@@ -62,8 +63,9 @@ class Coder:
 
     For a tokenizer that lower-cases and splits by a pattern leaving white space
     out, as ``word_bpe_49k``. Each part is encoded by the library once and
-    remembered: parts by the file's pattern where the text is Latin-1, whose
-    normal form is the text in lower case, else stretches between blanks.
+    remembered: the words of the file's pattern, each byte spelt as one character,
+    where the text is Latin-1 (its normal form is the text in lower case), else
+    stretches between blanks.
     """
 
     def __init__(self, path: str):
@@ -78,31 +80,33 @@ class Coder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _parts(self, text: str) -> list[str]:
+    def _parts(self, text: str) -> tuple[list[str], bool]:
+        """The parts of a text, and whether they are words of the split pattern."""
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return BLANKS_APART.findall(text)
+            return BLANKS_APART.findall(text), False
         lower = text.lower()
         if any(mark in lower for mark in self.marks):
-            return BLANKS_APART.findall(text)
-        return self.split.findall(lower)
+            return BLANKS_APART.findall(text), False
+        return self.split.findall(lower), True
 
     def encode(self, text: str | None) -> bytes:
-        parts = self._parts(text or "")
-        missing = set(parts).difference(self.known)
-        if missing:
-            if len(self.known) > REMEMBERED:
-                self.older, self.known = self.known, {}
-                missing = set(parts)
-            self._learn(missing)
-        data = b"".join(map(self.known.__getitem__, parts))
+        parts, are_words = self._parts(text or "")
+        codes = list(map(self.known.get, parts))
+        if all(codes):
+            return b"".join(codes)
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        missing = {p for p, code in zip(parts, codes) if code is None}
+        self._learn(missing, are_words)
+        data = b"".join([self.known[p] if code is None else code for p, code in zip(parts, codes)])
         for p in missing:
             if len(p) > LONGEST_REMEMBERED:
                 del self.known[p]
         return data
 
-    def _learn(self, parts: set[str]) -> None:
+    def _learn(self, parts: set[str], are_words: bool) -> None:
         new = []
         for p in parts:
             code = self.older.get(p)
@@ -110,8 +114,13 @@ class Coder:
                 new.append(p)
             else:
                 self.known[p] = code
-        coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.known.update(zip(new, [array("I", e.ids).tobytes() for e in coded]))
+        if are_words:  # the pattern would not part them again, so the model can have them at once
+            tokenize = self.tokenizer.model.tokenize
+            for p in new:
+                self.known[p] = array("I", [t.id for t in tokenize(spelled(p.encode()))]).tobytes()
+        else:
+            coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+            self.known.update(zip(new, [array("I", e.ids).tobytes() for e in coded]))
 
 
 _LOADED: dict[str, Coder] = {}
