@@ -341,17 +341,22 @@ def spaced(run: str) -> set[str]:
 
 
 class Restorer:
-    """Words of a text and those behind disguised ones; remembers what it decoded."""
+    """Words of a text and those behind disguised ones; remembers what it decoded.
 
-    def __init__(self, model: np.ndarray | LanguageModel, remembered: int = 100_000):
-        self.model, self.remembered, self.known = model, remembered, {}
+    A full memory is kept beside a new one until that is full, too.
+    """
+
+    def __init__(self, model: np.ndarray | LanguageModel, remembered: int = 250_000):
+        self.model, self.remembered, self.known, self.older = model, remembered, {}, {}
 
     def behind(self, chars: str) -> list[str]:
         found = self.known.get(chars)
         if found is None:
-            found = decode(chars, self.model).split()
+            found = self.older.get(chars)
+            if found is None:
+                found = decode(chars, self.model).split()
             if len(self.known) >= self.remembered:
-                self.known.clear()
+                self.known, self.older = {}, self.known
             if len(chars) <= 100:
                 self.known[chars] = found
         return found
@@ -359,7 +364,10 @@ class Restorer:
     def words(self, text: str | None) -> set[str]:
         low = (text or "").lower()
         words = set(WORD.findall(low))
-        return words.union(*[self.behind(d) for d in disguised(low, words)])
+        found = words.copy()
+        for d in disguised(low, words):
+            found.update(self.behind(d))
+        return found
 
 
 # --- classifier -------------------------------------------------------------
