@@ -16,6 +16,7 @@ from beatwire.llm.packing import Coder, pack, pack_docs, pieces_of, plan, sequen
 
 PATH = P.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
+CODER = Coder(PATH)
 
 
 def library_ids(text):
@@ -63,8 +64,7 @@ def test_ids_are_those_of_the_library(text):
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.characters(exclude_categories=["Cs"]), max_size=40))
 def test_ids_of_any_text(text):
-    coder = test_ids_of_any_text.__dict__.setdefault("coder", Coder(PATH))
-    got = np.frombuffer(coder.encode(text), "<u4").tolist()
+    got = np.frombuffer(CODER.encode(text), "<u4").tolist()
     assert got == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
