@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from beatwire.functions.text import bind
 from beatwire.session import written
 
 # Characters of a word: "parity" leaves combining vowel signs out, "unicode" has them.
@@ -49,30 +50,43 @@ def listed_names(names: DataFrame, mode: str = "parity") -> DataFrame:
                     F.length("_form").alias("_length"), "_row.*"))
 
 
-def candidates(c: Column, sizes: list[tuple[int, bool]], mode: str = "parity") -> Column:
-    """Distinct runs of words of a text, for each number of words and kind of end."""
+def candidates(c: Column, sizes: list[tuple[int, bool, str]], mode: str = "parity") -> Column:
+    """Distinct runs of words of a text, for each number of words and kind of end.
+
+    ``sizes`` also has the first characters of the names of a kind; runs that begin
+    with another are left out at once.
+    """
     word, _ = _classes(mode)
 
-    def run_of(parts: Column, n: int, is_open: bool):
+    def run_of(parts: Column, alone: Column, n: int, is_open: bool):
         def run(i: Column) -> Column:
             if is_open:
                 return F.array_join(F.slice(parts, i, F.lit(n)), "")
-            end = F.regexp_extract(F.get(parts, i + (n - 2)), f"^{word}", 0)
-            return end if n == 1 else F.concat(
-                F.array_join(F.slice(parts, i, F.lit(n - 1)), ""), end)
+            return F.concat(F.array_join(F.slice(parts, i, F.lit(n - 1)), ""), F.get(alone, i + (n - 2)))
 
         return run
 
-    def runs(parts: Column) -> Column:
+    def runs(parts: Column, alone: Column) -> Column:
         lists = []
-        for n, is_open in sizes:
+        for n, is_open, firsts in sizes:
+            def begins(w: Column, firsts: str = firsts) -> Column:
+                return F.contains(F.lit(firsts), F.left(w, F.lit(1)))
+
+            if n == 1 and not is_open:
+                lists.append(F.filter(alone, lambda w: begins(w)))
+                continue
             last = F.size(parts) - n + (0 if is_open else 1)  # an open name has a word behind it
             starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(
                 F.expr("cast(array() as array<int>)"))
-            lists.append(F.transform(starts, run_of(parts, n, is_open)))
+            starts = F.filter(starts, lambda i: begins(F.get(alone, i - 1)))
+            lists.append(F.transform(starts, run_of(parts, alone, n, is_open)))
         return F.array_distinct(F.concat(*lists))
 
-    return F.get(F.transform(F.array(word_parts(c, mode)), runs), F.lit(0))
+    def with_words(parts: Column) -> Column:
+        alone = F.transform(parts, lambda p: F.regexp_extract(p, f"^{word}", 0))
+        return bind(alone, lambda words: runs(parts, words))
+
+    return bind(word_parts(c, mode), with_words)
 
 
 def find_names(rows: DataFrame, key: str, cols: list[str], names: DataFrame,
@@ -86,7 +100,9 @@ def find_names(rows: DataFrame, key: str, cols: list[str], names: DataFrame,
     """
     kept = [c for c in names.columns if c != "rank"]
     known = written(listed_names(names, mode), "names")
-    sizes = [(r["_words"], r["_open"]) for r in known.select("_words", "_open").distinct().collect()]
+    kinds = known.groupBy("_words", "_open").agg(  # characters of an alphabet, not names
+        F.array_join(F.sort_array(F.collect_set(F.left("_form", F.lit(1)))), "").alias("firsts")).collect()
+    sizes = [(r["_words"], r["_open"], r["firsts"]) for r in kinds]
     if not sizes:
         return rows.select("*", *[F.lit(None).cast(names.schema[c].dataType).alias(c) for c in kept])
     held = rows.select(F.col(key).alias("_key"), F.posexplode(F.array(*[
