@@ -104,3 +104,17 @@ def test_names(value):
     assert value(display_name, "crime_against_children") == ["Crime Against Children"]
     assert value(label_key, "Fraud Cheating") == ["fraud_cheating"]
     assert key_of("Fraud Cheating") == "fraud_cheating"
+
+
+def test_the_baseline_is_applied_to_every_labelled_text(spark, tmp_path):
+    from beatwire.catalog import QUERIES
+    rows = [(i, ("storm flood " if i % 3 else "match goal ") + f"number{i % 7}") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    (spark.createDataFrame([(i, int(i % 3 > 0), int(i % 3 == 0)) for i in range(30)],
+                           "doc_id long, quality int, toxic int")
+     .write.parquet(f"{tmp_path}/labels.parquet"))
+    got = {r.label: r for r in QUERIES["svm_baseline"](spark, str(tmp_path)).collect()}
+    for label, positives in (("quality", 20), ("toxic", 10)):
+        r = got[label]
+        assert (r.n_rows, r.n_train, r.n_test, r.positives) == (30, 24, 6, positives)
+        assert r.fits_better_than_majority and r.same_after_reload == 30
