@@ -1,12 +1,16 @@
 """The words of a corpus, kept for many batches of claims.
 
 An index is a folder of segments, one for each batch of articles that was added.
-A segment holds its articles with their distinct words, dealt out by ranges of
-their id, and an inverted list: for each word and range one block with its
+A segment holds its articles with their distinct words, in the parts they were
+read in, and an inverted list: for each word and part one block with its
 articles in order, their number and the first and last of them. Blocks lie in
-buckets of their word's hash. A frequent word has a block in every range, so it
+buckets of their word's hash. A frequent word has a block in every part, so it
 is spread over tasks when it is built and when it is read, and no block holds
-more than the articles of a range.
+more than the articles of a part. Articles are shuffled only if some came twice
+or are known; otherwise their ids alone are, and then the words of the blocks.
+
+Keywords that are few enough to broadcast are looked for in the blocks where these
+lie; otherwise blocks and the words that match are joined.
 
 A segment is written first and then entered in a log; readers see what the log
 names. Adding a batch again replaces its own segment, and articles that are
@@ -15,6 +19,7 @@ already known are left out, so an interrupted call can be repeated.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +28,7 @@ from pyspark.sql import functions as F
 from beatwire.operators.merge import first_per
 from beatwire.operators.search import (
     BROADCAST_WANTED, SEEDS, TOP_HITS, _listed, best_hits, claim_keywords, corpus_words, few,
-    sliced_join, word_matches,
+    kept_few, keyword_finder, sliced_join, word_matches,
 )
 from beatwire.session import remove, written
 from beatwire.sources.tables import _load_or_none
@@ -71,11 +76,7 @@ class WordIndex:
         """
         known = [s for s in self.segments() if s[0] != segment]
         number = segment if segment is not None else 1 + max((s[0] for s in known), default=0)
-        fresh = corpus
-        for _, path, _ in [s for s in known if s[2]]:
-            ids = self.spark.read.parquet(f"{path}/articles").select("doc_id")
-            fresh = fresh.join(ids, "doc_id", "left_anti")
-        self._write(corpus_words(fresh.dropDuplicates(["doc_id"])), number, [])
+        self._write(corpus_words(corpus), number, [], [path for _, path, n in known if n])
         return number
 
     def compact(self) -> int:
@@ -87,23 +88,40 @@ class WordIndex:
             remove(self.spark, path)
         return number
 
-    def _write(self, split: DataFrame, number: int, replaces: list[int]) -> None:
+    def _write(self, split: DataFrame, number: int, replaces: list[int],
+               known: Sequence[str] = ()) -> None:
+        """A segment of the articles that no segment of ``known`` has, each of them once."""
         path = f"{self.path}/s{number}"
-        split = written(split, "words")
-        (split.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-         .withColumn("part", F.spark_partition_id()).write.mode("overwrite").parquet(f"{path}/articles"))
+        self._write_articles(split, path)
         articles = self.spark.read.parquet(f"{path}/articles")
+        ids = [self.spark.read.parquet(f"{p}/articles").select("doc_id", F.lit(True).alias("known"))
+               for p in known]
+        surplus = written(
+            reduce(DataFrame.unionByName, ids, articles.select("doc_id", F.lit(False).alias("known")))
+            .groupBy("doc_id").agg(F.max("known").alias("known"), F.count_if(~F.col("known")).alias("n"))
+            .where((F.col("n") > 1) | (F.col("known") & (F.col("n") > 0))), "surplus")
+        if not surplus.isEmpty():
+            ours = few(surplus)
+            again = articles.join(ours.where(~F.col("known")).select("doc_id"), "doc_id", "left_semi")
+            split = articles.join(ours.select("doc_id"), "doc_id", "left_anti").unionByName(
+                again.dropDuplicates(["doc_id"]))
+            self._write_articles(written(split.select("doc_id", "words"), "words"), path)
+            articles = self.spark.read.parquet(f"{path}/articles")
         blocks = (articles.select("part", "doc_id", F.explode("words").alias("word"))
                   .groupBy("word", "part")
                   .agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"),
                        F.max("doc_id").alias("hi"), F.sort_array(F.collect_list("doc_id")).alias("docs"))
                   .withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(self.buckets)).cast("int")))
-        (blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "word", "lo")
+        (blocks.sortWithinPartitions("bucket", "word", "lo")
          .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks"))
         entry = [(number, path, articles.count(), replaces)]
         (self.spark.createDataFrame(entry, LOG_SCHEMA).coalesce(1)
          .write.mode("append").parquet(f"{self.path}/_log"))
 
+    def _write_articles(self, split: DataFrame, path: str) -> None:
+        (split.select("doc_id", "words", F.spark_partition_id().alias("part"))
+         .write.mode("overwrite").parquet(f"{path}/articles"))
+
     def postings(self, claims: DataFrame) -> "IndexPostings":
         return IndexPostings(self, claim_keywords(claims).select("kw").distinct())
 
@@ -116,31 +134,35 @@ class WordIndex:
 
 
 class IndexPostings:
-    """The postings of some keywords in an index, as the search asks for them."""
+    """The postings of some keywords in an index, as the search asks for them.
+
+    ``held`` has the blocks of every word that contains a keyword, with that keyword:
+    (kw, word, n, lo, docs), found in one reading of the index.
+    """
 
     def __init__(self, index: WordIndex, keywords: DataFrame):
         self.index = index
-        self.blocks = index.blocks().drop("bucket")
-        words = self.blocks.groupBy("word").agg(F.sum("n").alias("n"))
-        self.matches = written(word_matches(words, keywords).join(words, "word"), "matching-words")
-        self.few_words = self.matches.count() <= BROADCAST_WANTED
+        blocks = index.blocks().select("word", "n", "lo", "docs")
+        keywords = written(keywords, "keywords")
+        if keywords.count() <= BROADCAST_WANTED:
+            find = keyword_finder([r.kw for r in keywords.collect()])  # counted, as for a broadcast
+            held = blocks.withColumn("kw", F.explode(find(F.col("word"))))
+        else:
+            # the join shuffles blocks by word; a frequent word has many, which Spark
+            # splits when it finds the part skewed
+            words = written(blocks.select("word").distinct(), "vocabulary")
+            held = blocks.join(kept_few(word_matches(words, keywords)), "word")
+        self.held = written(held, "held-blocks")
 
     def _blocks(self, keywords: DataFrame) -> DataFrame:
-        """Blocks of every word that contains one of the keywords, with that keyword.
-
-        Beyond a broadcast the join shuffles blocks by word; a frequent word has
-        many, which Spark splits when it finds the part skewed.
-        """
-        found = self.matches.join(few(keywords.select("kw").distinct()), "kw", "left_semi")
-        found = found.select("word", "kw")
-        return self.blocks.join(F.broadcast(found) if self.few_words else found, "word")
+        return self.held.join(kept_few(keywords.select("kw").distinct()), "kw", "left_semi")
 
     def counts(self) -> DataFrame:
         """(kw, n_docs), an article counted for each of its words that contain the keyword.
 
         Good enough to order keywords by, and never too small.
         """
-        return self.matches.groupBy("kw").agg(F.sum("n").alias("n_docs"))
+        return self.held.groupBy("kw").agg(F.sum("n").alias("n_docs"))
 
     def first(self, keywords: DataFrame, n: int) -> DataFrame:
         """(kw, doc_id): some of the first articles of each keyword, from its first blocks."""
@@ -161,6 +183,6 @@ class IndexPostings:
         score = F.aggregate(
             F.filter("pairs", lambda p: F.exists("words", lambda w: F.contains(w, p["kw"]))),
             F.lit(0).cast("bigint"), lambda acc, p: acc + p["weight"])
-        return (pairs.join(self.index.articles().select("doc_id", "words"), "doc_id")
+        return (self.index.articles().select("doc_id", "words").join(kept_few(pairs), "doc_id")
                 .join(_listed(wanted), "claim_id")
                 .select("claim_id", "doc_id", score.alias("score")))

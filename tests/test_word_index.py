@@ -66,3 +66,25 @@ def test_empty_index(index, corpus):  # noqa: F811
         index.articles()
     index.add(corpus[3].limit(0))
     assert found(index.search(corpus[2])) == []
+
+
+def test_articles_are_not_shuffled(corpus, index):  # noqa: F811
+    """They lie in the parts they were read in; of repeated and known ones one stays."""
+    claims, docs, cdf, ddf = corpus
+    index.add(ddf.where("doc_id < 80").repartitionByRange(3, F.desc("doc_id")))
+    parts = {}
+    for r in index.articles().collect():
+        parts.setdefault(r.part, []).append(r.doc_id)
+    assert len(parts) == 3 and min(parts[0]) > max(parts[2])
+    index.add(ddf.where("doc_id >= 60").unionByName(ddf.where("doc_id > 100")))
+    assert sorted(r.doc_id for r in index.articles().collect()) == [d[0] for d in docs]
+    assert found(index.search(cdf)) == brute_force(claims, docs, se.TOP_HITS)
+
+
+def test_many_keywords_give_the_same(corpus, index, monkeypatch):  # noqa: F811
+    from beatwire.operators import word_index
+    claims, docs, cdf, ddf = corpus
+    index.add(ddf)
+    monkeypatch.setattr(se, "BROADCAST_WANTED", 0)
+    monkeypatch.setattr(word_index, "BROADCAST_WANTED", 0)
+    assert found(index.search(cdf)) == brute_force(claims, docs, se.TOP_HITS)
