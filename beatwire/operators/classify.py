@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from beatwire.dims import FALLBACK_LABEL
 from beatwire.functions.labels import active_labels
-from beatwire.functions.text import strip_space, words
+from beatwire.functions.text import at_least, words
 from beatwire.operators.select import settled
 
 Scorer = Callable[[DataFrame, str], DataFrame]
@@ -93,7 +93,7 @@ def threshold_labels(scored: DataFrame, categories: Sequence[str], text_col: str
     keeps all flags at 0, the fallback's too.
     """
     scored = scored.withColumn("_usable", F.coalesce(
-        (F.length(strip_space(F.col(text_col))) >= min_len) & F.col("scores").isNotNull(),
+        at_least(F.col(text_col), min_len) & F.col("scores").isNotNull(),
         F.lit(False)))
     usable = F.col("_usable")
     raw = {c: F.coalesce(F.get("scores", F.lit(i)) > threshold, F.lit(False))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beatwire.dims import Place
+from beatwire.functions.text import PLAIN
 
 WORD = r"[\p{L}\p{N}_]"
 
@@ -39,9 +40,10 @@ def _quoted(text: str) -> str:
 def _name_pattern(places: Sequence[Place], mode: str) -> str:
     """A look-ahead with every name in it, grouped by first character.
 
-    Being a look-ahead it consumes nothing, so names that overlap are all
-    found, each at its own position; of two names at one position the longer
-    is tried first.
+    Being a look-ahead it consumes no letter of a name, so names that overlap are
+    all found, each at its own position; of two names at one position the longer
+    is tried first. The character in front of a name is consumed, so the text is
+    to begin with a blank.
     """
     groups: dict[str, list[str]] = {}
     for p in sorted(places, key=lambda p: -len(p.name)):
@@ -51,8 +53,10 @@ def _name_pattern(places: Sequence[Place], mode: str) -> str:
     left = {_edge(c, True, mode) for c in groups}
     if len(left) != 1:
         raise ValueError("place names must all begin with a word character")
+    # In front of a letter that begins a name is none of these, which one bit tells.
+    before = f"[^{PLAIN}]" if all(c.isalpha() for c in groups) else ""
     names = "|".join(f"{_quoted(c)}(?:{'|'.join(rests)})" for c, rests in groups.items())
-    return f"{'(?U)' if mode == 'unicode' else ''}{left.pop()}(?=({names}))"
+    return f"{'(?U)' if mode == 'unicode' else ''}{before}{left.pop()}(?=({names}))"
 
 
 def place_of(c: Column, places: Sequence[Place], mode: str = "parity") -> Column:
@@ -67,7 +71,8 @@ def place_of(c: Column, places: Sequence[Place], mode: str = "parity") -> Column
     names = F.array(*[F.lit(p.name) for p in ordered])
     values = F.array(*[F.struct(F.lit(p.name).alias("location"), F.lit(p.lat).alias("lat"),
                                 F.lit(p.lon).alias("lon")) for p in ordered])
-    found = F.regexp_extract_all(F.lower(c), F.lit(_name_pattern(places, mode)), F.lit(1))
+    text = F.concat(F.lit(" "), F.lower(c))
+    found = F.regexp_extract_all(text, F.lit(_name_pattern(places, mode)), F.lit(1))
     first = F.array_min(F.transform(
         F.array_distinct(found), lambda n: F.array_position(names, n).cast("int")))
     return F.try_element_at(values, first)
